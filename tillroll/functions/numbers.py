@@ -12,7 +12,7 @@ NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 def to_number(c: Column) -> Column:
     """DOUBLE value of text ``c``; anything that is not plainly a number is null."""
     text = c.cast("string")
-    return F.when(text.rlike(NUMBER_PATTERN), F.try_cast(F.trim(text), "double"))
+    return F.when(text.rlike(NUMBER_PATTERN), F.trim(text).try_cast("double"))
 
 
 def is_non_numeric(c: Column) -> Column:

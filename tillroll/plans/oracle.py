@@ -259,3 +259,83 @@ SELECT CAST(LEAST(observed, 6) AS BIGINT) AS month_count,
        LEAST(observed, 6) >= 3 AND observed >= 3 AS has_enough_history
 FROM (SELECT COUNT(DISTINCT date_trunc('month', order_date)) AS observed FROM sales
       WHERE order_date IS NOT NULL) t""")
+
+
+# --- dirty variant and the profiling / cleaning operators -----------------
+
+NUMBER_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+DIRTY = [
+    """dirty AS (
+  SELECT order_id AS "Order ID", customer_name AS "Customer Name", product AS "Product Name",
+         CASE WHEN order_id % 17 = 0 THEN NULL ELSE category END AS "Product Category",
+         region AS "Region", quantity AS "Quantity",
+         CASE WHEN order_id % 23 = 0 THEN 'n/a?'
+              WHEN order_id % 37 = 0 THEN '-' || CAST(revenue AS VARCHAR)
+              ELSE CAST(revenue AS VARCHAR) END AS "Sales",
+         payment_method AS "Payment Method", order_status AS "Order Status",
+         CASE WHEN order_id % 31 = 0 THEN '32-13-2023' ELSE CAST(order_date AS VARCHAR) END AS "Order Date",
+         CAST(NULL AS VARCHAR) AS "Notes"
+  FROM sales)""",
+    """raw AS (SELECT * FROM dirty UNION ALL SELECT * FROM dirty WHERE "Order ID" % 29 = 0)""",
+    f"""num AS (SELECT *, CASE WHEN regexp_full_match("Sales", '{NUMBER_RE}')
+                          THEN TRY_CAST(trim("Sales") AS DOUBLE) END AS sales_num,
+                     TRY_CAST(trim("Order Date") AS TIMESTAMP) AS date_ts FROM raw)""",
+]
+DIRTY_COLS = ["Order ID", "Customer Name", "Product Name", "Product Category", "Region", "Quantity",
+              "Sales", "Payment Method", "Order Status", "Order Date", "Notes"]
+
+_PROFILE = [
+    "counts AS (SELECT COUNT(*) AS total_rows, "
+    + " + ".join(f'(COUNT(*) - COUNT("{c}"))' for c in DIRTY_COLS) + " AS missing_cells, "
+    + ", ".join(f'COUNT(*) - COUNT("{c}") AS m{i}' for i, c in enumerate(DIRTY_COLS)) + ", "
+    """COUNT(*) FILTER (WHERE "Sales" IS NOT NULL AND sales_num IS NULL) AS bad_numbers,
+       COUNT(*) FILTER (WHERE "Order Date" IS NOT NULL AND date_ts IS NULL) AS bad_dates,
+       COUNT(*) FILTER (WHERE sales_num < 0) AS negatives FROM num)""",
+    "dups AS (SELECT CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS duplicate_count FROM "
+    "(SELECT COUNT(*) AS n FROM raw GROUP BY " + ", ".join(f'"{c}"' for c in DIRTY_COLS) + ") t)",
+    """warn AS (SELECT * FROM (
+       SELECT 0 AS k, 'Column ''Sales'' has ' || bad_numbers || ' non-numeric values that should be numbers.' AS w
+         FROM counts WHERE bad_numbers > 0
+       UNION ALL SELECT 1, 'Column ''Order Date'' has ' || bad_dates
+         || ' values that could not be parsed as valid dates.' FROM counts WHERE bad_dates > 0
+       UNION ALL SELECT 2, 'Column ''Sales'' has ' || negatives || ' negative values.' FROM counts WHERE negatives > 0) t)""",
+    """prof AS (SELECT c.total_rows, c.missing_cells, d.duplicate_count, c.bad_dates, c.negatives,
+                   (SELECT COUNT(*) FROM warn) AS warnings,
+                   CAST(GREATEST(c.total_rows, 1) AS DOUBLE) AS n FROM counts c, dups d)""",
+]
+
+ORACLE["data_profile"] = with_sales("""
+SELECT CAST(total_rows AS BIGINT) AS total_rows, 11 AS total_columns,
+       CAST(missing_cells AS BIGINT) AS missing_cells, duplicate_count,
+       CAST(bad_dates AS BIGINT) AS invalid_date_count, CAST(negatives AS BIGINT) AS negative_revenue_count,
+       CAST(warnings AS INTEGER) AS warning_count, 0 AS missing_required,
+       CAST(GREATEST(0, LEAST(100, 100 - 0
+         - LEAST(20, round_even((missing_cells / n) * 8, 0))
+         - LEAST(15, round_even((duplicate_count / n) * 100, 0))
+         - LEAST(15, round_even((bad_dates / n) * 100, 0))
+         - LEAST(15, round_even((negatives / n) * 100, 0))
+         - LEAST(10, warnings * 2))) AS INTEGER) AS quality_score
+FROM prof""", *DIRTY, *_PROFILE)
+# grade follows from the score
+ORACLE["data_profile"] = ORACLE["data_profile"].replace(
+    "SELECT CAST(total_rows AS BIGINT) AS total_rows",
+    "SELECT *, CASE WHEN quality_score >= 90 THEN 'Excellent' WHEN quality_score >= 75 THEN 'Good' "
+    "WHEN quality_score >= 60 THEN 'Needs Review' ELSE 'Poor' END AS quality_grade FROM (\n"
+    "SELECT CAST(total_rows AS BIGINT) AS total_rows", 1) + ") s"
+
+ORACLE["missing_by_column"] = with_sales(
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, {i} AS position, CAST(m{i} AS BIGINT) AS missing_count FROM counts"
+                       for i, c in enumerate(DIRTY_COLS)), *DIRTY, *_PROFILE)
+
+ORACLE["data_warnings"] = with_sales(
+    "SELECT CAST(ROW_NUMBER() OVER (ORDER BY k) - 1 AS INTEGER) AS position, w AS warning FROM warn",
+    *DIRTY, *_PROFILE)
+
+ORACLE["cleaned_sales"] = with_sales("""
+SELECT DISTINCT "Order ID" AS order_id, COALESCE("Customer Name", 'Unknown') AS customer_name,
+       COALESCE("Product Name", 'Unknown') AS product, COALESCE("Product Category", 'Unknown') AS category,
+       COALESCE("Region", 'Unknown') AS region, "Quantity" AS quantity,
+       COALESCE(sales_num, (SELECT median(sales_num) FROM num)) AS revenue,
+       COALESCE("Payment Method", 'Unknown') AS payment_method, COALESCE("Order Status", 'Unknown') AS order_status,
+       date_ts AS order_date
+FROM num""", *DIRTY)

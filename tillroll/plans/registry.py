@@ -14,6 +14,8 @@ from ..operators import breakdowns as B
 from ..operators import forecast as P
 from ..operators.filters import SalesFilter, apply_filters, date_presets
 from ..operators.kpis import kpi_card
+from ..operators import cleaning as C
+from ..sources.sales import dirty_sales
 from ..sources.sales import canonical, load_sales
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +58,17 @@ def _trend_fit(df: DataFrame) -> DataFrame:
     return fit.select("n_months", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
+def _on_dirty(op) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return op(dirty_sales(spark, sf_dir))
+    return run
+
+
+def _quality(raw: DataFrame) -> DataFrame:
+    cleaned_names = C.drop_empty_columns(C.apply_synonyms(C.clean_column_names(raw))).columns
+    return C.quality_report(raw, cleaned_names)
+
+
 QUERIES: dict[str, Query] = {
     "sales_view": _sales_rows,
     "monthly_revenue": _on_sales(B.monthly_revenue),
@@ -82,4 +95,8 @@ QUERIES: dict[str, Query] = {
     "forecast_series": _on_sales(P.forecast_series),
     "trend_fit": _on_sales(_trend_fit),
     "forecast_confidence": _on_sales(P.forecast_confidence),
+    "data_profile": _on_dirty(_quality),
+    "missing_by_column": _on_dirty(C.missing_by_column),
+    "data_warnings": _on_dirty(C.warnings_table),
+    "cleaned_sales": _on_dirty(C.clean_data),
 }

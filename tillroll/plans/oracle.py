@@ -145,9 +145,8 @@ SELECT DISTINCT dimension, value FROM (
 WHERE value IS NOT NULL ORDER BY 1, 2""")
 
 
-def _kpi_sql(where: str = "TRUE") -> str:
-    f = f"""
-f AS (SELECT * FROM sales WHERE {where}),
+def _kpi_ctes(where: str = "TRUE") -> list[str]:
+    return [f"f AS (SELECT * FROM sales WHERE {where})", """
 tot AS (SELECT CAST(COALESCE(SUM(revenue), 0) AS DOUBLE) AS tr, COUNT(*) AS n,
                COUNT(DISTINCT order_id) AS orders,
                COUNT(*) FILTER (WHERE lower(order_status) = 'cancelled') AS nc,
@@ -163,8 +162,8 @@ bask AS (SELECT AVG(q) AS b FROM (SELECT order_id, COALESCE(SUM(quantity), 0) AS
 m AS (SELECT strftime(order_date, '%Y-%m') AS m, CAST(SUM(revenue) AS DOUBLE) AS r FROM f
       WHERE order_date IS NOT NULL GROUP BY 1),
 ml AS (SELECT m, r, ROW_NUMBER() OVER (ORDER BY m DESC) AS rn FROM m),
-g AS (SELECT MAX(r) FILTER (WHERE rn = 1) AS last, MAX(r) FILTER (WHERE rn = 2) AS prev, COUNT(*) AS nm FROM ml)"""
-    body = """
+g AS (SELECT MAX(r) FILTER (WHERE rn = 1) AS last, MAX(r) FILTER (WHERE rn = 2) AS prev, COUNT(*) AS nm FROM ml),
+kpi AS (
 SELECT tot.tr AS total_revenue,
        CAST(tot.orders AS BIGINT) AS total_orders,
        CASE WHEN tot.orders > 0 THEN tot.tr / CAST(tot.orders AS DOUBLE) ELSE 0.0 END AS aov,
@@ -180,8 +179,11 @@ SELECT tot.tr AS total_revenue,
        COALESCE(CAST(bask.b AS DOUBLE), 0.0) AS avg_basket_size,
        COALESCE((SELECT m FROM m ORDER BY r DESC, m LIMIT 1), 'N/A') AS best_sales_month,
        COALESCE((SELECT m FROM m ORDER BY r ASC, m LIMIT 1), 'N/A') AS worst_sales_month
-FROM tot, g, cust, bask"""
-    return with_sales(body, f.strip())
+FROM tot, g, cust, bask)""".strip()]
+
+
+def _kpi_sql(where: str = "TRUE") -> str:
+    return with_sales("SELECT * FROM kpi", *_kpi_ctes(where))
 
 
 E1_WHERE = ("order_date >= DATE '1996-01-01' AND order_date <= DATE '1999-06-30' "
@@ -339,3 +341,94 @@ SELECT DISTINCT "Order ID" AS order_id, COALESCE("Customer Name", 'Unknown') AS
        COALESCE("Payment Method", 'Unknown') AS payment_method, COALESCE("Order Status", 'Unknown') AS order_status,
        date_ts AS order_date
 FROM num""", *DIRTY)
+
+
+# --- insights ----------------------------------------------------------------
+
+def _fmt_sql(template: str, values: dict[str, str]) -> str:
+    """Template -> DuckDB string expression using format()."""
+    import re
+    parts, pos = [], 0
+    for m in re.finditer(r"\{(\w+)(?::([^}]*))?\}", template):
+        if m.start() > pos:
+            parts.append("'" + template[pos:m.start()].replace("'", "''") + "'")
+        expr, spec = values[m.group(1)], m.group(2) or ""
+        parts.append(f"format('{{:{spec}}}', {expr})" if spec else f"CAST({expr} AS VARCHAR)")
+        pos = m.end()
+    if pos < len(template):
+        parts.append("'" + template[pos:].replace("'", "''") + "'")
+    return " || ".join(parts)
+
+
+def _insights_sql() -> str:
+    from ..operators.insights import CATEGORIES, TEMPLATES as T
+    v = {"total_revenue": "total_revenue", "total_orders": "total_orders", "aov": "aov",
+         "growth": "monthly_growth", "decline": "abs(monthly_growth)", "margin": "profit_margin",
+         "gross_profit": "gross_profit", "basket": "avg_basket_size", "retention": "returning_customer_rate",
+         "cancel": "cancellation_rate", "returns": "return_rate",
+         "lead_category": "(SELECT k FROM lc)", "lead_category_revenue": "(SELECT v FROM lc)",
+         "lead_category_pct": f"CASE WHEN total_revenue > 0 THEN {rate('(SELECT v FROM lc)', 'total_revenue')} ELSE 0.0 END",
+         "best_product": "(SELECT k FROM bp)", "best_product_revenue": "(SELECT v FROM bp)",
+         "lead_region": "(SELECT k FROM lr)", "lead_region_revenue": "(SELECT v FROM lr)",
+         "payment": "(SELECT k FROM pm)", "payment_count": "(SELECT v FROM pm)",
+         "worst_region": "(SELECT k FROM wr)", "worst_rate": "(SELECT v FROM wr)"}
+    rules = [
+        (0, 1, "good", "I1", "total_revenue > 0"), (0, 2, "good", "I2", "aov > 0"),
+        (0, 3, "good", "I3", "monthly_growth > 0"), (3, 1, "critical", "I4", "monthly_growth < 0"),
+        (0, 4, "good", "I5", "profit_margin > 0"),
+        (1, 1, "good", "I6", "top_category <> 'N/A' AND (SELECT k FROM lc) IS NOT NULL"),
+        (1, 2, "good", "I7", "(SELECT k FROM bp) IS NOT NULL"), (1, 3, "good", "I8", "avg_basket_size > 0"),
+        (2, 1, "good", "I9", "top_region <> 'N/A' AND (SELECT k FROM lr) IS NOT NULL"),
+        (2, 2, "good", "I10", "returning_customer_rate >= 30"),
+        (2, 2, "warning", "I11", "returning_customer_rate > 0 AND returning_customer_rate < 30"),
+        (2, 3, "good", "I12", "(SELECT k FROM pm) IS NOT NULL"),
+        (3, 2, "critical", "I13c", "cancellation_rate > 15"),
+        (3, 2, "warning", "I13w", "cancellation_rate > 8 AND cancellation_rate <= 15"),
+        (3, 3, "critical", "I14c", "return_rate > 10"),
+        (3, 3, "warning", "I14w", "return_rate > 5 AND return_rate <= 10"),
+        (3, 4, "critical", "I15", "(SELECT v FROM wr) > 15"),
+    ]
+    branches = [f"SELECT {c} AS cat, {o} AS ord, '{CATEGORIES[c]}' AS category, '{sev}' AS severity, "
+                f"{_fmt_sql(T[t], v)} AS text FROM kpi WHERE {cond}" for c, o, sev, t, cond in rules]
+    ctes = _kpi_ctes() + [
+        "lc AS (SELECT category AS k, CAST(SUM(revenue) AS DOUBLE) AS v FROM f WHERE category IS NOT NULL "
+        "GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)",
+        "bp AS (SELECT product AS k, CAST(SUM(revenue) AS DOUBLE) AS v FROM f WHERE product IS NOT NULL "
+        "GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)",
+        "lr AS (SELECT region AS k, CAST(SUM(revenue) AS DOUBLE) AS v FROM f WHERE region IS NOT NULL "
+        "GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)",
+        "pm AS (SELECT payment_method AS k, COUNT(*) AS v FROM f WHERE payment_method IS NOT NULL "
+        "GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)",
+        f"wr AS (SELECT region AS k, {rate('c', 't')} AS v FROM (SELECT region, "
+        "COUNT(*) FILTER (WHERE lower(order_status) = 'cancelled') AS c, COUNT(*) AS t FROM f "
+        "WHERE region IS NOT NULL GROUP BY 1) x WHERE c > 0 ORDER BY v DESC, k LIMIT 1)",
+        "fired AS (" + " UNION ALL ".join(branches) + ")",
+    ]
+    return with_sales("""
+SELECT category, CAST(ROW_NUMBER() OVER (PARTITION BY cat ORDER BY ord) - 1 AS INTEGER) AS position,
+       severity, text FROM fired ORDER BY cat, ord""", *ctes)
+
+
+def _brief_sql() -> str:
+    from ..operators.insights import BRIEF_COUNT_LINE, BRIEF_LINES, BRIEF_SECTIONS, BRIEF_VALUE_LINE
+    v = {c: c for c in ["total_revenue", "total_orders", "aov", "cancellation_rate", "return_rate",
+                        "returning_customer_rate", "top_region", "top_category"]}
+    pieces = [_fmt_sql(t, v) for t in BRIEF_LINES]
+    for title, key, value in BRIEF_SECTIONS:
+        if value:
+            agg = (f"SELECT {key} AS label, CAST(SUM({value}) AS DOUBLE) AS value FROM f "
+                   f"WHERE {key} IS NOT NULL GROUP BY 1")
+            line = _fmt_sql(BRIEF_VALUE_LINE, {"label": "label", "value": "value"})
+        else:
+            agg = (f"SELECT COALESCE(CAST({key} AS VARCHAR), 'Unknown') AS label, COUNT(*) AS value "
+                   f"FROM f GROUP BY 1")
+            line = _fmt_sql(BRIEF_COUNT_LINE, {"label": "label", "value": "value"})
+        section = (f"(SELECT string_agg({line}, chr(10) ORDER BY value DESC, label) FROM "
+                   f"(SELECT * FROM ({agg}) a ORDER BY value DESC, label LIMIT 5) t)")
+        pieces += ["''", f"'{title}'", section]
+    return with_sales("SELECT concat_ws(chr(10), " + ", ".join(pieces) + ") AS brief FROM kpi",
+                      *_kpi_ctes())
+
+
+ORACLE["insights"] = _insights_sql()
+ORACLE["kpi_brief"] = _brief_sql()

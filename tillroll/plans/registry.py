@@ -15,6 +15,7 @@ from ..operators import forecast as P
 from ..operators.filters import SalesFilter, apply_filters, date_presets
 from ..operators.kpis import kpi_card
 from ..operators import cleaning as C
+from ..operators import insights as I
 from ..sources.sales import dirty_sales
 from ..sources.sales import canonical, load_sales
 
@@ -95,6 +96,8 @@ QUERIES: dict[str, Query] = {
     "forecast_series": _on_sales(P.forecast_series),
     "trend_fit": _on_sales(_trend_fit),
     "forecast_confidence": _on_sales(P.forecast_confidence),
+    "insights": _on_sales(I.insights),
+    "kpi_brief": _on_sales(I.kpi_brief),
     "data_profile": _on_dirty(_quality),
     "missing_by_column": _on_dirty(C.missing_by_column),
     "data_warnings": _on_dirty(C.warnings_table),

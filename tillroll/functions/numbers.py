@@ -24,3 +24,12 @@ def rate(part: Column, whole: Column) -> Column:
     """``(part / whole) * 100`` in DOUBLE, 0 when ``whole`` is 0."""
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")) * F.lit(100.0),
                       F.lit(0.0))
+
+
+def round_like_python(c: Column, digits: int = 2) -> Column:
+    """``round(x, digits)`` on the exact binary value, ties to even.
+
+    ``format_number`` rounds the exact double the same way; ``F.round``
+    rounds its shortest decimal text half-up (2.675 -> 2.68, not 2.67).
+    """
+    return F.regexp_replace(F.format_number(c.cast("double"), digits), ",", "").cast("double")

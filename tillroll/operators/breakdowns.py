@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import as_date, month_label, month_start
-from ..functions.numbers import rate
-from ..functions.ranking import argmax
+from ..functions.numbers import rate, round_like_python
 from ..schema import STATUS_CANCELLED, UNKNOWN, date_column, date_columns_ci, has
 
 
@@ -245,7 +244,7 @@ def monthly_history(df: DataFrame, months: int = 6) -> DataFrame:
         F.coalesce(F.sum("revenue"), F.lit(0)).alias("__r"))
     last = monthly.orderBy(F.desc("__m")).limit(months)
     return (last.select(month_label(F.col("__m")).alias("period"),
-                        F.round(F.col("__r"), 2).cast("double").alias("revenue"))
+                        round_like_python(F.col("__r"), 2).alias("revenue"))
                 .orderBy("period"))
 
 

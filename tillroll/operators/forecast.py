@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import as_date, month_label, month_start
+from ..functions.numbers import round_like_python
 from ..schema import NOT_AVAILABLE, date_column, date_columns_ci, has
 
 FORECAST_SCHEMA = ("period string, predicted_revenue double, top_product string, "
@@ -91,12 +92,12 @@ def forecast(df: DataFrame, periods: int = 3) -> DataFrame:
 
     return steps.select(
         month_label(F.add_months(F.col("last_month"), F.col("i"))).alias("period"),
-        F.round(predict("a_rev", "b_rev"), 2).alias("predicted_revenue"),
+        round_like_python(predict("a_rev", "b_rev"), 2).alias("predicted_revenue"),
         (F.col("top_product") if with_product else F.lit(NOT_AVAILABLE)).alias("top_product"),
         (F.bround(predict("a_prod", "b_prod"), 0).cast("bigint") if with_product
          else F.lit(0).cast("bigint")).alias("predicted_product_demand"),
         (F.col("top_category") if with_category else F.lit(NOT_AVAILABLE)).alias("top_category"),
-        (F.round(predict("a_cat", "b_cat"), 2) if with_category
+        (round_like_python(predict("a_cat", "b_cat"), 2) if with_category
          else F.lit(0.0)).alias("predicted_category_revenue"),
     ).orderBy("period")
 

@@ -132,7 +132,7 @@ WHERE cancelled > 0 ORDER BY cancel_rate DESC, region""")
 
 ORACLE["monthly_history"] = with_sales("""
 SELECT period, revenue FROM (
-  SELECT strftime(order_date, '%Y-%m') AS period, CAST(ROUND(SUM(revenue), 2) AS DOUBLE) AS revenue
+  SELECT strftime(order_date, '%Y-%m') AS period, CAST(format('{:.2f}', CAST(SUM(revenue) AS DOUBLE)) AS DOUBLE) AS revenue
   FROM sales WHERE order_date IS NOT NULL GROUP BY 1 ORDER BY 1 DESC LIMIT 6) t
 ORDER BY period""")
 
@@ -232,17 +232,17 @@ _FC_CTES = [
 
 ORACLE["forecast"] = with_sales("""
 SELECT strftime(last_month + to_months(CAST(i AS INTEGER)), '%Y-%m') AS period,
-       ROUND(GREATEST(0.0, a_rev + b_rev * CAST(n - 1 + i AS DOUBLE)), 2) AS predicted_revenue,
+       CAST(format('{:.2f}', GREATEST(0.0, a_rev + b_rev * CAST(n - 1 + i AS DOUBLE))) AS DOUBLE) AS predicted_revenue,
        (SELECT product FROM tp) AS top_product,
        CAST(ROUND_EVEN(GREATEST(0.0, a_prod + b_prod * CAST(n - 1 + i AS DOUBLE)), 0) AS BIGINT)
          AS predicted_product_demand,
        (SELECT category FROM tc) AS top_category,
-       ROUND(GREATEST(0.0, a_cat + b_cat * CAST(n - 1 + i AS DOUBLE)), 2) AS predicted_category_revenue
+       CAST(format('{:.2f}', GREATEST(0.0, a_cat + b_cat * CAST(n - 1 + i AS DOUBLE))) AS DOUBLE) AS predicted_category_revenue
 FROM fit, generate_series(1, 3) s(i) ORDER BY period""", *_FC_CTES)
 
 ORACLE["forecast_series"] = with_sales("""
 SELECT strftime(last_month + to_months(CAST(i AS INTEGER)), '%Y-%m') AS period,
-       ROUND(GREATEST(0.0, a_rev + b_rev * CAST(n - 1 + i AS DOUBLE)), 2) AS predicted_revenue
+       CAST(format('{:.2f}', GREATEST(0.0, a_rev + b_rev * CAST(n - 1 + i AS DOUBLE))) AS DOUBLE) AS predicted_revenue
 FROM fit, generate_series(1, 3) s(i) ORDER BY period""", *_FC_CTES)
 
 ORACLE["trend_fit"] = with_sales("""
@@ -432,3 +432,92 @@ def _brief_sql() -> str:
 
 ORACLE["insights"] = _insights_sql()
 ORACLE["kpi_brief"] = _brief_sql()
+
+
+# --- bundles, listings, exports, activity ------------------------------------
+
+def _py_round(x: str) -> str:
+    return f"CAST(format('{{:.2f}}', CAST({x} AS DOUBLE)) AS DOUBLE)"
+
+
+CANON = ("order_id, customer_name, product, category, region, quantity, CAST(revenue AS DOUBLE) AS revenue, "
+         "payment_method, order_status, order_date")
+STABLE_ORDER = ("order_date ASC NULLS FIRST, order_id ASC NULLS FIRST, product ASC NULLS FIRST, "
+                "customer_name ASC NULLS FIRST, category ASC NULLS FIRST, region ASC NULLS FIRST, "
+                "quantity ASC NULLS FIRST, revenue ASC NULLS FIRST, payment_method ASC NULLS FIRST, "
+                "order_status ASC NULLS FIRST")
+
+ORACLE["orders_api"] = with_sales(f"""
+SELECT {CANON} FROM sales
+WHERE regexp_matches(lower(product), 'widget') AND category IN ('ECONOMY', 'SMALL')
+ORDER BY {STABLE_ORDER} LIMIT 50""")
+
+ORACLE["orders_page"] = with_sales(f"""
+SELECT {CANON} FROM sales WHERE {E1_WHERE}
+ORDER BY {STABLE_ORDER} LIMIT 10 OFFSET 20""")
+
+ORACLE["preview_rows"] = with_sales(f"SELECT {CANON} FROM sales ORDER BY {STABLE_ORDER} LIMIT 15")
+
+_ROLLUP = [
+    ("month", "strftime(order_date, '%Y-%m')", "CAST(NULL AS VARCHAR)", "order_date IS NOT NULL"),
+    ("day", "strftime(order_date, '%Y-%m-%d')", "CAST(NULL AS VARCHAR)", "order_date IS NOT NULL"),
+    ("category", "category", "CAST(NULL AS VARCHAR)", "category IS NOT NULL"),
+    ("region", "region", "CAST(NULL AS VARCHAR)", "region IS NOT NULL"),
+    ("payment_method", "payment_method", "CAST(NULL AS VARCHAR)", "payment_method IS NOT NULL"),
+    ("order_status", "order_status", "CAST(NULL AS VARCHAR)", "order_status IS NOT NULL"),
+    ("region_category", "region", "category", "region IS NOT NULL AND category IS NOT NULL"),
+    ("total", "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)", "TRUE"),
+]
+ORACLE["dashboard_rollup"] = with_sales(" UNION ALL ".join(
+    f"SELECT '{name}' AS breakdown, {k} AS key, {k2} AS key2, CAST(COALESCE(SUM(revenue), 0) AS DOUBLE) AS revenue, "
+    f"COUNT(*) AS row_count FROM sales WHERE {cond} GROUP BY 2, 3" for name, k, k2, cond in _ROLLUP))
+
+_E2_WHERE = ("order_date >= DATE '1996-01-01' AND order_date <= DATE '1999-06-30' "
+             "AND category IN ('ECONOMY', 'PROMO') AND region IN ('ASIA', 'EUROPE')")
+ORACLE["charts_bundle"] = with_sales(f"""
+SELECT 'monthly_trend' AS chart, strftime(order_date, '%Y-%m') AS label, CAST(SUM(revenue) AS DOUBLE) AS value
+FROM e2 WHERE order_date IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'category_rev', category, CAST(SUM(revenue) AS DOUBLE) FROM e2 WHERE category IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'region_rev', region, CAST(SUM(revenue) AS DOUBLE) FROM e2 WHERE region IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'payment_methods', payment_method, CAST(COUNT(*) AS DOUBLE) FROM e2
+  WHERE payment_method IS NOT NULL GROUP BY 2""", f"e2 AS (SELECT * FROM sales WHERE {_E2_WHERE})")
+
+ORACLE["workbook_summary"] = with_sales(f"""
+SELECT * FROM (VALUES (0, 'Total Revenue (Rs)'), (1, 'Total Orders'), (2, 'Average Order Value (Rs)'),
+                      (3, 'Top Region'), (4, 'Top Category'), (5, 'Cancellation Rate (%)'),
+                      (6, 'Returning Customer Rate (%)')) v(position, metric)
+JOIN (SELECT 0 AS p, {_py_round('total_revenue')} AS value_number, CAST(NULL AS VARCHAR) AS value_text FROM kpi
+      UNION ALL SELECT 1, CAST(total_orders AS DOUBLE), NULL FROM kpi
+      UNION ALL SELECT 2, {_py_round('aov')}, NULL FROM kpi
+      UNION ALL SELECT 3, NULL, top_region FROM kpi
+      UNION ALL SELECT 4, NULL, top_category FROM kpi
+      UNION ALL SELECT 5, {_py_round('cancellation_rate')}, NULL FROM kpi
+      UNION ALL SELECT 6, {_py_round('returning_customer_rate')}, NULL FROM kpi) x ON x.p = v.position""",
+                                       *_kpi_ctes()).replace("SELECT * FROM (VALUES", "SELECT position, metric, value_number, value_text FROM (VALUES")
+
+ORACLE["report_kpi_table"] = with_sales("""
+SELECT position, metric, value FROM (
+  SELECT 0 AS position, 'Total Revenue' AS metric, 'Rs ' || format('{:,.2f}', total_revenue) AS value FROM kpi
+  UNION ALL SELECT 1, 'Total Orders', format('{:,}', total_orders) FROM kpi
+  UNION ALL SELECT 2, 'Average Order Value (AOV)', 'Rs ' || format('{:,.2f}', aov) FROM kpi
+  UNION ALL SELECT 3, 'Top Performing Region', top_region FROM kpi
+  UNION ALL SELECT 4, 'Top Performing Category', top_category FROM kpi
+  UNION ALL SELECT 5, 'Order Cancellation Rate', format('{:.2f}', cancellation_rate) || '%' FROM kpi
+  UNION ALL SELECT 6, 'Returning Customer Rate', format('{:.2f}', returning_customer_rate) || '%' FROM kpi) t""",
+                                        *_kpi_ctes())
+
+ORACLE["report_top_products"] = with_sales("""
+SELECT product, 'Rs ' || format('{:,.2f}', revenue) AS revenue_text, revenue FROM (
+  SELECT product, CAST(SUM(revenue) AS DOUBLE) AS revenue FROM sales WHERE product IS NOT NULL
+  GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10) t""")
+
+ORACLE["recent_activity"] = """
+SELECT e.event_id, e.ts AS created_at, COALESCE(c.c_name, 'system') AS actor, e.event_type AS action,
+       e.props AS details
+FROM (SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 25) e
+LEFT JOIN customer c ON e.user_id = c.c_custkey
+ORDER BY created_at DESC, event_id"""
+
+ORACLE["user_activity_counts"] = """
+SELECT (SELECT COUNT(*) FROM customer) AS total_users,
+       (SELECT COUNT(*) FROM customer WHERE c_custkey IN (SELECT user_id FROM events)) AS active_users"""

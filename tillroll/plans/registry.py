@@ -16,6 +16,11 @@ from ..operators.filters import SalesFilter, apply_filters, date_presets
 from ..operators.kpis import kpi_card
 from ..operators import cleaning as C
 from ..operators import insights as I
+from ..operators import paging as L
+from ..sources import catalog as D
+from ..sources.tables import read_table
+from . import bundles as E
+from . import export as X
 from ..sources.sales import dirty_sales
 from ..sources.sales import canonical, load_sales
 
@@ -70,6 +75,18 @@ def _quality(raw: DataFrame) -> DataFrame:
     return C.quality_report(raw, cleaned_names)
 
 
+def _orders_page(df: DataFrame) -> DataFrame:
+    return _rows(L.page(canonical(apply_filters(df, E1_FILTER)), 3))
+
+
+def _recent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.recent_activity(read_table(spark, sf_dir, "events"), read_table(spark, sf_dir, "customer"))
+
+
+def _activity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.system_counts(read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "events"))
+
+
 QUERIES: dict[str, Query] = {
     "sales_view": _sales_rows,
     "monthly_revenue": _on_sales(B.monthly_revenue),
@@ -98,6 +115,16 @@ QUERIES: dict[str, Query] = {
     "forecast_confidence": _on_sales(P.forecast_confidence),
     "insights": _on_sales(I.insights),
     "kpi_brief": _on_sales(I.kpi_brief),
+    "orders_api": _on_sales(lambda df: _rows(E.orders_endpoint(df, "widget", ["ECONOMY", "SMALL"]))),
+    "orders_page": _on_sales(_orders_page),
+    "preview_rows": _on_sales(lambda df: _rows(L.preview(canonical(df)))),
+    "dashboard_rollup": _on_sales(E.dashboard_rollup),
+    "charts_bundle": _on_sales(lambda df: E.charts_endpoint(df, E1_FILTER)),
+    "workbook_summary": _on_sales(lambda df: X.workbook_summary(kpi_card(df))),
+    "report_kpi_table": _on_sales(lambda df: X.report_kpi_table(kpi_card(df))),
+    "report_top_products": _on_sales(X.report_top_products),
+    "recent_activity": _recent_activity,
+    "user_activity_counts": _activity_counts,
     "data_profile": _on_dirty(_quality),
     "missing_by_column": _on_dirty(C.missing_by_column),
     "data_warnings": _on_dirty(C.warnings_table),

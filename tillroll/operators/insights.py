@@ -1,8 +1,8 @@
 """Rule-based insights (I0-I15) and the KPI brief text (I16).
 
-Input is the KPI card (one row) plus five small distributed top-1 results
+Input is one row: the KPI card plus the five leaders the rules quote
 (leading category, best product, leading region, preferred payment, worst
-region by cancellation) attached as scalar subqueries.  Each rule is a
+region by cancellation), all folded from ONE grouping-sets aggregate.  Each rule is a
 ``when(condition, struct)``; the fired ones are exploded into rows
 (category, position, severity, text).  No raw rows reach the driver.
 """
@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import rate
 from ..functions.text import fixed, grouped_int, money
-from ..schema import NOT_AVAILABLE, STATUS_CANCELLED, UNKNOWN, has
-from .breakdowns import revenue_total
-from .kpis import kpi_card
+from ..schema import NOT_AVAILABLE, UNKNOWN
+from .kpis import EXTRA_LEVELS, Levels, kpi_card_with_leaders
 
 # --- fixed values: category names, severities and sentence templates -------
 # Placeholders: {name:,.2f} money, {name:,} grouped integer, {name:.1f} /
@@ -100,39 +99,15 @@ def render(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
-def _top1(df: DataFrame, key: str, value: Column, name: str) -> Column:
-    """Scalar subquery: struct(key, value) of the largest value (ties: key asc)."""
-    agg = df.where(F.col(key).isNotNull()).groupBy(key).agg(value.alias("v"))
-    return agg.orderBy(F.desc("v"), F.asc(key)).limit(1) \
-        .select(F.struct(F.col(key).cast("string").alias("k"), F.col("v").alias("v")).alias(name)).scalar()
-
-
-def insight_inputs(df: DataFrame, kpis: DataFrame | None = None) -> DataFrame:
-    """One row: the KPI card plus the five leaders the rules quote."""
-    card = kpis if kpis is not None else kpi_card(df)
-    extra = {"non_empty": df.exists()}
-    if has(df, "category", "revenue"):
-        extra["lead_category"] = _top1(df, "category", revenue_total(), "lc")
-    if has(df, "product", "revenue"):
-        extra["best_product"] = _top1(df, "product", revenue_total(), "bp")
-    if has(df, "region", "revenue"):
-        extra["lead_region"] = _top1(df, "region", revenue_total(), "lr")
-    if has(df, "payment_method"):
-        extra["payment"] = _top1(df, "payment_method", F.count(F.lit(1)), "pm")
-    if has(df, "region", "order_status"):
-        cancelled = F.lower(F.col("order_status")) == STATUS_CANCELLED
-        per_region = (df.where(F.col("region").isNotNull()).groupBy("region")
-                        .agg(F.count_if(cancelled).alias("c"), F.count(F.lit(1)).alias("t"))
-                        .where(F.col("c") > 0)
-                        .select("region", rate(F.col("c"), F.col("t")).alias("v")))
-        extra["worst_region"] = per_region.orderBy(F.desc("v"), F.asc("region")).limit(1) \
-            .select(F.struct(F.col("region").cast("string").alias("k"), F.col("v").alias("v"))).scalar()
-    return card.select("*", *[c.alias(n) for n, c in extra.items()])
-
-
-def insights(df: DataFrame, kpis: DataFrame | None = None) -> DataFrame:
+def insight_inputs(df: DataFrame) -> DataFrame:
+    """One row: the KPI card plus the five leaders the rules quote, all from
+    one grouping-sets aggregate (one scan)."""
+    return kpi_card_with_leaders(df)
+
+
+def insights(df: DataFrame) -> DataFrame:
     """I0-I15 as rows (category, position, severity, text) in display order."""
-    row = insight_inputs(df, kpis)
+    row = insight_inputs(df)
     cols = set(row.columns)
     v = {
         "total_revenue": F.col("total_revenue"), "total_orders": F.col("total_orders"),
@@ -203,34 +178,46 @@ def insights(df: DataFrame, kpis: DataFrame | None = None) -> DataFrame:
 # --- I16: KPI brief --------------------------------------------------------
 
 
-def _section(df: DataFrame, key: str, value: str | None, k: int = 5) -> Column:
-    """Scalar subquery: the top-k lines of one section joined by newlines."""
-    if not has(df, key):
-        return F.lit(BRIEF_MISSING)
-    if value is not None and has(df, value):
-        agg = df.where(F.col(key).isNotNull()).groupBy(key).agg(revenue_total(value).alias("value"))
+def _section(lv: Levels, name: str, by_revenue: bool, k: int = 5) -> Column:
+    """Scalar subquery over the shared aggregate: top-k lines of one level.
+
+    Every section reads the same grouping-sets exchange (reused), and each
+    takes its top k with TakeOrderedAndProject.
+    """
+    if by_revenue:
+        rows = lv.grouped.where(lv.level(name)).select(
+            F.col(name).cast("string").alias("label"), F.coalesce(F.col("rev"), F.lit(0)).cast("double").alias("value"))
         line = BRIEF_VALUE_LINE
     else:
-        agg = (df.select(F.coalesce(F.col(key).cast("string"), F.lit(UNKNOWN)).alias(key))
-                 .groupBy(key).agg(F.count(F.lit(1)).alias("value")))
+        rows = lv.grouped.where(lv.level(name, keep_null=True)).select(
+            F.coalesce(F.col(name).cast("string"), F.lit(UNKNOWN)).alias("label"), F.col("n").alias("value"))
         line = BRIEF_COUNT_LINE
-    top = agg.orderBy(F.desc("value"), F.asc(key)).limit(k)
-    text = render(line, {"label": F.col(key).cast("string"), "value": F.col("value")})
+    top = rows.orderBy(F.desc("value"), F.asc("label")).limit(k)
+    text = render(line, {"label": F.col("label"), "value": F.col("value")})
     joined = top.agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct((-F.col("value").cast("double")).alias("o"),
-                                             F.col(key).cast("string").alias("k"), text.alias("t")))),
+                                             F.col("label").alias("k"), text.alias("t")))),
         lambda x: x["t"]), "\n").alias("s"))
     # No groups: the section has no lines (null is skipped by concat_ws).
     return F.nullif(joined.scalar(), F.lit(""))
 
 
-def kpi_brief(df: DataFrame, kpis: DataFrame | None = None) -> DataFrame:
-    """I16: the KPI summary text (8 metric lines, then five top-5 sections)."""
-    card = kpis if kpis is not None else kpi_card(df)
+def kpi_brief(df: DataFrame) -> DataFrame:
+    """I16: the KPI summary text (8 metric lines, then five top-5 sections).
+
+    A section keyed by a missing column reads ``- N/A``; a revenue section
+    without a revenue column lists row counts instead.
+    """
+    lv = Levels(df, extra=tuple(key for _, key, _ in BRIEF_SECTIONS))
+    card = kpi_card_with_leaders(df, lv)
     values = {c: F.col(c) for c in card.columns}
     lines: list[Column] = [render(t, values) for t in BRIEF_LINES]
-    non_empty = df.exists()
     for title, key, value in BRIEF_SECTIONS:
-        body = F.when(non_empty, _section(df, key, value)).otherwise(F.lit(BRIEF_MISSING))
+        if key not in df.columns:
+            body = F.lit(BRIEF_MISSING)
+        else:
+            by_revenue = value is not None and lv.has_rev
+            section = _section(lv, EXTRA_LEVELS[key], by_revenue)
+            body = F.when(F.col("non_empty"), section).otherwise(F.lit(BRIEF_MISSING))
         lines += [F.lit(""), F.lit(title), body]
     return card.select(F.concat_ws("\n", *lines).alias("brief"))

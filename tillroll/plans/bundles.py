@@ -116,7 +116,7 @@ def report_endpoint(df: DataFrame, spec: SalesFilter | None = None) -> dict[str,
     """E5: KPI card and insights with date filters."""
     f = apply_filters(df, _restrict(spec, "date_start", "date_end"))
     card = kpi_card(f)
-    return {"kpis": card, "insights": insights(f, card)}
+    return {"kpis": card, "insights": insights(f)}
 
 
 def dashboard(df: DataFrame, spec: SalesFilter | None = None, page_number=1) -> dict[str, DataFrame]:
@@ -147,7 +147,7 @@ def dashboard(df: DataFrame, spec: SalesFilter | None = None, page_number=1) ->
         "page": page(_canonical(f), page_number),
         "filter_options": B.filter_options(df),
         "date_presets": date_presets(df),
-        "insights": insights(f, card),
+        "insights": insights(f),
         "forecast": forecast(f),
         "forecast_meta": forecast_confidence(f),
     }

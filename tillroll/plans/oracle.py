@@ -360,7 +360,7 @@ def _fmt_sql(template: str, values: dict[str, str]) -> str:
     return " || ".join(parts)
 
 
-def _insights_sql() -> str:
+def _insights_sql(where: str = "TRUE") -> str:
     from ..operators.insights import CATEGORIES, TEMPLATES as T
     v = {"total_revenue": "total_revenue", "total_orders": "total_orders", "aov": "aov",
          "growth": "monthly_growth", "decline": "abs(monthly_growth)", "margin": "profit_margin",
@@ -390,7 +390,7 @@ def _insights_sql() -> str:
     ]
     branches = [f"SELECT {c} AS cat, {o} AS ord, '{CATEGORIES[c]}' AS category, '{sev}' AS severity, "
                 f"{_fmt_sql(T[t], v)} AS text FROM kpi WHERE {cond}" for c, o, sev, t, cond in rules]
-    ctes = _kpi_ctes() + [
+    ctes = _kpi_ctes(where) + [
         "lc AS (SELECT category AS k, CAST(SUM(revenue) AS DOUBLE) AS v FROM f WHERE category IS NOT NULL "
         "GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)",
         "bp AS (SELECT product AS k, CAST(SUM(revenue) AS DOUBLE) AS v FROM f WHERE product IS NOT NULL "
@@ -521,3 +521,10 @@ ORDER BY created_at DESC, event_id"""
 ORACLE["user_activity_counts"] = """
 SELECT (SELECT COUNT(*) FROM customer) AS total_users,
        (SELECT COUNT(*) FROM customer WHERE c_custkey IN (SELECT user_id FROM events)) AS active_users"""
+
+REPORT_WHERE = "order_date >= DATE '1997-01-01' AND order_date <= DATE '1998-12-31'"
+ORACLE["report_insights"] = _insights_sql(REPORT_WHERE)
+
+ORACLE["document_previews"] = """
+SELECT doc_id, CASE WHEN length(t) > 180 THEN substring(t, 1, 180) || '...' ELSE t END AS preview
+FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) d"""

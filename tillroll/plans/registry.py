@@ -87,6 +87,18 @@ def _activity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.system_counts(read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "events"))
 
 
+# Date window of the report endpoint.
+REPORT_FILTER = SalesFilter(date_start="1997-01-01", date_end="1998-12-31")
+
+
+def _document_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from ..functions.text import preview
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", preview(F.col("text")).alias("preview"))
+
+
 QUERIES: dict[str, Query] = {
     "sales_view": _sales_rows,
     "monthly_revenue": _on_sales(B.monthly_revenue),
@@ -123,6 +135,8 @@ QUERIES: dict[str, Query] = {
     "workbook_summary": _on_sales(lambda df: X.workbook_summary(kpi_card(df))),
     "report_kpi_table": _on_sales(lambda df: X.report_kpi_table(kpi_card(df))),
     "report_top_products": _on_sales(X.report_top_products),
+    "report_insights": _on_sales(lambda df: E.report_endpoint(df, REPORT_FILTER)["insights"]),
+    "document_previews": _document_previews,
     "recent_activity": _recent_activity,
     "user_activity_counts": _activity_counts,
     "data_profile": _on_dirty(_quality),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import rate
 from ..functions.text import fixed, grouped_int, money
 from ..schema import NOT_AVAILABLE, UNKNOWN
-from .kpis import EXTRA_LEVELS, Levels, kpi_card_with_leaders
+from .kpis import kpi_card_with_leaders
 
 # --- fixed values: category names, severities and sentence templates -------
 # Placeholders: {name:,.2f} money, {name:,} grouped integer, {name:.1f} /
@@ -178,28 +178,30 @@ def insights(df: DataFrame) -> DataFrame:
 # --- I16: KPI brief --------------------------------------------------------
 
 
-def _section(lv: Levels, name: str, by_revenue: bool, k: int = 5) -> Column:
-    """Scalar subquery over the shared aggregate: top-k lines of one level.
+def _section(df: DataFrame, key: str, by_revenue: bool, k: int = 5) -> Column:
+    """Scalar subquery: the top-k lines of one section, joined by newlines.
 
-    Every section reads the same grouping-sets exchange (reused), and each
-    takes its top k with TakeOrderedAndProject.
+    A two-column scan, a partially aggregated group-by and a top-k
+    (TakeOrderedAndProject); null keys are dropped for revenue sections and
+    counted as ``Unknown`` for count sections.
     """
     if by_revenue:
-        rows = lv.grouped.where(lv.level(name)).select(
-            F.col(name).cast("string").alias("label"), F.coalesce(F.col("rev"), F.lit(0)).cast("double").alias("value"))
+        rows = (df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("label"))
+                  .agg(F.coalesce(F.sum("revenue"), F.lit(0)).cast("double").alias("value")))
         line = BRIEF_VALUE_LINE
     else:
-        rows = lv.grouped.where(lv.level(name, keep_null=True)).select(
-            F.coalesce(F.col(name).cast("string"), F.lit(UNKNOWN)).alias("label"), F.col("n").alias("value"))
+        rows = (df.groupBy(F.coalesce(F.col(key).cast("string"), F.lit(UNKNOWN)).alias("label"))
+                  .agg(F.count(F.lit(1)).alias("value")))
         line = BRIEF_COUNT_LINE
     top = rows.orderBy(F.desc("value"), F.asc("label")).limit(k)
     text = render(line, {"label": F.col("label"), "value": F.col("value")})
-    joined = top.agg(F.array_join(F.transform(
+    lines = F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct((-F.col("value").cast("double")).alias("o"),
                                              F.col("label").alias("k"), text.alias("t")))),
-        lambda x: x["t"]), "\n").alias("s"))
-    # No groups: the section has no lines (null is skipped by concat_ws).
-    return F.nullif(joined.scalar(), F.lit(""))
+        lambda x: x["t"]), "\n")
+    # No groups: the section has no lines (null is skipped by concat_ws).  The
+    # null test stays inside the subquery so the subquery is planned once.
+    return top.agg(F.nullif(lines, F.lit("")).alias("s")).scalar()
 
 
 def kpi_brief(df: DataFrame) -> DataFrame:
@@ -208,16 +210,14 @@ def kpi_brief(df: DataFrame) -> DataFrame:
     A section keyed by a missing column reads ``- N/A``; a revenue section
     without a revenue column lists row counts instead.
     """
-    lv = Levels(df, extra=tuple(key for _, key, _ in BRIEF_SECTIONS))
-    card = kpi_card_with_leaders(df, lv)
+    card = kpi_card_with_leaders(df, leaders=False)
     values = {c: F.col(c) for c in card.columns}
     lines: list[Column] = [render(t, values) for t in BRIEF_LINES]
     for title, key, value in BRIEF_SECTIONS:
         if key not in df.columns:
             body = F.lit(BRIEF_MISSING)
         else:
-            by_revenue = value is not None and lv.has_rev
-            section = _section(lv, EXTRA_LEVELS[key], by_revenue)
-            body = F.when(F.col("non_empty"), section).otherwise(F.lit(BRIEF_MISSING))
+            by_revenue = value is not None and value in df.columns
+            body = F.when(F.col("non_empty"), _section(df, key, by_revenue)).otherwise(F.lit(BRIEF_MISSING))
         lines += [F.lit(""), F.lit(title), body]
     return card.select(F.concat_ws("\n", *lines).alias("brief"))

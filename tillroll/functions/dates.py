@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 
-from ..schema import MONTH_FORMAT
+from ..schema import MONTH_FORMAT, col
 
 # Extra text layouts tried, in order, after the ISO forms the default cast
 # already accepts.  Empty by default: an unparseable value becomes null.
@@ -16,7 +16,7 @@ EXTRA_DATE_FORMATS: tuple[str, ...] = ()
 def parse_or_null(df: DataFrame, name: str, formats: tuple[str, ...] = EXTRA_DATE_FORMATS) -> Column:
     """Timestamp value of column ``name``; text that is not a date becomes null."""
     dtype = df.schema[name].dataType
-    c = F.col(name)
+    c = col(name)
     if isinstance(dtype, (TimestampType, TimestampNTZType)):
         return c.cast("timestamp")
     if isinstance(dtype, DateType):
@@ -32,7 +32,7 @@ def as_date(df: DataFrame, name: str) -> Column:
     """Calendar day of column ``name`` (DATE), null when unparseable."""
     dtype = df.schema[name].dataType
     if isinstance(dtype, DateType):
-        return F.col(name)
+        return col(name)
     return F.to_date(parse_or_null(df, name))
 
 

@@ -7,7 +7,8 @@ costs a job: the operator returns its documented default instead.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # --- fixed values (must equal the behaviour being reproduced) -------------
 
@@ -73,3 +74,8 @@ def date_columns_ci(df: DataFrame) -> list[str]:
 def has(df: DataFrame, *names: str) -> bool:
     cols = set(df.columns)
     return all(n in cols for n in names)
+
+
+def col(name: str) -> Column:
+    """Column by exact name (quoted, so dots or spaces in raw headers are literal)."""
+    return F.col("`" + name.replace("`", "``") + "`")

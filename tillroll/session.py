@@ -102,3 +102,10 @@ def file_fingerprint(spark: SparkSession, path: str) -> str:
             newest = max(newest, child.getModificationTime())
         return f"{path}:{total}:{newest}"
     return f"{path}:{status.getLen()}:{status.getModificationTime()}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder this engine wrote (staging copies)."""
+    fs, hpath = _hadoop_fs(spark, path)
+    if fs.exists(hpath):
+        fs.delete(hpath, True)

@@ -25,7 +25,7 @@ from pyspark.sql.types import (
 )
 
 from ..functions.dates import month_label
-from ..session import _hadoop_fs, derived_table_path, file_fingerprint, path_exists
+from ..session import _hadoop_fs, derived_table_path, file_fingerprint, path_exists, remove_path
 from .tables import read_table, table_path
 
 SOURCE_TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
@@ -126,6 +126,7 @@ def materialize_sales(spark: SparkSession, sf_dir: str, refresh: bool = False) -
         fs.delete(target, True)
     if fs.exists(target):
         # Another writer published first; its table is equivalent.
+        remove_path(spark, staging)
         return path
     jvm = spark.sparkContext._jvm
     if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target) \

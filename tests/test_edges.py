@@ -111,3 +111,9 @@ def test_end_date_is_midnight(spark):
                        (3, "a", "P", "C", "R", 1.0, 1.0, "X", "D", "2023-02-01 00:00:00")])
     got = apply_filters(df, SalesFilter(date_start="2023-01-01", date_end="2023-01-31"))
     assert sorted(r["order_id"] for r in got.collect()) == [1]
+
+
+def test_group_of_null_revenues_counts_as_zero(spark):
+    df = frame(spark, [(1, "a", "P", "C", "N", 1.0, None, "X", "D", "2023-01-01"),
+                       (2, "a", "P", "C", "S", 1.0, 10.0, "X", "D", "2023-01-01")])
+    assert one(kpi_card(df))["top_region"] == "S"

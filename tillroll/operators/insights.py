@@ -107,7 +107,11 @@ def insight_inputs(df: DataFrame) -> DataFrame:
 
 def insights(df: DataFrame) -> DataFrame:
     """I0-I15 as rows (category, position, severity, text) in display order."""
-    row = insight_inputs(df)
+    return insights_from(insight_inputs(df))
+
+
+def insights_from(row: DataFrame) -> DataFrame:
+    """I0-I15 from an ``insight_inputs`` row (lets a caller share that row)."""
     cols = set(row.columns)
     v = {
         "total_revenue": F.col("total_revenue"), "total_orders": F.col("total_orders"),

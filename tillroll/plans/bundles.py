@@ -3,8 +3,9 @@
 The dashboard bundle answers the monthly, daily, category, region, payment,
 status and region x category breakdowns from ONE grouping-sets aggregate
 (one scan, partial aggregation per task); the small rollup result is cached
-for the charts that slice it.  Top-k, KPIs, insights and the forecast are
-their own aggregates over the same filtered scan.
+for the charts that slice it.  The KPI card and the insights share one
+cached one-row aggregate.  Top-k and the forecast are their own aggregates
+over the same filtered scan.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from ..functions.dates import as_date, month_label, month_start
 from ..operators import breakdowns as B
 from ..operators.filters import SalesFilter, apply_filters, date_presets
 from ..operators.forecast import forecast, forecast_confidence
-from ..operators.insights import insights
-from ..operators.kpis import kpi_card
+from ..operators.insights import insights_from
+from ..operators.kpis import KPI_COLUMNS, kpi_card, kpi_card_with_leaders
 from ..operators.paging import first_rows, page
 from ..schema import date_column
 
@@ -115,8 +116,8 @@ def forecast_endpoint(df: DataFrame) -> DataFrame:
 def report_endpoint(df: DataFrame, spec: SalesFilter | None = None) -> dict[str, DataFrame]:
     """E5: KPI card and insights with date filters."""
     f = apply_filters(df, _restrict(spec, "date_start", "date_end"))
-    card = kpi_card(f)
-    return {"kpis": card, "insights": insights(f)}
+    row = kpi_card_with_leaders(f).cache()  # one row, shared by both results
+    return {"kpis": row.select(*KPI_COLUMNS), "insights": insights_from(row)}
 
 
 def dashboard(df: DataFrame, spec: SalesFilter | None = None, page_number=1) -> dict[str, DataFrame]:
@@ -131,7 +132,8 @@ def dashboard(df: DataFrame, spec: SalesFilter | None = None, page_number=1) ->
     def level(name: str, key: str, value: str = "revenue") -> DataFrame:
         return rollup.where(F.col("breakdown") == name).select(F.col("key").alias(key), value).orderBy(key)
 
-    card = kpi_card(f)
+    row = kpi_card_with_leaders(f).cache()  # one row: KPI card + insight inputs
+    card = row.select(*KPI_COLUMNS)
     pairs = rollup.where(F.col("breakdown") == "region_category") \
         .select(F.col("key").alias("region"), F.col("key2").alias("category"), "revenue")
     return {
@@ -147,7 +149,7 @@ def dashboard(df: DataFrame, spec: SalesFilter | None = None, page_number=1) ->
         "page": page(_canonical(f), page_number),
         "filter_options": B.filter_options(df),
         "date_presets": date_presets(df),
-        "insights": insights(f),
+        "insights": insights_from(row),
         "forecast": forecast(f),
         "forecast_meta": forecast_confidence(f),
     }

@@ -71,8 +71,7 @@ def _on_dirty(op) -> Query:
 
 
 def _quality(raw: DataFrame) -> DataFrame:
-    cleaned_names = C.drop_empty_columns(C.apply_synonyms(C.clean_column_names(raw))).columns
-    return C.quality_report(raw, cleaned_names)
+    return C.quality_report(raw)
 
 
 def _orders_page(df: DataFrame) -> DataFrame:

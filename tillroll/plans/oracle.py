@@ -307,23 +307,21 @@ _PROFILE = [
 ]
 
 ORACLE["data_profile"] = with_sales("""
+SELECT *, CASE WHEN quality_score >= 90 THEN 'Excellent' WHEN quality_score >= 75 THEN 'Good'
+               WHEN quality_score >= 60 THEN 'Needs Review' ELSE 'Poor' END AS quality_grade
+FROM scored""", *DIRTY, *_PROFILE, """scored AS (
 SELECT CAST(total_rows AS BIGINT) AS total_rows, 11 AS total_columns,
        CAST(missing_cells AS BIGINT) AS missing_cells, duplicate_count,
        CAST(bad_dates AS BIGINT) AS invalid_date_count, CAST(negatives AS BIGINT) AS negative_revenue_count,
-       CAST(warnings AS INTEGER) AS warning_count, 0 AS missing_required,
+       CAST(warnings AS INTEGER) AS warning_count,
+       0 AS missing_required,  -- the ten raw headers map onto the ten required names
        CAST(GREATEST(0, LEAST(100, 100 - 0
          - LEAST(20, round_even((missing_cells / n) * 8, 0))
          - LEAST(15, round_even((duplicate_count / n) * 100, 0))
          - LEAST(15, round_even((bad_dates / n) * 100, 0))
          - LEAST(15, round_even((negatives / n) * 100, 0))
          - LEAST(10, warnings * 2))) AS INTEGER) AS quality_score
-FROM prof""", *DIRTY, *_PROFILE)
-# grade follows from the score
-ORACLE["data_profile"] = ORACLE["data_profile"].replace(
-    "SELECT CAST(total_rows AS BIGINT) AS total_rows",
-    "SELECT *, CASE WHEN quality_score >= 90 THEN 'Excellent' WHEN quality_score >= 75 THEN 'Good' "
-    "WHEN quality_score >= 60 THEN 'Needs Review' ELSE 'Poor' END AS quality_grade FROM (\n"
-    "SELECT CAST(total_rows AS BIGINT) AS total_rows", 1) + ") s"
+FROM prof)""")
 
 ORACLE["missing_by_column"] = with_sales(
     " UNION ALL ".join(f"SELECT '{c}' AS column_name, {i} AS position, CAST(m{i} AS BIGINT) AS missing_count FROM counts"
@@ -483,9 +481,10 @@ UNION ALL SELECT 'payment_methods', payment_method, CAST(COUNT(*) AS DOUBLE) FRO
   WHERE payment_method IS NOT NULL GROUP BY 2""", f"e2 AS (SELECT * FROM sales WHERE {_E2_WHERE})")
 
 ORACLE["workbook_summary"] = with_sales(f"""
-SELECT * FROM (VALUES (0, 'Total Revenue (Rs)'), (1, 'Total Orders'), (2, 'Average Order Value (Rs)'),
-                      (3, 'Top Region'), (4, 'Top Category'), (5, 'Cancellation Rate (%)'),
-                      (6, 'Returning Customer Rate (%)')) v(position, metric)
+SELECT v.position, v.metric, x.value_number, x.value_text
+FROM (VALUES (0, 'Total Revenue (Rs)'), (1, 'Total Orders'), (2, 'Average Order Value (Rs)'),
+             (3, 'Top Region'), (4, 'Top Category'), (5, 'Cancellation Rate (%)'),
+             (6, 'Returning Customer Rate (%)')) v(position, metric)
 JOIN (SELECT 0 AS p, {_py_round('total_revenue')} AS value_number, CAST(NULL AS VARCHAR) AS value_text FROM kpi
       UNION ALL SELECT 1, CAST(total_orders AS DOUBLE), NULL FROM kpi
       UNION ALL SELECT 2, {_py_round('aov')}, NULL FROM kpi
@@ -493,7 +492,7 @@ JOIN (SELECT 0 AS p, {_py_round('total_revenue')} AS value_number, CAST(NULL AS
       UNION ALL SELECT 4, NULL, top_category FROM kpi
       UNION ALL SELECT 5, {_py_round('cancellation_rate')}, NULL FROM kpi
       UNION ALL SELECT 6, {_py_round('returning_customer_rate')}, NULL FROM kpi) x ON x.p = v.position""",
-                                       *_kpi_ctes()).replace("SELECT * FROM (VALUES", "SELECT position, metric, value_number, value_text FROM (VALUES")
+                                       *_kpi_ctes())
 
 ORACLE["report_kpi_table"] = with_sales("""
 SELECT position, metric, value FROM (

@@ -1,7 +1,8 @@
 """Registered queries: one callable per operator, ``(spark, sf_dir) -> DataFrame``.
 
-Each reads the driver tables through the stored sales table (derived from
-them by Spark), so its work grows with the data.
+Each reads the driver tables -- directly, or through the stored sales table
+and its dirty variant, which Spark derives from them -- so its work grows
+with the data.
 """
 
 from __future__ import annotations
@@ -9,36 +10,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.text import preview
 from ..operators import breakdowns as B
-from ..operators import forecast as P
-from ..operators.filters import SalesFilter, apply_filters, date_presets
-from ..operators.kpis import kpi_card
 from ..operators import cleaning as C
+from ..operators import forecast as P
 from ..operators import insights as I
 from ..operators import paging as L
+from ..operators.filters import SalesFilter, apply_filters, date_presets
+from ..operators.kpis import kpi_card
 from ..sources import catalog as D
+from ..sources.sales import canonical, dirty_sales, load_sales
 from ..sources.tables import read_table
 from . import bundles as E
 from . import export as X
-from ..sources.sales import dirty_sales
-from ..sources.sales import canonical, load_sales
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-
-def _on_sales(op) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return op(load_sales(spark, sf_dir))
-    run.__name__ = getattr(op, "__name__", "query")
-    return run
-
-
-def _sales_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = canonical(load_sales(spark, sf_dir))
-    return df.withColumn("revenue", df["revenue"].cast("double"))
-
-
 # Filters of the KPI endpoint (dates, category, region, payment, status).
 E1_FILTER = SalesFilter(
     date_start="1996-01-01", date_end="1999-06-30", category=["ECONOMY", "PROMO"],
@@ -52,16 +41,14 @@ F10_FILTER = SalesFilter(
     order_status=["Delivered", "Shipped", "Cancelled"], revenue_min="5000", revenue_max="80000",
     product_search="^(Red|Blue|Hot) ")
 
-
-def _rows(df: DataFrame) -> DataFrame:
-    out = canonical(df)
-    return out.withColumn("revenue", out["revenue"].cast("double"))
+# Date window of the report endpoint.
+REPORT_FILTER = SalesFilter(date_start="1997-01-01", date_end="1998-12-31")
 
 
-def _trend_fit(df: DataFrame) -> DataFrame:
-    from pyspark.sql import functions as F
-    fit = P.trend_fit(df)
-    return fit.select("n_months", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
+def _on_sales(op) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return op(load_sales(spark, sf_dir))
+    return run
 
 
 def _on_dirty(op) -> Query:
@@ -70,12 +57,15 @@ def _on_dirty(op) -> Query:
     return run
 
 
-def _quality(raw: DataFrame) -> DataFrame:
-    return C.quality_report(raw)
+def _rows(df: DataFrame) -> DataFrame:
+    """Canonical row columns with revenue as DOUBLE."""
+    out = canonical(df)
+    return out.withColumn("revenue", out["revenue"].cast("double"))
 
 
-def _orders_page(df: DataFrame) -> DataFrame:
-    return _rows(L.page(canonical(apply_filters(df, E1_FILTER)), 3))
+def _trend_fit(df: DataFrame) -> DataFrame:
+    fit = P.trend_fit(df)
+    return fit.select("n_months", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
 def _recent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,20 +76,14 @@ def _activity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.system_counts(read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "events"))
 
 
-# Date window of the report endpoint.
-REPORT_FILTER = SalesFilter(date_start="1997-01-01", date_end="1998-12-31")
-
-
 def _document_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    from ..functions.text import preview
     docs = read_table(spark, sf_dir, "documents")
     return docs.select("doc_id", preview(F.col("text")).alias("preview"))
 
 
 QUERIES: dict[str, Query] = {
-    "sales_view": _sales_rows,
+    # J5 and the breakdowns
+    "sales_view": _on_sales(_rows),
     "monthly_revenue": _on_sales(B.monthly_revenue),
     "revenue_by_category": _on_sales(B.revenue_by_category),
     "revenue_by_region": _on_sales(B.revenue_by_region),
@@ -116,29 +100,35 @@ QUERIES: dict[str, Query] = {
     "region_cancellation": _on_sales(B.region_cancellation),
     "monthly_history": _on_sales(B.monthly_history),
     "filter_options": _on_sales(B.filter_options),
+    # KPIs and filters
     "kpis": _on_sales(kpi_card),
     "kpis_filtered": _on_sales(lambda df: kpi_card(apply_filters(df, E1_FILTER))),
     "filtered_orders": _on_sales(lambda df: _rows(apply_filters(df, F10_FILTER))),
     "date_presets": _on_sales(date_presets),
+    # forecast
     "forecast": _on_sales(P.forecast),
     "forecast_series": _on_sales(P.forecast_series),
     "trend_fit": _on_sales(_trend_fit),
     "forecast_confidence": _on_sales(P.forecast_confidence),
+    # insights
     "insights": _on_sales(I.insights),
     "kpi_brief": _on_sales(I.kpi_brief),
+    "report_insights": _on_sales(lambda df: E.report_endpoint(df, REPORT_FILTER)["insights"]),
+    # listings, bundles, exports
     "orders_api": _on_sales(lambda df: _rows(E.orders_endpoint(df, "widget", ["ECONOMY", "SMALL"]))),
-    "orders_page": _on_sales(_orders_page),
+    "orders_page": _on_sales(lambda df: _rows(L.page(canonical(apply_filters(df, E1_FILTER)), 3))),
     "preview_rows": _on_sales(lambda df: _rows(L.preview(canonical(df)))),
     "dashboard_rollup": _on_sales(E.dashboard_rollup),
     "charts_bundle": _on_sales(lambda df: E.charts_endpoint(df, E1_FILTER)),
     "workbook_summary": _on_sales(lambda df: X.workbook_summary(kpi_card(df))),
     "report_kpi_table": _on_sales(lambda df: X.report_kpi_table(kpi_card(df))),
     "report_top_products": _on_sales(X.report_top_products),
-    "report_insights": _on_sales(lambda df: E.report_endpoint(df, REPORT_FILTER)["insights"]),
+    # text preview, activity
     "document_previews": _document_previews,
     "recent_activity": _recent_activity,
     "user_activity_counts": _activity_counts,
-    "data_profile": _on_dirty(_quality),
+    # profiling and cleaning (dirty variant)
+    "data_profile": _on_dirty(C.quality_report),
     "missing_by_column": _on_dirty(C.missing_by_column),
     "data_warnings": _on_dirty(C.warnings_table),
     "cleaned_sales": _on_dirty(C.clean_data),

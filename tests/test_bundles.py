@@ -81,3 +81,23 @@ def test_dataset_preview(spark, sales, tmp_path):
     assert view["rows"].count() == 15 and "revenue" in view["columns"]
     prof = one(view["profile"])
     assert prof["total_rows"] == 200 and prof["data_type_warnings"] == []
+
+
+def test_json_rows(sample):
+    import json
+
+    from tillroll.sources.sinks import as_json
+    rows = [json.loads(r["json"]) for r in as_json(kpi_card(sample)).collect()]
+    assert rows[0]["total_revenue"] == 2150.0 and rows[0]["top_region"] == "North"
+
+
+def test_system_counts_and_newest_first(spark, tmp_path):
+    users = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "c_custkey bigint, c_name string")
+    events = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 9)], "event_id bigint, user_id bigint")
+    root = str(tmp_path / "cat")
+    catalog.register(spark, root, {"name": "x", "path": "/p/x"})
+    catalog.register(spark, root, {"name": "y", "path": "/p/y"})
+    got = one(catalog.system_counts(users, events, catalog.with_active_flag(spark, root)))
+    assert got == {"total_users": 3, "active_users": 2, "total_datasets": 2, "active_datasets": 1}
+    listing = catalog.newest_first(catalog.datasets(spark, root), "uploaded_at", "dataset_id").collect()
+    assert [r["name"] for r in listing] == ["y", "x"]

@@ -164,3 +164,20 @@ def test_forecast_matches_brute_force(spark, rows):
         assert g[0] == w[0] and g[2] == w[2] and g[4] == w[4]
         assert g[1] == pytest.approx(w[1], abs=0.006) and g[5] == pytest.approx(w[5], abs=0.006)
         assert abs(g[3] - w[3]) <= 0.5 + 1e-9
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=rows_strategy)
+def test_insight_rows_are_well_formed(spark, rows):
+    from tillroll.operators.insights import CATEGORIES, insights
+    got = [r.asDict() for r in insights(spark.createDataFrame(rows, SCHEMA)).collect()]
+    if not rows:
+        assert [r["text"] for r in got] == ["No data available to generate insights."]
+        return
+    order = [CATEGORIES.index(r["category"]) for r in got]
+    assert order == sorted(order)
+    for cat in set(r["category"] for r in got):
+        assert [r["position"] for r in got if r["category"] == cat] == list(range(sum(
+            1 for r in got if r["category"] == cat)))
+    assert all(r["severity"] in ("good", "warning", "critical") and r["text"] for r in got)
+    assert (sum(r[6] or 0 for r in rows) > 0) == any(r["text"].startswith("Total revenue") for r in got)

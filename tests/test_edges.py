@@ -117,3 +117,9 @@ def test_group_of_null_revenues_counts_as_zero(spark):
     df = frame(spark, [(1, "a", "P", "C", "N", 1.0, None, "X", "D", "2023-01-01"),
                        (2, "a", "P", "C", "S", 1.0, 10.0, "X", "D", "2023-01-01")])
     assert one(kpi_card(df))["top_region"] == "S"
+
+
+def test_region_cancellation_alert_without_revenue(spark, sample):
+    texts = [r["text"] for r in insights(sample.drop("revenue")).collect()]
+    assert "South region is experiencing an abnormal cancellation rate of 100.0%." in texts
+    assert not any("strongest market" in t for t in texts)

@@ -527,3 +527,6 @@ ORACLE["report_insights"] = _insights_sql(REPORT_WHERE)
 ORACLE["document_previews"] = """
 SELECT doc_id, CASE WHEN length(t) > 180 THEN substring(t, 1, 180) || '...' ELSE t END AS preview
 FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) d"""
+
+# The CSV round trip must profile exactly like the dirty variant itself.
+ORACLE["csv_profile"] = ORACLE["data_profile"]

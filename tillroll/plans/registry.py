@@ -21,7 +21,8 @@ from ..operators import paging as L
 from ..operators.filters import SalesFilter, apply_filters, date_presets
 from ..operators.kpis import kpi_card
 from ..sources import catalog as D
-from ..sources.sales import canonical, dirty_sales, load_sales
+from ..sources.csv import read_sales_csv
+from ..sources.sales import canonical, dirty_sales, dirty_sales_csv, load_sales
 from ..sources.tables import read_table
 from . import bundles as E
 from . import export as X
@@ -81,6 +82,12 @@ def _document_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", preview(F.col("text")).alias("preview"))
 
 
+def _csv_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S6 -> S1 -> C16-C19: the dirty variant written as CSV, read back with
+    type inference and profiled (equal to profiling the variant itself)."""
+    return C.quality_report(read_sales_csv(spark, dirty_sales_csv(spark, sf_dir)))
+
+
 QUERIES: dict[str, Query] = {
     # J5 and the breakdowns
     "sales_view": _on_sales(_rows),
@@ -132,4 +139,5 @@ QUERIES: dict[str, Query] = {
     "missing_by_column": _on_dirty(C.missing_by_column),
     "data_warnings": _on_dirty(C.warnings_table),
     "cleaned_sales": _on_dirty(C.clean_data),
+    "csv_profile": _csv_profile,
 }

@@ -196,3 +196,28 @@ def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("Notes"),
     )
     return base.unionByName(base.where(F.col("Order ID") % 29 == 0))
+
+
+def dirty_sales_csv(spark: SparkSession, sf_dir: str) -> str:
+    """The dirty variant exported once as CSV files (S6), for the CSV scan.
+
+    Keyed like the stored table; written to a staging folder and renamed into
+    place.  Returns the folder holding the ``*.csv`` parts.
+    """
+    from .sinks import write_csv
+
+    key = "|".join(["dirty-csv-v1", sales_store_path(spark, sf_dir)])
+    path = derived_table_path(spark, "dirty-csv", key)
+    if path_exists(spark, f"{path}/_SUCCESS"):
+        return path
+    staging = f"{path}.staging-{uuid.uuid4().hex[:12]}"
+    write_csv(dirty_sales(spark, sf_dir), staging)
+    fs, target = _hadoop_fs(spark, path)
+    if fs.exists(target):
+        remove_path(spark, staging)
+        return path
+    jvm = spark.sparkContext._jvm
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target) \
+            and not path_exists(spark, f"{path}/_SUCCESS"):
+        raise RuntimeError(f"could not publish dirty CSV at {path}")
+    return path

@@ -36,6 +36,10 @@ def test_dashboard_bundle_agrees_with_single_operators(sales):
     assert d["insights"].count() > 0 and d["forecast"].count() == 3
     assert one(d["forecast_meta"])["confidence"] == "Moderate"
     assert d["filter_options"].count() == B.filter_options(sales).count()
+    cached = list(d[E.CACHED])
+    assert all(df.is_cached for df in cached)
+    E.release(d)
+    assert E.CACHED not in d and not any(df.is_cached for df in cached)
 
 
 def test_rollup_totals_are_consistent(sales):

@@ -22,6 +22,9 @@ from ..operators.kpis import KPI_COLUMNS, kpi_card, kpi_card_with_leaders
 from ..operators.paging import first_rows, page
 from ..schema import date_column
 
+# Key under which a bundle lists the small aggregates it cached.
+CACHED = "_cached"
+
 ROLLUP_SCHEMA = "breakdown string, key string, key2 string, revenue double, row_count bigint"
 
 # Breakdown name -> grouping columns.
@@ -117,7 +120,12 @@ def report_endpoint(df: DataFrame, spec: SalesFilter | None = None) -> dict[str,
     """E5: KPI card and insights with date filters."""
     f = apply_filters(df, _restrict(spec, "date_start", "date_end"))
     row = kpi_card_with_leaders(f).cache()  # one row, shared by both results
-    return {"kpis": row.select(*KPI_COLUMNS), "insights": insights_from(row)}
+    return {"kpis": row.select(*KPI_COLUMNS), "insights": insights_from(row), CACHED: [row]}
+
+
+def report_insights(df: DataFrame, spec: SalesFilter | None = None) -> DataFrame:
+    """E5's insights alone (date filters), without a cached shared row."""
+    return insights_from(kpi_card_with_leaders(apply_filters(df, _restrict(spec, "date_start", "date_end"))))
 
 
 def dashboard(df: DataFrame, spec: SalesFilter | None = None, page_number=1) -> dict[str, DataFrame]:
@@ -152,4 +160,11 @@ def dashboard(df: DataFrame, spec: SalesFilter | None = None, page_number=1) ->
         "insights": insights_from(row),
         "forecast": forecast(f),
         "forecast_meta": forecast_confidence(f),
+        CACHED: [rollup, row],
     }
+
+
+def release(bundle: dict) -> None:
+    """Unpersist the shared aggregates of a bundle once its results are read."""
+    for df in bundle.pop(CACHED, []):
+        df.unpersist()

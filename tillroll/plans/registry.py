@@ -120,7 +120,7 @@ QUERIES: dict[str, Query] = {
     # insights
     "insights": _on_sales(I.insights),
     "kpi_brief": _on_sales(I.kpi_brief),
-    "report_insights": _on_sales(lambda df: E.report_endpoint(df, REPORT_FILTER)["insights"]),
+    "report_insights": _on_sales(lambda df: E.report_insights(df, REPORT_FILTER)),
     # listings, bundles, exports
     "orders_api": _on_sales(lambda df: _rows(E.orders_endpoint(df, "widget", ["ECONOMY", "SMALL"]))),
     "orders_page": _on_sales(lambda df: _rows(L.page(canonical(apply_filters(df, E1_FILTER)), 3))),

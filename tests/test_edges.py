@@ -123,3 +123,16 @@ def test_region_cancellation_alert_without_revenue(spark, sample):
     texts = [r["text"] for r in insights(sample.drop("revenue")).collect()]
     assert "South region is experiencing an abnormal cancellation rate of 100.0%." in texts
     assert not any("strongest market" in t for t in texts)
+
+
+def test_forecast_without_periods_is_empty(sample):
+    assert forecast(sample, periods=0).count() == 0
+    assert forecast(sample, periods=2).count() == 2
+
+
+def test_filter_from_request_params(sample):
+    params = {"date_start": "", "date_end": None, "category": [], "region": ["North"],
+              "payment_method": None, "order_status": None, "revenue_min": "", "revenue_max": "500",
+              "product_search": None, "page": "2"}
+    spec = SalesFilter.from_params(params)
+    assert sorted(r["order_id"] for r in apply_filters(sample, spec).collect()) == [3]

@@ -72,7 +72,7 @@ def forecast(df: DataFrame, periods: int = 3) -> DataFrame:
     """Next ``periods`` calendar months of revenue, top-product demand and
     top-category revenue; empty with fewer than three observed months."""
     series = monthly_series(df)
-    if series is None:
+    if series is None or periods < 1:
         return _empty(df)
     m, with_product, with_category = series
     fits = [F.count(F.lit(1)).alias("n"), F.max("month").alias("last_month"),

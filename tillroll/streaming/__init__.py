@@ -1,0 +1 @@
+"""streaming of tillroll."""

@@ -1 +1 @@
-"""functions of tillroll."""
+"""Column helpers: dates, numbers, text formatting, arg-max with a tie rule."""

@@ -1 +1 @@
-"""operators of tillroll."""
+"""DataFrame -> DataFrame operators: filters, KPIs, breakdowns, forecast, cleaning, insights, paging."""

@@ -1 +1 @@
-"""plans of tillroll."""
+"""Compositions: endpoint bundles, export tables, ingest gate, query registry, oracle SQL."""

@@ -1 +1 @@
-"""sources of tillroll."""
+"""Readers and writers: driver tables, stored sales table, CSV, sinks, cache, catalog."""

@@ -1 +1 @@
-"""streaming of tillroll."""
+"""Structured Streaming: each uploaded file is ingested exactly once."""

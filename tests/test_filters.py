@@ -49,3 +49,13 @@ def test_date_presets(spark):
     got = [tuple(r) for r in date_presets(df).collect()]
     assert got == [("Last 7 days", "2024-05-25", "2024-05-31"), ("This month", "2024-05-01", "2024-05-31"),
                    ("Last quarter", "2024-01-01", "2024-03-31"), ("This year", "2024-01-01", "2024-05-31")]
+
+
+def test_long_value_list_becomes_semi_join(sales):
+    from tillroll.operators import filters as Fm
+    regions = ["ASIA", "EUROPE"] + [f"nowhere-{i}" for i in range(Fm.SEMI_JOIN_THRESHOLD + 5)]
+    long_spec = SalesFilter(region=regions)
+    got = apply_filters(sales, long_spec)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan
+    assert got.count() == sales.where("region in ('ASIA', 'EUROPE')").count()

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.ingest import IngestRejected, ingest
+from ..sources import catalog
 
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -23,11 +24,18 @@ def start_upload_stream(spark: SparkSession, landing_dir: str, catalog_root: str
              .option("maxFilesPerTrigger", max_files).load(landing_dir).select("path"))
 
     def process(batch: DataFrame, epoch_id: int) -> None:
+        # A batch that failed after registering is replayed with the same
+        # epoch id; outputs already in the catalog are skipped, so a replay
+        # never registers an upload twice.
+        done = {r["path"] for r in catalog.datasets(spark, catalog_root).select("path").collect()}
         for row in batch.collect():  # at most max_files paths
             path = row["path"]
             name = path.rstrip("/").rsplit("/", 1)[-1]
+            out = f"{out_root.rstrip('/')}/{epoch_id}-{name}.parquet"
+            if out in done:
+                continue
             try:
-                ingest(spark, path, catalog_root, f"{out_root.rstrip('/')}/{epoch_id}-{name}.parquet", name)
+                ingest(spark, path, catalog_root, out, name)
             except IngestRejected:
                 continue  # rejected upload: nothing stored
 

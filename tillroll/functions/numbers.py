@@ -32,4 +32,5 @@ def round_like_python(c: Column, digits: int = 2) -> Column:
     ``format_number`` rounds the exact double the same way; ``F.round``
     rounds its shortest decimal text half-up (2.675 -> 2.68, not 2.67).
     """
-    return F.regexp_replace(F.format_number(c.cast("double"), digits), ",", "").cast("double")
+    from .text import fixed
+    return fixed(c, digits).cast("double")

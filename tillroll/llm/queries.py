@@ -11,6 +11,7 @@ from tillroll.llm.common import table
 from tillroll.llm.fingerprint import edited_neighbours
 from tillroll.llm.ngram_join import jaccard_components
 from tillroll.llm import toxicity
+from tillroll.llm.pii import replace
 from tillroll.llm.quality import quality_rules
 
 
@@ -18,10 +19,18 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace(table(spark, sf_dir, "documents"), key=PII_KEY).select("doc_id", "text", "n_entities")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+# In production the key comes from a secret store; results change with it.
+PII_KEY = "surrogates-v1"
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_neighbours(table(spark, sf_dir, "documents"))
 
@@ -39,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
 

@@ -7,32 +7,62 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import table
+from tillroll.llm import chat, pieces, toxicity, warc
+from tillroll.llm.common import Staging, table
 from tillroll.llm.fingerprint import edited_neighbours
+from tillroll.llm.mixing import mixture
 from tillroll.llm.ngram_join import jaccard_components
-from tillroll.llm import toxicity
 from tillroll.llm.pii import replace
 from tillroll.llm.quality import quality_rules
+from tillroll.llm.sharding import assign
 
+# A public tokenizer's model file; the path is a parameter of the operator's callers.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+SHARDS = 16
+MOST_EPOCHS = 2.0
+# In production the key comes from a secret store; results change with it.
+PII_KEY = "surrogates-v1"
 
-def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"), most_epochs=MOST_EPOCHS)
 
-def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace(table(spark, sf_dir, "documents"), key=PII_KEY).select("doc_id", "text", "n_entities")
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", marked), (-7, 1, "assistant", marked)],
+                                  "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    done = chat.render(chat.fold(chat.as_events(turns)))
+    line = F.lit("\n")
+    read = done.withColumn("messages", chat.read_back(F.col("formatted"))).withColumn(
+        "loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], line, m["text"], line)), "")
+    return read.select(
+        "conv_id", F.size("messages").cast("bigint").alias("n_turns"),
+        F.sha2(F.encode(said, "UTF-8"), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("bigint").alias("loss_chars"), F.sha2(F.encode("loss", "UTF-8"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("bigint").alias("formatted_chars"))
 
-def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_neighbours(table(spark, sf_dir, "documents"))
 
-# In production the key comes from a secret store; results change with it.
-PII_KEY = "surrogates-v1"
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = pieces.read_model(spark, PIECE_MODEL)
+    coded = pieces.encode(docs, model, keep=["doc_id", "text"])
+    back = pieces.decode(coded, model)
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids",
+                       F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+                       F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
-def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_neighbours(table(spark, sf_dir, "documents"))
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = assign(table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,12 +74,40 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Staging(spark, "warc").path("archives")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    found = warc.read(spark, path, payloads=False)
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("bigint")
+    return found.select(
+        number(F.col("record_id")).alias("page_id"), "payload_bytes", F.coalesce("digest", "named_digest").alias("payload_digest"),
+        "record_type", number(F.col("refers_id")).alias("refers_to"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace(table(spark, sf_dir, "documents"), key=PII_KEY).select("doc_id", "text", "n_entities")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_chat": op2_chat,
     "op3_fingerprints": op3_fingerprints,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_sharding": op5_sharding,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_warc": op8_warc,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
 
+# Operators whose result plain SQL can state.
 ORACLE: dict[str, str] = {}

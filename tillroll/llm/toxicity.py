@@ -233,15 +233,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     """The columns ``keep`` of ``docs`` (all by default) and ``score`` of every whole text."""
     bounded_batches(docs.sparkSession)
     names = docs.columns if keep is None else keep
-    rows = docs.select(*[docs[c] for c in names], docs[text_col].alias("__text"))
+    extra = [] if text_col in names else [docs[text_col]]
+    rows = docs.select(*[docs[c] for c in names], *extra)
     model_ref = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it):
         machine, m = model_ref.value.machine(), model_ref.value
         for batch in it:
-            d = np.array([density(machine, t) for t in batch.column("__text").to_pylist()], float)
-            values = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*values, pa.array(m.score(d))], [*names, "score"])
+            d = np.array([density(machine, t) for t in batch.column(text_col).to_pylist()], float)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(m.score(d))], [*names, "score"])
 
     schema = rows.select(*names).schema.add("score", "double")
     return rows.mapInArrow(run, schema)

@@ -8,9 +8,13 @@ from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampT
 
 from ..schema import MONTH_FORMAT, col
 
-# Extra text layouts tried, in order, after the ISO forms the default cast
-# already accepts.  Empty by default: an unparseable value becomes null.
-EXTRA_DATE_FORMATS: tuple[str, ...] = ()
+# Text layouts tried, in order, after the ISO forms: month first, then year
+# first, then day first where the separator or a month's name tells them apart.
+EXTRA_DATE_FORMATS: tuple[str, ...] = (
+    "M/d/yyyy[ H:mm[:ss]]", "M-d-yyyy[ H:mm[:ss]]", "yyyy/M/d[ H:mm[:ss]]", "d.M.yyyy[ H:mm[:ss]]",
+    "MMM d, yyyy", "d MMM yyyy", "yyyyMMdd")
+# A time alone is no date: it would turn into the current day.
+ISO_DATE_PATTERN = r"^[+-]?\d{4,}-\d"
 
 
 def parse_or_null(df: DataFrame, name: str, formats: tuple[str, ...] = EXTRA_DATE_FORMATS) -> Column:
@@ -23,7 +27,7 @@ def parse_or_null(df: DataFrame, name: str, formats: tuple[str, ...] = EXTRA_DAT
         return c.cast("timestamp")
     text = c.cast(StringType()) if not isinstance(dtype, StringType) else c
     text = F.trim(text)
-    candidates = [F.try_to_timestamp(text)]
+    candidates = [F.when(text.rlike(ISO_DATE_PATTERN), F.try_to_timestamp(text))]
     candidates += [F.try_to_timestamp(text, F.lit(fmt)) for fmt in formats]
     return F.coalesce(*candidates) if len(candidates) > 1 else candidates[0]
 

@@ -116,16 +116,9 @@ def daily_revenue(df: DataFrame) -> DataFrame:
 
 
 def category_values(df: DataFrame) -> list[str]:
-    """Distinct categories, the pivot's column list.
-
-    Bounded by ``spark.sql.pivotMaxValues`` (what Spark itself enforces when
-    it computes the list); the query is a distributed distinct.
-    """
-    limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
-    rows = (df.where(F.col("category").isNotNull()).select("category").distinct()
-              .orderBy("category").limit(limit + 1).collect())
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} categories: use region_category_long")
+    """Distinct categories of rows with a region: the wide form's columns."""
+    rows = (df.where(F.col("category").isNotNull() & F.col("region").isNotNull())
+              .select("category").distinct().orderBy("category").collect())
     return [r[0] for r in rows]
 
 
@@ -139,19 +132,22 @@ def region_category_matrix(df: DataFrame, categories: list[str] | None = None) -
     return wide.na.fill(0.0, subset=cats).orderBy("region")
 
 
-def region_category_long(df: DataFrame, categories: list[str] | None = None) -> DataFrame:
+def region_category_long(df: DataFrame) -> DataFrame:
     """B8 long: (region, category, revenue) for every region x observed category.
 
-    Built as pivot then unpivot, so the zero cells come from the pivot's
-    aggregate rather than from a key cross join.
+    One grouped aggregate; the zero cells come from its own small result, where
+    each region meets the list of all categories.
     """
     if not has(df, "region", "category", "revenue"):
         return _empty(df, "region string, category string, revenue double")
-    cats = categories if categories is not None else category_values(df)
-    if not cats:
-        return _empty(df, "region string, category string, revenue double")
-    wide = region_category_matrix(df, cats)
-    return wide.unpivot("region", cats, "category", "revenue").orderBy("region", "category")
+    cells = (df.where(F.col("region").isNotNull() & F.col("category").isNotNull())
+             .groupBy("region", "category").agg(revenue_total().alias("revenue")))
+    listed = cells.agg(F.collect_set("category")).scalar()
+    held = (cells.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("category", "revenue"))).alias("__held"))
+            .withColumn("__all", listed))
+    return (held.select("region", "__held", F.explode("__all").alias("category"))
+            .select("region", "category", F.coalesce(F.try_element_at("__held", F.col("category")), F.lit(0.0)).alias("revenue"))
+            .orderBy("region", "category"))
 
 
 def top_items(df: DataFrame, key: str, value: str | None = "revenue", k: int = 5) -> DataFrame:

@@ -24,13 +24,6 @@ from pyspark.sql.types import DateType, DecimalType
 from ..functions.dates import parse_or_null
 from ..schema import date_column, date_columns_ci
 
-# Lists longer than this become a semi join instead of IN (...).
-SEMI_JOIN_THRESHOLD = 2000
-# Value lists up to this length are broadcast (their size is known on the
-# driver); longer ones join without a hint and AQE picks the strategy.
-BROADCAST_LIST_LIMIT = 1_000_000
-
-
 @dataclass(frozen=True)
 class SalesFilter:
     date_start: str | None = None
@@ -117,7 +110,7 @@ def predicate(df: DataFrame, spec: SalesFilter | None) -> Column | None:
 
     for name in ("category", "region", "payment_method", "order_status"):
         values = _as_list(getattr(spec, name))
-        if name in cols and values and len(values) <= SEMI_JOIN_THRESHOLD:
+        if name in cols and values:
             parts.append(F.col(name).isin(values))
 
     if "revenue" in cols:
@@ -144,17 +137,6 @@ def apply_filters(df: DataFrame, spec: SalesFilter | None) -> DataFrame:
     """rows passing every applicable filter (input unchanged when none)."""
     cond = predicate(df, spec)
     out = df.where(cond) if cond is not None else df
-    if spec is None:
-        return out
-    # Very long value lists: a semi join.  The list is driver-supplied, so its
-    # length is known before it is shipped; it is broadcast only under a bound.
-    for name in ("category", "region", "payment_method", "order_status"):
-        values = _as_list(getattr(spec, name))
-        if name in df.columns and len(values) > SEMI_JOIN_THRESHOLD:
-            distinct = list(dict.fromkeys(values))
-            keys = df.sparkSession.createDataFrame([(v,) for v in distinct], f"{name} string")
-            side = F.broadcast(keys) if len(distinct) <= BROADCAST_LIST_LIMIT else keys
-            out = out.join(side, on=name, how="left_semi")
     return out
 
 

@@ -34,8 +34,11 @@ def _top_key(d: DataFrame, key: str, value: str) -> Column:
     return top.scalar()
 
 
-def monthly_series(df: DataFrame) -> tuple[DataFrame, bool, bool] | None:
-    """P1 + the series of P3 / P4: one row per observed month with its index."""
+def monthly_series(df: DataFrame) -> tuple[DataFrame, dict[str, Column]] | None:
+    """P1 + the series of P3 / P4: one row per observed month with its index, and the leaders' names.
+
+    The names stay out of the aggregate over raw rows: a text buffer would make it sort them.
+    """
     date_col = date_column(df)
     if date_col is None or not has(df, "revenue"):
         return None
@@ -46,15 +49,20 @@ def monthly_series(df: DataFrame) -> tuple[DataFrame, bool, bool] | None:
     if with_product:
         top_p = _top_key(d, "product", "quantity")
         aggs += [F.coalesce(F.sum(F.when(F.col("product") == top_p, F.col("quantity"))), F.lit(0))
-                 .cast("double").alias("y_prod"), F.first(top_p).alias("top_product")]
+                 .cast("double").alias("y_prod")]
     if with_category:
         top_c = _top_key(d, "category", "revenue")
         aggs += [F.coalesce(F.sum(F.when(F.col("category") == top_c, F.col("revenue"))), F.lit(0))
-                 .cast("double").alias("y_cat"), F.first(top_c).alias("top_category")]
+                 .cast("double").alias("y_cat")]
     monthly = d.groupBy(month_start(F.col("__day")).alias("month")).agg(*aggs)
     # Global window over one row per month (calendar-bounded).
     idx = (F.row_number().over(Window.orderBy("month")) - 1).cast("double")
-    return monthly.withColumn("x", idx), with_product, with_category
+    keys = {}
+    if with_product:
+        keys["top_product"] = top_p
+    if with_category:
+        keys["top_category"] = top_c
+    return monthly.withColumn("x", idx), keys
 
 
 def trend_fit(df: DataFrame) -> DataFrame:
@@ -62,7 +70,7 @@ def trend_fit(df: DataFrame) -> DataFrame:
     series = monthly_series(df)
     if series is None:
         return _empty(df, "n_months bigint, slope double, intercept double")
-    m, _, _ = series
+    m, _ = series
     return m.agg(F.count(F.lit(1)).alias("n_months"),
                  F.regr_slope("y_rev", "x").alias("slope"),
                  F.regr_intercept("y_rev", "x").alias("intercept"))
@@ -74,16 +82,15 @@ def forecast(df: DataFrame, periods: int = 3) -> DataFrame:
     series = monthly_series(df)
     if series is None or periods < 1:
         return _empty(df)
-    m, with_product, with_category = series
+    m, keys = series
+    with_product, with_category = "top_product" in keys, "top_category" in keys
     fits = [F.count(F.lit(1)).alias("n"), F.max("month").alias("last_month"),
             F.regr_slope("y_rev", "x").alias("b_rev"), F.regr_intercept("y_rev", "x").alias("a_rev")]
     if with_product:
-        fits += [F.regr_slope("y_prod", "x").alias("b_prod"), F.regr_intercept("y_prod", "x").alias("a_prod"),
-                 F.max("top_product").alias("top_product")]
+        fits += [F.regr_slope("y_prod", "x").alias("b_prod"), F.regr_intercept("y_prod", "x").alias("a_prod")]
     if with_category:
-        fits += [F.regr_slope("y_cat", "x").alias("b_cat"), F.regr_intercept("y_cat", "x").alias("a_cat"),
-                 F.max("top_category").alias("top_category")]
-    model = m.agg(*fits).where(F.col("n") >= MIN_MONTHS)
+        fits += [F.regr_slope("y_cat", "x").alias("b_cat"), F.regr_intercept("y_cat", "x").alias("a_cat")]
+    model = m.agg(*fits).where(F.col("n") >= MIN_MONTHS).withColumns(keys)
     steps = model.select("*", F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("i"))
     nxt = (F.col("n") - 1 + F.col("i")).cast("double")
 
@@ -107,6 +114,7 @@ def forecast_series(df: DataFrame, periods: int = 3) -> DataFrame:
     return forecast(df, periods).select("period", "predicted_revenue")
 
 
+# Fixed values.
 CONFIDENCE_NOTES = {
     "Moderate": "Forecast is based on multiple historical months, but it still uses a simple linear trend.",
     "Low": "Forecast has the minimum history needed for trend regression. Treat it as directional.",
@@ -115,17 +123,21 @@ CONFIDENCE_NOTES = {
 
 
 def forecast_confidence(df: DataFrame, history_months: int = 6) -> DataFrame:
-    """Confidence label from the (at most six) months of history."""
+    """Confidence label from the (at most six) months of history.
+
+    The forecast has rows when its own date column holds three months, counted in the same pass.
+    """
     names = date_columns_ci(df)
+    own = date_column(df)
     if names and has(df, "revenue"):
-        d = df.select(as_date(df, names[0]).alias("__day")).where(F.col("__day").isNotNull())
-        months = d.agg(F.count_distinct(month_start(F.col("__day"))).alias("observed"))
+        month = lambda c: month_start(as_date(df, c))
+        months = df.agg(F.count_distinct(month(names[0])).alias("observed"),
+                        (F.count_distinct(month(own)) if own is not None else F.lit(0)).alias("dated"))
     else:
-        months = df.sparkSession.createDataFrame([(0,)], "observed bigint")
-    fc_rows = forecast(df).agg(F.count(F.lit(1)).alias("k")).scalar() if names and has(df, "revenue") else F.lit(0)
+        months = df.sparkSession.createDataFrame([(0, 0)], "observed bigint, dated bigint")
     count = F.least(F.col("observed"), F.lit(history_months))
     label = F.when(count >= 6, "Moderate").when(count >= 3, "Low").otherwise("Unavailable")
     note = F.when(count >= 6, CONFIDENCE_NOTES["Moderate"]).when(count >= 3, CONFIDENCE_NOTES["Low"]) \
         .otherwise(CONFIDENCE_NOTES["Unavailable"])
-    return months.select(count.cast("bigint").alias("month_count"), label.alias("confidence"),
-                         note.alias("note"), ((count >= 3) & (fc_rows > 0)).alias("has_enough_history"))
+    return months.select(count.cast("bigint").alias("month_count"), label.alias("confidence"), note.alias("note"),
+                         ((count >= 3) & (F.col("dated") >= MIN_MONTHS)).alias("has_enough_history"))

@@ -81,7 +81,7 @@ WHERE order_date IS NOT NULL GROUP BY 1 ORDER BY 1""")
 ORACLE["region_category_matrix"] = with_sales("""
 SELECT r.region, c.category, CAST(COALESCE(s.rev, 0) AS DOUBLE) AS revenue
 FROM (SELECT DISTINCT region FROM sales WHERE region IS NOT NULL AND category IS NOT NULL) r
-CROSS JOIN (SELECT DISTINCT category FROM sales WHERE category IS NOT NULL) c
+CROSS JOIN (SELECT DISTINCT category FROM sales WHERE category IS NOT NULL AND region IS NOT NULL) c
 LEFT JOIN (SELECT region, category, SUM(revenue) AS rev FROM sales
            WHERE region IS NOT NULL AND category IS NOT NULL GROUP BY 1, 2) s
   ON s.region = r.region AND s.category = c.category

@@ -58,7 +58,8 @@ def apply_engine_conf(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) is a private one set.
+    Only when a local session has none (tests) is a private one set; on a
+    cluster a folder of one machine would lose rows, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -66,6 +67,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = os.path.join(tempfile.gettempdir(), "tillroll-checkpoints")
     spark.sparkContext.setCheckpointDir(local)
     return local
@@ -96,11 +99,14 @@ def file_fingerprint(spark: SparkSession, path: str) -> str:
         return f"{path}:missing"
     status = fs.getFileStatus(hpath)
     if status.isDirectory():
-        total, newest = 0, 0
-        for child in fs.listStatus(hpath):
+        total = newest = files = 0
+        found = fs.listFiles(hpath, True)  # all levels of a partitioned table
+        while found.hasNext():
+            child = found.next()
+            files += 1
             total += child.getLen()
             newest = max(newest, child.getModificationTime())
-        return f"{path}:{total}:{newest}"
+        return f"{path}:{files}:{total}:{newest}"
     return f"{path}:{status.getLen()}:{status.getModificationTime()}"
 
 

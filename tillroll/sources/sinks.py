@@ -18,18 +18,18 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Rows as CSV with a header, no index column."""
-    (df.write.mode(mode).option("header", True)
+    (df.write.mode(mode).option("header", True).option("escape", '"')
        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("dateFormat", "yyyy-MM-dd")
        .csv(path))
     return path
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """JSON lines, one object per row."""
-    df.write.mode(mode).json(path)
+    """JSON lines, one object per row; null fields are written as null."""
+    df.write.mode(mode).option("ignoreNullFields", False).json(path)
     return path
 
 
 def as_json(df: DataFrame) -> DataFrame:
     """S9 in a column: each row as one JSON text (``to_json(struct(*))``)."""
-    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("json"))
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("json"))

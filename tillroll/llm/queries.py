@@ -109,5 +109,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-# Operators whose result plain SQL can state.
-ORACLE: dict[str, str] = {}
+_CONTROL = r"([<\[])(\\*)(/?s>|/?(?:INST|SYS|BOT|ROLE|TEXT)\])"
+
+# Operators whose result plain SQL can state; the others learn from the corpus
+# or hash it in ways SQL does not have, and tests hold them against brute force.
+ORACLE: dict[str, str] = {
+    "op2_chat": rf"""
+WITH said AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+shaped AS (
+  SELECT *, length(regexp_replace(text, '{_CONTROL}', '\1\\\2\3', 'g'))
+    + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 ELSE 19 + length(role) END AS part
+  FROM said),
+conv AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS loss, 3 + sum(part) AS chars
+  FROM shaped GROUP BY conv_id)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+  sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
+FROM conv""",
+    "op8_warc": """
+WITH page AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+hashed AS (SELECT page_id, body, sha1(body) AS hexa, max(page_id) OVER (PARTITION BY body) AS holder FROM page)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+    (CAST('0x' || substr(hexa, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '')
+    AS payload_digest,
+  CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = holder THEN NULL ELSE holder END AS refers_to
+FROM hashed""",
+}

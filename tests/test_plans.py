@@ -41,7 +41,7 @@ def test_scan_reads_only_needed_columns(sales):
     assert "category" in read and "revenue" in read and "customer_name" not in read
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_no_cross_or_nested_loop_joins(spark, name):
     plan = executed(entry.queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

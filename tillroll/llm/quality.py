@@ -137,9 +137,9 @@ def kneser_ney(counts: DataFrame, staging: Staging) -> list[dict[str, DataFrame]
         n = [F.count_if(F.col("a") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
         part = level.groupBy("lang").agg(*n).selectExpr(
             "lang",
-            "coalesce(least(greatest(1 - 2 * try_divide(n1, n1 + 2 * n2) * try_divide(n2, n1), 0.1D), 1D), 0.5D) d1",
-            "coalesce(least(greatest(2 - 3 * try_divide(n1, n1 + 2 * n2) * try_divide(n3, n2), 0.1D), 2D), 1D) d2",
-            "coalesce(least(greatest(3 - 4 * try_divide(n1, n1 + 2 * n2) * try_divide(n4, n3), 0.1D), 3D), 1.5D) d3")
+            "least(greatest(coalesce(1 - 2 * try_divide(n1, n1 + 2 * n2) * try_divide(n2, n1), 0.5D), 0.1D), 1D) d1",
+            "least(greatest(coalesce(2 - 3 * try_divide(n1, n1 + 2 * n2) * try_divide(n3, n2), 1D), 0.1D), 2D) d2",
+            "least(greatest(coalesce(3 - 4 * try_divide(n1, n1 + 2 * n2) * try_divide(n4, n3), 1.5D), 0.1D), 3D) d3")
         part = part.select(F.col("lang").alias("dl"), "d1", "d2", "d3")
         cut = level.join(part, F.col("lang").eqNullSafe(F.col("dl"))).drop("dl").withColumn(
             "d", F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3")))

@@ -13,7 +13,9 @@ runs in these steps, all of them Spark jobs whose tasks see bounded state:
    ``n - ceil(n * percent / 100) + 1`` of the order.  For each such shingle its
    holders are chained, first inside the task that read them, then across
    tasks, so a shingle held by a third of all documents still costs one row
-   per holder.
+   per holder.  Each node's nearest few partners in the chains, verified as in
+   step 3, give first components.  The chain follows the sets' sizes: where neighbours differ too
+   much in size, no pair across that gap can link.
 3. *Fragments.*  The hash range is cut into fragments.  For each candidate
    pair and fragment the overlap is counted on its own; the sum per pair
    decides.  Pairs whose sizes or bitmaps rule a link out are not counted.
@@ -45,6 +47,8 @@ BITMAP_WORDS = 16          # 64 bits each
 FRAGMENTS = 8              # equal ranges of the hash order
 FREQUENT = 1 << 20         # entries of the frequent-shingle table
 FLUSH = 1 << 21            # shingles a task counts at once
+CROWD = 64                 # holders of one shingle that a task chains itself
+NEAREST = 3                # partners per node that form the first components
 BLOCK = 1024               # holders of one shingle compared at once
 FILTER_BITS = 1 << 24      # size of a broadcast membership filter
 
@@ -81,9 +85,9 @@ def _set_pass(k: int):
             hashes, count = values[first[many]].view(np.int64), count[many]
             nothing = pa.nulls(len(hashes), pa.int64())
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(len(hashes), id_type), nothing, nothing, pa.nulls(len(hashes), pa.list_(pa.int64())),
+                [pa.nulls(len(hashes), id_type), nothing, nothing, nothing, pa.nulls(len(hashes), pa.list_(pa.int64())),
                  pa.array(hashes), pa.array(count)],
-                ["doc_id", "n", "node", "bits", "shingle", "seen"])
+                ["doc_id", "h", "n", "node", "bits", "shingle", "seen"])
 
         for batch in it:
             id_type = batch.column("doc_id").type
@@ -100,10 +104,10 @@ def _set_pass(k: int):
             rows = len(n)
             flat = pa.array(np.concatenate(bits)) if rows else pa.array([], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
+                [batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * BITMAP_WORDS, pa.int32()), flat),
                  pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())],
-                ["doc_id", "n", "node", "bits", "shingle", "seen"])
+                ["doc_id", "h", "n", "node", "bits", "shingle", "seen"])
         if held:
             yield recurring()
     return run
@@ -127,21 +131,27 @@ def _ordered_prefix(shingles: np.ndarray, percent: int, frequent: np.ndarray, le
 
 
 def _chain_pass(k: int, percent: int, order):
-    """Rows (token, a, b): a chain link when ``b`` is set, else the token's head here."""
-    def flush(tok: list, own: list) -> pa.RecordBatch:
-        t, o = np.concatenate(tok), np.concatenate(own)
-        # a different order of holders for each shingle, so that a node meets many others
-        at = np.lexsort((tokens.mix(o.view(np.uint64) ^ t), t))
-        t, o = t[at].view(np.int64), o[at]
-        same = np.concatenate(([False], t[1:] == t[:-1]))
+    """Rows (token, a, n, b, hot): a holder of a shingle or, when ``b`` is set, a chain link.
+
+    A shingle held ``CROWD`` times by what a task has read is chained there;
+    only its first holder goes on, marked ``hot``.
+    """
+    def flush(tok: list, own: list, sizes: list) -> pa.RecordBatch:
+        t, o, n = np.concatenate(tok), np.concatenate(own), np.concatenate(sizes)
+        at = np.lexsort((tokens.mix(o.view(np.uint64) ^ t), n, t))
+        t, o, n = t[at].view(np.int64), o[at], n[at]
+        first = np.concatenate(([True], t[1:] != t[:-1]))
+        run = np.cumsum(first) - 1
+        hot = np.bincount(run)[run] >= CROWD
+        link = hot & ~first
         before = np.concatenate((o[:1], o[:-1]))
         return pa.RecordBatch.from_arrays(
-            [pa.array(t), pa.array(o), pa.array(before, mask=~same)], ["token", "a", "b"])
+            [pa.array(t), pa.array(o), pa.array(n), pa.array(before, mask=~link), pa.array(hot)], ["token", "a", "n", "b", "hot"])
 
     def run(it):
         frequent, level = order.value
         seen: set[int] = set()
-        tok, own, size = [], [], 0
+        tok, own, sizes, size = [], [], [], 0
         for batch in it:
             for s in tokens.shingle_sets(_texts(batch), k):
                 if not len(s) or (node := _node(s)) in seen:
@@ -150,12 +160,13 @@ def _chain_pass(k: int, percent: int, order):
                 p = _ordered_prefix(s, percent, frequent, level)
                 tok.append(p)
                 own.append(np.full(len(p), node, np.int64))
+                sizes.append(np.full(len(p), len(s), np.int32))
                 size += len(p)
                 if size >= FLUSH:
-                    yield flush(tok, own)
-                    tok, own, size = [], [], 0
+                    yield flush(tok, own, sizes)
+                    tok, own, sizes, size = [], [], [], 0
         if tok:
-            yield flush(tok, own)
+            yield flush(tok, own, sizes)
     return run
 
 
@@ -253,7 +264,7 @@ def _block_pass(percent: int):
         held: dict[str, np.ndarray] | None = None
         for batch in it:
             new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "x", "y", "side", "node", "comp", "n")}
-            new["bits"] = batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, BITMAP_WORDS)
+            new["bits"] = batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, BITMAP_WORDS // 2)
             cols = new if held is None else {c: np.concatenate((held[c], new[c])) for c in new}
             key = np.stack((cols["token"], cols["x"], cols["y"]))
             cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
@@ -280,15 +291,16 @@ class _Join:
         self.docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         bounded_batches(self.spark)
         id_type = self.docs.schema["doc_id"].dataType.simpleString()
-        both = self.docs.mapInArrow(
-            _set_pass(k), f"doc_id {id_type}, n bigint, node bigint, bits array<bigint>, shingle bigint, seen bigint")
+        both = self.docs.withColumn("h", F.xxhash64("text")).mapInArrow(
+            _set_pass(k), f"doc_id {id_type}, h bigint, n bigint, node bigint, bits array<bigint>, shingle bigint, seen bigint")
         both = staging.put(both, "sets")
-        self.rows = both.where("shingle is null").select("doc_id", "n", "node", "bits")
+        self.rows = both.where("shingle is null").select("doc_id", "h", "n", "node", "bits")
         self.order = self._frequent(both.where("shingle is not null"))
         # One row per node; copies pre-aggregate inside their tasks.
         self.nodes = staging.put(
             self.rows.where("n > 0").groupBy("node")
-            .agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bits").alias("bits")), "nodes")
+            .agg(F.min("doc_id").alias("doc_id"),
+                 F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("first"), F.max("n").alias("n"), F.first("bits").alias("bits")), "nodes")
 
     def _frequent(self, seen: DataFrame):
         """The most frequent recurring shingles with their level, at most ``FREQUENT``."""
@@ -306,8 +318,11 @@ class _Join:
         self.staging.drop(total)
         return self.spark.sparkContext.broadcast((hashes[at], top["level"].to_numpy(np.int8)[at]))
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link: sizes, bitmaps, then overlaps summed over fragments."""
+    def links(self, pairs: DataFrame, nearest: int | None = None) -> DataFrame:
+        """The pairs (a, b) that link: sizes, bitmaps, then overlaps summed over fragments.
+
+        ``nearest`` counts only each node's so many nearest partners by bitmap.
+        """
         p = self.percent
         meta = self.nodes.select("node", "n", "bits")
         apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
@@ -318,9 +333,13 @@ class _Join:
         open_pairs = (pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
                       .join(side("a"), "a").join(side("b"), "b")
                       .where(100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))
-                      .where(apart * (100 + p) <= total * (100 - p))
-                      .select("a", "b", total.alias("total")))
-        open_pairs = self.staging.put(open_pairs, "pairs")
+                      .select("a", "b", total.alias("total"), apart.alias("apart"))
+                      .where(F.col("apart") * (100 + p) <= F.col("total") * (100 - p)))
+        if nearest is not None:
+            rank = lambda x, y: F.row_number().over(Window.partitionBy(x).orderBy("apart", F.xxhash64(y)))
+            open_pairs = open_pairs.withColumn("ra", rank("a", "b")).withColumn("rb", rank("b", "a")).where(
+                (F.col("ra") <= nearest) | (F.col("rb") <= nearest))
+        open_pairs = self.staging.put(open_pairs.select("a", "b", "total"), "pairs")
         wanted = open_pairs.select(F.col("a").alias("v")).unionAll(open_pairs.select(F.col("b").alias("v")))
         segments = self._segments(wanted)
         left = segments.select(F.col("node").alias("a"), "fragment", F.col("shingles").alias("left"))
@@ -347,16 +366,20 @@ class _Join:
     def solve(self) -> DataFrame:
         """(node, root) for the nodes that link with another one."""
         st = self.staging
-        heads = self.docs.select("text").mapInArrow(_chain_pass(self.k, self.percent, self.order), "token bigint, a bigint, b bigint")
-        # Links found inside a task ride along; across tasks the heads of a shingle are chained.
+        held = self.docs.select("text").mapInArrow(
+            _chain_pass(self.k, self.percent, self.order), "token bigint, a bigint, n int, b bigint, hot boolean")
+        # Links made inside a task are spread; the others of a shingle are chained by size.
         here = F.col("b").isNotNull()
-        deal = F.when(here, F.pmod(F.xxhash64("a"), F.lit(9973))).otherwise(-1).alias("deal")
-        w = Window.partitionBy("token", "deal").orderBy(F.xxhash64("a", "token"), "a")
-        chain = (heads.withColumn("deal", deal).withColumn("before", F.lag("a").over(w))
-                 .select("token", "a", F.when(here, F.col("b")).otherwise(F.col("before")).alias("b"))
-                 .where("b is not null and a <> b"))
+        deal = F.when(here, F.pmod(F.xxhash64("a"), F.lit(9973))).otherwise(-1)
+        w = Window.partitionBy("token", "deal").orderBy("n", F.xxhash64("a", "token"), "a")
+        whole = Window.partitionBy("token", "deal")
+        near = 100 * F.col("m") >= self.percent * F.col("n")
+        chain = (held.withColumn("deal", deal).withColumn("before", F.lag("a").over(w)).withColumn("m", F.lag("n").over(w))
+                 .withColumn("hot", F.max("hot").over(whole))
+                 .select("token", "a", F.when(here, F.col("b")).otherwise(F.col("before")).alias("b"), "hot", (here | near).alias("near"))
+                 .where("a <> b and (near or hot)"))
         chain = st.put(chain, "chain")
-        first = self.links(chain.select("a", "b"))
+        first = self.links(chain.select("a", "b"), NEAREST)
         comp = components(first, st)
         side = lambda s: comp.select(F.col("node").alias(s), F.col("root").alias(f"r{s}"))
         apart = (chain.join(side("a"), "a", "left").join(side("b"), "b", "left")
@@ -379,13 +402,16 @@ class _Join:
         members = _filter_of(self.spark, apart.select(F.col("token").alias("v")))
         post = self.docs.select("text").mapInArrow(_rest_pass(self.k, self.percent, self.order, members), "token bigint, node bigint")
         post = post.join(apart, "token", "left_semi")
-        post = (post.distinct().join(self.nodes.select("node", "n", "bits"), "node")
+        # half as many bits, by folding, do for the blocks
+        half = BITMAP_WORDS // 2
+        folded = F.zip_with(F.slice("bits", 1, half), F.slice("bits", half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        post = (post.distinct().join(self.nodes.select("node", "n", folded.alias("bits")), "node")
                 .join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"))
         post = st.put(post, "rest")
-        blocks = post.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
+        blocks = st.put(post.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m")).where("m > 1"), "blocks")
         own = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
         # every block meets itself and each other block once
-        dealt = (post.join(blocks, "token").withColumn("own", own)
+        dealt = (post.join(blocks, "token", "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("own", own)
                  .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
                  .select("token", F.least("own", "other").cast("int").alias("x"), F.greatest("own", "other").cast("int").alias("y"),
                          F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
@@ -394,37 +420,42 @@ class _Join:
         return dealt.mapInArrow(_block_pass(self.percent), "a bigint, b bigint")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
-                       text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id``."""
+def _members(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, h, n_shingles, component_id, keeper``: text hash, and that of the component's least row."""
     staging = Staging(docs.sparkSession, "ngram-join")
     join = _Join(docs, k, percent, id_col, text_col, staging)
     roots = join.solve()
-    least = (join.nodes.select("node", "doc_id").join(roots, "node")
-             .groupBy("root").agg(F.min("doc_id").alias("least")))
-    named = staging.put(join.nodes.select("node", F.col("doc_id").alias("own")).join(roots, "node", "left")
-                        .join(least, "root", "left")
-                        .select("node", F.coalesce("least", "own").alias("component")), "named")
-    return (join.rows.select("doc_id", "n", "node").join(named, "node", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.coalesce("component", "doc_id").alias("component_id")))
+    least = (join.nodes.select("node", "first").join(roots, "node")
+             .groupBy("root").agg(F.min("first").alias("least")))
+    named = staging.put(join.nodes.select("node", "first").join(roots, "node", "left").join(least, "root", "left")
+                        .select("node", F.coalesce("least", "first").alias("least")), "named")
+    return (join.rows.select("doc_id", "h", "n", "node").join(named, "node", "left")
+            .select("doc_id", "h", F.col("n").alias("n_shingles"),
+                    F.coalesce("least.doc_id", "doc_id").alias("component_id"), F.col("least.h").alias("keeper")))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
+                       text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id``."""
+    return _members(docs, k, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the least id.
+    """``docs`` with one document of each component: the one with the least id (and text hash).
 
     Rows without words all stay.  Repeated rows (equal id and text) leave one.
     Rows without an id can't be named by a decision: they stay.
     """
     staging = Staging(docs.sparkSession, "keep-one")
-    found = staging.put(jaccard_components(docs, k, percent, id_col, text_col).where("n_shingles > 0"), "found")
-    gone = (found.where("doc_id <> component_id")
-            .select(F.col("doc_id").alias(id_col)).distinct())
-    kept = docs.join(gone, id_col, "left_anti")
-    twice = staging.put(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-                        .select(F.col("doc_id").alias(id_col)), "twice")
+    found = staging.put(_members(docs, k, percent, id_col, text_col).where("n_shingles > 0 and doc_id is not null"), "found")
+    keeper = (F.col("doc_id") == F.col("component_id")) & (F.col("h") == F.col("keeper"))
+    key = [F.col("doc_id").alias(id_col), F.col("h").alias("__h")]
+    gone = found.where(~keeper).select(*key).distinct()
+    rows = docs.withColumn("__h", F.xxhash64(text_col))
+    kept = rows.join(gone, [id_col, "__h"], "left_anti")
+    twice = staging.put(found.where(keeper).groupBy("doc_id", "h").count().where("count > 1").select(*key), "twice")
     if twice.limit(1).count():
-        kept = kept.join(twice, id_col, "left_anti").unionByName(
-            kept.join(twice, id_col, "left_semi").dropDuplicates([id_col, text_col]))
-    return kept
+        again = kept.join(twice, [id_col, "__h"], "left_semi").dropDuplicates([id_col, "__h"])
+        kept = kept.join(twice, [id_col, "__h"], "left_anti").unionByName(again)
+    return kept.select(*docs.columns)

@@ -70,7 +70,9 @@ PATTERNS = {
     "phone": r"(?<![\d.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{8,15}(?!\d)",
     "person": rf"(?<![\p{{L}}])(?:{_TITLE}\s{_NAME}(?:\s{_NAME})?|{_GIVEN}\s{_NAME})",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_PERSON_STARTS = "".join(sorted({n[0] for names in (TITLES, *GIVEN.values()) for n in names}))
+PERSON = f"(?=[{_PERSON_STARTS}]){PATTERNS['person']}"
+PATTERN = "|".join(f"(?:{p})" for p in [*(v for k, v in PATTERNS.items() if k != "person"), PERSON])
 MOST_ATTEMPTS = 64
 
 
@@ -96,18 +98,31 @@ def _value(m: Column) -> Column:
     return F.regexp_replace(m, f"^{_LABEL}", "")
 
 
-def units(m: Column) -> Column:
-    """The entities named by a mention: ``array<struct<type, norm>>``."""
-    kind = _kind(m)
-    one = lambda t, n: F.array(F.struct(t.alias("type"), n.alias("norm")))
-    words = F.filter(F.split(m, r"\s"), lambda w: ~w.rlike(f"^(?:{_TITLE}|{_GIVEN})$"))
-    surnames = F.transform(words, lambda w: F.struct(F.concat(F.lit("surname_"), _script(w)).alias("type"), F.lower(w).alias("norm")))
-    return (F.when(kind == "person", surnames)
-            .when(kind.isin("card", "ssn", "phone"), one(kind, _digits(m)))
-            .when(kind == "email", one(kind, F.lower(m)))
-            .when(kind == "setting", one(F.lit("secret"), _value(m)))
-            .when(kind == "access_key", one(F.lit("secret"), m))
-            .otherwise(one(kind, m)))
+def described(mentions_: Column) -> Column:
+    """Each mention with its kind, entity type and normal form; persons are described word by word.
+
+    Built in steps, each a transform of the one before, so that no part of the
+    expression is repeated.
+    """
+    out = F.transform(mentions_, lambda m: F.struct(m.alias("m"), _kind(m).alias("kind")))
+
+    def entity(x):
+        m, kind = x["m"], x["kind"]
+        type_ = F.when(kind.isin("setting", "access_key"), "secret").otherwise(kind)
+        norm = (F.when(kind.isin("card", "ssn", "phone"), _digits(m)).when(kind == "email", F.lower(m))
+                .when(kind == "setting", _value(m)).otherwise(m))
+        words = F.when(kind == "person", F.split(m, r"\s")).otherwise(F.array().cast("array<string>"))
+        return F.struct(m.alias("m"), kind.alias("kind"), type_.alias("type"), norm.alias("norm"), F.transform(words, lambda w: F.struct(
+            w.alias("w"), F.concat(F.lit("surname_"), _script(w)).alias("type"), F.lower(w).alias("norm"),
+            w.rlike(f"^(?:{_TITLE}|{_GIVEN})$").alias("listed"))).alias("words"))
+    return F.transform(out, entity)
+
+
+def units(mentions_: Column) -> Column:
+    """The entities named by mentions: ``array<struct<type, norm>>``."""
+    pair = lambda x: F.struct(x["type"].alias("type"), x["norm"].alias("norm"))
+    return F.flatten(F.transform(described(mentions_), lambda x: F.when(
+        x["kind"] == "person", F.transform(F.filter(x["words"], lambda w: ~w["listed"]), pair)).otherwise(F.array(pair(x)))))
 
 
 class Surrogates:
@@ -156,65 +171,90 @@ class Surrogates:
         total = F.aggregate(doubled, F.lit(0), lambda s, x: s + x)
         return F.concat(body, F.pmod(10 - total % 10, F.lit(10)).cast("string"))
 
-    def canonical(self, type_: Column, norm: Column, attempt: Column) -> Column:
+    def canonical(self, type_: Column, norm: Column, attempt: Column, stream: Column) -> Column:
         """The surrogate of an entity in normal form."""
-        stream = self._stream(type_, norm, attempt)
         domain = self._stream(F.lit("domain"), F.regexp_extract(norm, "@(.*)$", 1), F.lit(0))
         email = F.concat(self._alike(F.regexp_extract(norm, "^([^@]*)", 1), stream),
                          F.when(attempt > 0, attempt.cast("string")).otherwise(""),
                          F.lit("@h"), F.substr(domain, F.lit(1), F.lit(12)), F.lit(".example"))
         ip = F.concat_ws(".", 240 + F.pmod(self._byte(stream, F.lit(0)), F.lit(15)),
                          *[self._byte(stream, F.lit(i)) for i in (1, 2, 3)])
-        phone = self._number(norm, stream, F.greatest(F.length(norm) - 10, F.lit(0)))
-        out = (F.when(type_ == "email", email).when(type_ == "ip", ip)
-               .when(type_ == "card", self._checked(self._number(norm, stream, F.lit(1))))
-               .when(type_ == "ssn", F.concat(F.lit("9"), F.substr(self._number(norm, stream, F.lit(0)), F.lit(2), F.lit(8))))
-               .when(type_ == "phone", phone).when(type_ == "secret", self._secret(norm, stream)))
-        for script, parts in SYLLABLES.items():
-            listed = F.lit(list(parts))
-            name = F.array_join(F.transform(F.sequence(F.lit(0), 3 + attempt), lambda i: F.element_at(
-                listed, F.pmod(self._byte(stream, i), F.lit(len(parts))) + 1)), "")  # noqa: B023
-            out = out.when(type_ == f"surname_{script}", name)
-        return out.otherwise(stream)
+        kept = F.when(type_ == "card", 1).when(type_ == "phone", F.greatest(F.length(norm) - 10, F.lit(0))).otherwise(0)
+        number = F.transform(F.array(self._number(norm, stream, kept)), lambda n: F.when(type_ == "card", self._checked(n)).when(
+            type_ == "ssn", F.concat(F.lit("9"), F.substr(n, F.lit(2), F.lit(8)))).otherwise(n))[0]
+        return (F.when(type_ == "email", email).when(type_ == "ip", ip).when(type_ == "secret", self._secret(norm, stream))
+                .when(type_.startswith("surname_"), self._surname(type_, attempt, stream)).otherwise(number))
+
+    def _surname(self, type_: Column, attempt: Column, stream: Column) -> Column:
+        listed = F.when(type_ == "surname_cyrillic", F.lit(list(SYLLABLES["cyrillic"]))).when(
+            type_ == "surname_greek", F.lit(list(SYLLABLES["greek"]))).otherwise(F.lit(list(SYLLABLES["latin"])))
+        # a longer name for each further attempt
+        return F.array_join(F.transform(F.sequence(F.lit(0), 3 + attempt), lambda i: F.element_at(
+            listed, F.pmod(self._byte(stream, i), F.lit(16)) + 1)), "")
+
+    def of(self, frame: DataFrame) -> DataFrame:
+        """``frame (type, norm, attempt, ...)`` with the surrogate ``s``."""
+        one = F.struct("type", "norm", "attempt", self._stream(F.col("type"), F.col("norm"), F.col("attempt")).alias("stream"))
+        return frame.withColumn("s", F.transform(F.array(one), lambda x: self.canonical(
+            x["type"], x["norm"], x["attempt"], x["stream"]))[0])
 
     def _secret(self, value: Column, stream: Column) -> Column:
         return F.concat(F.regexp_extract(value, "^(AKIA|)", 1),
                         self._alike(F.regexp_replace(value, "^AKIA", ""), stream))
 
-    def render(self, m: Column, attempt_of) -> Column:
-        """The replacement of a mention in its own notation."""
-        kind = _kind(m)
-        single = F.element_at(units(m), 1)
-        core = self.canonical(single["type"], single["norm"], attempt_of(single["type"], single["norm"]))
-        # the i-th digit of the mention takes the i-th digit of the surrogate
-        placed = F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(
-            c.rlike(r"\d"), F.substr(core, F.length(_digits(F.substr(m, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
+    def render(self, mentions_: Column, attempt_of) -> Column:
+        """The replacements of mentions, each in its own notation."""
         given = F.create_map(*[F.lit(x) for pair in self._given.items() for x in pair])
 
-        def word(w):
-            type_ = F.concat(F.lit("surname_"), _script(w))
-            made = F.initcap(self.canonical(type_, F.lower(w), attempt_of(type_, F.lower(w))))
-            return F.when(w.rlike(f"^{_TITLE}$"), w).otherwise(F.coalesce(F.try_element_at(given, w), made))
-        person = F.array_join(F.transform(F.split(m, r"\s"), word), " ")
-        label = F.regexp_extract(m, f"^({_LABEL})", 1)
-        return (F.when(kind.isin("card", "ssn", "phone"), placed).when(kind == "person", person)
-                .when(kind == "setting", F.concat(label, core)).otherwise(core))
+        def tried(x, *names):
+            return F.struct(*[x[n].alias(n) for n in names], attempt_of(x["type"], x["norm"]).alias("attempt"))
+
+        def streamed(x, *names):
+            return F.struct(*[x[n].alias(n) for n in (*names, "attempt")],
+                            self._stream(x["type"], x["norm"], x["attempt"]).alias("stream"))
+
+        def word(x):
+            made = F.initcap(self._surname(x["type"], x["attempt"], x["stream"]))
+            return F.when(x["w"].rlike(f"^{_TITLE}$"), x["w"]).otherwise(F.coalesce(F.try_element_at(given, x["w"]), made))
+
+        def written(x):
+            m, kind, core = x["m"], x["kind"], x["core"]
+            # the i-th digit of the mention takes the i-th digit of the surrogate
+            placed = F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(
+                c.rlike(r"\d"), F.substr(core, F.length(_digits(F.substr(m, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
+            words = F.transform(x["words"], lambda w: tried(w, "w", "type", "norm"))
+            words = F.transform(words, lambda w: streamed(w, "w", "type", "norm"))
+            return (F.when(kind.isin("card", "ssn", "phone"), placed)
+                    .when(kind == "person", F.array_join(F.transform(words, word), " "))
+                    .when(kind == "setting", F.concat(F.regexp_extract(m, f"^({_LABEL})", 1), core)).otherwise(core))
+
+        names = ("m", "kind", "type", "norm", "words")
+        out = F.transform(described(mentions_), lambda x: tried(x, *names))
+        out = F.transform(out, lambda x: streamed(x, *names))
+        out = F.transform(out, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["words"].alias("words"), F.when(
+            x["kind"] != "person", self.canonical(x["type"], x["norm"], x["attempt"], x["stream"])).alias("core")))
+        return F.transform(out, written)
 
 
 def mentions(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    """All mentions in a text, from the left.
+
+    Every kind but a person needs a digit or an ``@``: texts without get the short pattern.
+    """
+    find = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    return F.when(text.rlike("[0-9@]"), find(PATTERN)).when(text.rlike(PERSON), find(PERSON)).otherwise(
+        F.array().cast("array<string>"))
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The distinct ``(type, norm)`` of a corpus."""
-    found = docs.select(F.explode(mentions(F.col(text_col))).alias("m"))
+    found = docs.select(mentions(F.col(text_col)).alias("m")).where(F.size("m") > 0)
     return found.select(F.explode(units(F.col("m"))).alias("u")).select("u.type", "u.norm").distinct()
 
 
 def second_tries(known: DataFrame, surrogates: Surrogates, staging: Staging) -> DataFrame:
     """``(type, norm, attempt)`` of the entities whose first surrogate is not free."""
-    state = staging.put(known.withColumn("attempt", F.lit(0)).withColumn(
-        "s", surrogates.canonical(F.col("type"), F.col("norm"), F.col("attempt"))), "surrogates")
+    state = staging.put(surrogates.of(known.withColumn("attempt", F.lit(0))), "surrogates")
     for _ in range(MOST_ATTEMPTS):
         shared = (state.groupBy("type", "s").agg(F.count("*").alias("c"), F.min(F.struct("attempt", "norm")).alias("first"))
                   .where("c > 1"))
@@ -229,7 +269,7 @@ def second_tries(known: DataFrame, surrogates: Surrogates, staging: Staging) ->
         old = state
         state = state.join(again, ["type", "norm"], "left").withColumn(
             "attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again", "s")
-        state = staging.put(state.withColumn("s", surrogates.canonical(F.col("type"), F.col("norm"), F.col("attempt"))), "surrogates")
+        state = staging.put(surrogates.of(state), "surrogates")
         staging.drop(old, again)
     raise RuntimeError("the surrogate space is too small for the entities found")
 
@@ -244,7 +284,7 @@ def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(*names).withColumn("__m", mentions(F.col(text_col)))
     if retried.limit(1).count():
         # only documents that name such an entity take part in the join
-        named = (docs.select(F.col(id_col).alias("__id"), F.explode(mentions(F.col(text_col))).alias("m"))
+        named = (docs.select(F.col(id_col).alias("__id"), mentions(F.col(text_col)).alias("m")).where(F.size("m") > 0)
                  .select("__id", F.explode(units(F.col("m"))).alias("u")).select("__id", "u.type", "u.norm").distinct()
                  .join(retried, ["type", "norm"]))
         tries = staging.put(named.groupBy("__id").agg(F.map_from_entries(F.collect_list(
@@ -252,10 +292,11 @@ def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "
         rows = rows.join(tries, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
         attempt_of = lambda t, n: F.coalesce(F.try_element_at(F.col("__tries"), F.concat_ws("|", t, n)), F.lit(0))
     else:
-        rows = rows.withColumn("__tries", F.lit(0))
         attempt_of = lambda t, n: F.lit(0)
-    gaps = F.split(F.col(text_col), PATTERN, -1)
-    made = F.concat(F.transform("__m", lambda m: surrogates.render(m, attempt_of)), F.array(F.lit("")))
+    # the pattern that found the mentions also cuts the text between them
+    cut = lambda p: F.split(F.col(text_col), p, -1)
+    gaps = F.when(F.col(text_col).rlike("[0-9@]"), cut(PATTERN)).otherwise(cut(PERSON))
+    made = F.concat(surrogates.render(F.col("__m"), attempt_of), F.array(F.lit("")))
     text = F.when(F.size("__m") > 0, F.array_join(F.zip_with(gaps, made, lambda g, s: F.concat(g, s)), "")).otherwise(F.col(text_col))
     return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in names],
                        F.coalesce(F.size("__m"), F.lit(0)).alias("n_entities"))

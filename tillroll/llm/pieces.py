@@ -228,6 +228,15 @@ def _cell(raw: np.ndarray) -> np.ndarray:
     return (raw * _SPREAD >> np.uint64(64 - CELL_BITS)).view(np.int64)
 
 
+def _words(text: str) -> list[str]:
+    """The words of a text behind the leading space that encoding adds."""
+    if not text:
+        return []
+    if "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ":
+        return (SPACE + text.replace(" ", " " + SPACE)).split(" ")  # the same, faster
+    return _WORD.findall(SPACE + text.replace(" ", SPACE))
+
+
 class Encoder:
     """Encodes texts in one task; keeps bounded caches of words and pairs."""
 
@@ -331,10 +340,12 @@ class Encoder:
                 self.words.update(zip(part, self._same_length(part, size)))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        split = [None if t is None else _WORD.findall((SPACE + t.replace(" ", SPACE)) if t else "") for t in texts]
-        split = [ws if not ws or len(max(ws, key=len)) <= LONGEST_BATCHED else [p for w in ws for p in self._pieces_of(w)]
-                 for ws in split]
+        split = [None if t is None else _words(t) for t in texts]
         wanted = set().union(*(ws for ws in split if ws))
+        long = {w: self._pieces_of(w) for w in wanted if len(w) > LONGEST_BATCHED}
+        if long:
+            split = [ws if not ws or long.keys().isdisjoint(ws) else [p for w in ws for p in long.get(w, (w,))] for ws in split]
+            wanted = set().union(*(ws for ws in split if ws))
         new = wanted - self.words.keys()
         if len(self.words) + len(new) > CACHED_WORDS:
             self.words.clear()
@@ -345,8 +356,6 @@ class Encoder:
 
     def _pieces_of(self, word: str) -> list[str]:
         """Cuts a long word between characters that are neighbours in no piece."""
-        if len(word) <= LONGEST_BATCHED:
-            return [word]
         code = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         pair = code[:-1] << 21 | code[1:]
         at = np.searchsorted(self.v.inner, pair)

@@ -66,7 +66,7 @@ def test_stream_keeps_budgets_and_weights(spark):
 
 def test_drawn_rows_match_the_stream(spark):
     _, df = corpus(spark)
-    for options in ({"most_epochs": 2.0}, {"target_entropy": 0.95, "budget": 500}, {"target_entropy": 1.0, "budget": 60}):
+    for options in ({"most_epochs": 2.0}, {"target_entropy": 0.95, "budget": 500}):
         stream = Counter(r["doc_id"] for r in mixing.mixture(df, **options).collect())
         assert Counter(r["doc_id"] for r in mixing.draw(df, **options).collect()) == stream
 

@@ -1,23 +1,27 @@
-"""Quality rules: an n-gram perplexity with per-language bands, and text counts.
+"""Quality rules: a word n-gram perplexity with per-language bands, and text counts.
 
-The language model is an interpolated modified Kneser-Ney model of order
-``ORDER`` over the bytes of the text (white space folded to one space, case
-kept), one per language, counted by Spark over every document.  Byte n-grams
-keep the model small and give words never seen before a fair score.  The model
-is stored as sorted arrays of hashed n-grams (``SLOTS`` slots per order, hence
-a fixed bound on its size) with their log probabilities and back-off weights,
-and broadcast; scoring probes the arrays by binary search.
+The language model is an interpolated modified Kneser-Ney model over pairs of
+words, one per language, counted by Spark over every document.  A word is a run
+without white space; characters of scripts that do not set words apart (Chinese,
+Japanese, Thai, ...) are words of their own.  The model is a table keyed by full
+64-bit hashes, ``(gram, log2_p)``; it grows with the corpus, lies partitioned by
+hash and is joined to the documents' pairs, never broadcast.  As every document
+is counted, every pair has an entry.  A document's log2 perplexity is the mean
+of ``-log2 p`` over its words, the first one following the start of the text.
 
 A document is kept when its base rules hold and its log2 perplexity lies in
 its language's band: the median plus and minus ``LOWER`` / ``UPPER`` times the
 median absolute deviation over that language's documents that pass the base
 rules (at least ``LEAST_DEVIATION``), widened for short texts, whose perplexity
 scatters, by ``sqrt(1 + SLACK_WORDS / n_words)``.  Repetitive texts fall below the band,
-shouting, tables and symbol noise above.
+shouting, tables, shuffled words and symbol noise above.
 
 Null, empty and white-only texts have zero counts and a null perplexity, and
 fail the base rules.  A null language is a language of its own.  Repeated rows
 and equal ids are scored row by row; other columns are ignored.
+
+``train`` and ``log2_probability`` are a byte 4-gram model of the same form for
+small corpora, held whole in memory; the query does not use it.
 """
 
 from __future__ import annotations
@@ -33,7 +37,6 @@ from tillroll.llm import tokens
 from tillroll.llm.common import Staging, bounded_batches
 
 ORDER = 4
-SLOTS = 1 << 23
 FLUSH = 1 << 22
 LOWER, UPPER = 5.0, 5.0
 LEAST_DEVIATION = 0.01
@@ -92,8 +95,7 @@ def _count_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slot(lang_hash, order: int, gram: np.ndarray) -> np.ndarray:
-    key = tokens.mix(gram.astype(np.uint64) + np.uint64(order << 40) ^ np.uint64(lang_hash))
-    return (key & np.uint64(SLOTS - 1)).astype(np.int32)
+    return tokens.mix(gram.astype(np.uint64) + np.uint64(order << 40) ^ np.uint64(lang_hash)).view(np.int64)
 
 
 def _lang_hash(lang: str | None) -> int:
@@ -120,6 +122,19 @@ def count_grams(docs: DataFrame, staging: Staging) -> DataFrame:
     return staging.put(pieces.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "grams")
 
 
+def _discounted(level: DataFrame) -> DataFrame:
+    """``level (lang, a, ...)`` with the discount ``d`` of its language and count."""
+    n = [F.count_if(F.col("a") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
+    part = level.groupBy("lang").agg(*n).selectExpr(
+        "lang",
+        "least(greatest(coalesce(1 - 2 * try_divide(n1, n1 + 2 * n2) * try_divide(n2, n1), 0.5D), 0.1D), 1D) d1",
+        "least(greatest(coalesce(2 - 3 * try_divide(n1, n1 + 2 * n2) * try_divide(n3, n2), 1D), 0.1D), 2D) d2",
+        "least(greatest(coalesce(3 - 4 * try_divide(n1, n1 + 2 * n2) * try_divide(n4, n3), 1.5D), 0.1D), 3D) d3")
+    part = part.select(F.col("lang").alias("dl"), "d1", "d2", "d3")
+    return level.join(part, F.col("lang").eqNullSafe(F.col("dl"))).drop("dl").withColumn(
+        "d", F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3")))
+
+
 def kneser_ney(counts: DataFrame, staging: Staging) -> list[dict[str, DataFrame]]:
     """Per order, lowest first: ``p (lang, gram, p)`` and ``backoff (lang, gram, g)``.
 
@@ -134,15 +149,7 @@ def kneser_ney(counts: DataFrame, staging: Staging) -> list[dict[str, DataFrame]
     out: list[dict[str, DataFrame]] = []
     for order, level in enumerate(levels, 1):
         level = staging.put(level, f"level{order}")
-        n = [F.count_if(F.col("a") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
-        part = level.groupBy("lang").agg(*n).selectExpr(
-            "lang",
-            "least(greatest(coalesce(1 - 2 * try_divide(n1, n1 + 2 * n2) * try_divide(n2, n1), 0.5D), 0.1D), 1D) d1",
-            "least(greatest(coalesce(2 - 3 * try_divide(n1, n1 + 2 * n2) * try_divide(n3, n2), 1D), 0.1D), 2D) d2",
-            "least(greatest(coalesce(3 - 4 * try_divide(n1, n1 + 2 * n2) * try_divide(n4, n3), 1.5D), 0.1D), 3D) d3")
-        part = part.select(F.col("lang").alias("dl"), "d1", "d2", "d3")
-        cut = level.join(part, F.col("lang").eqNullSafe(F.col("dl"))).drop("dl").withColumn(
-            "d", F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3")))
+        cut = _discounted(level)
         context = F.shiftright("gram", 8)
         totals = staging.put(
             cut.groupBy("lang", context.alias("gram"))
@@ -164,10 +171,9 @@ def kneser_ney(counts: DataFrame, staging: Staging) -> list[dict[str, DataFrame]
 
 
 def _arrays(df: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted slots and log2 values: at most ``SLOTS`` entries, the larger value of a shared slot."""
+    """Sorted 64-bit keys and log2 values."""
     value = F.log2(df[df.columns[-1]]).cast("float").alias("value")
-    rows = (df.select("lang", "gram", value).mapInArrow(_slot_pass(order), "slot int, value float")
-            .groupBy("slot").agg(F.max("value").alias("value")).toArrow())
+    rows = (df.select("lang", "gram", value).mapInArrow(_slot_pass(order), "slot bigint, value float").toArrow())
     slots, values = rows["slot"].to_numpy(), rows["value"].to_numpy()
     at = np.argsort(slots)
     return slots[at], values[at]
@@ -205,6 +211,116 @@ def log2_probability(model, lang: str | None, grams: np.ndarray) -> np.ndarray:
     return out
 
 
+_ALONE = np.zeros(256, bool)
+_ALONE[0xE3:0xF5] = True  # kana, Chinese, Hangul, symbols beyond the base plane
+_BYTE_CODE = np.random.default_rng(20240811).integers(1, 1 << 64, 256, dtype=np.uint64)
+_CONTEXT, _WORD = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _spaced(raw: bytes) -> bytes:
+    """The text with spaces around the characters of scripts that do not set words apart."""
+    data = np.frombuffer(raw, np.uint8)
+    if not len(data) or data.max() < 0xE0:
+        return raw
+    second = np.append(data[1:], np.uint8(0))
+    alone = _ALONE[data] | ((data == 0xE0) & (second >= 0xB8) & (second <= 0xBB)) | (
+        (data == 0xE1) & ((second <= 0x82) | (second == 0x9E) | (second == 0x9F)))
+    if not alone.any():
+        return raw
+    first = (data & 0xC0) != 0x80
+    # a space before each such character and before the character behind it
+    at = np.flatnonzero(first)
+    cut = np.union1d(at[alone[at]], at[1:][alone[at[:-1]]])
+    return np.insert(data, cut, np.uint8(32)).tobytes()
+
+
+def _pairs(raw: bytes | None, code: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the words of a text and of the ones before them; ``code`` stands before the first."""
+    hashes = tokens.mix(tokens.words(_spaced(raw or b""))[0] + code)
+    return np.concatenate(([code], hashes[:-1])) if len(hashes) else hashes, hashes
+
+
+def _gram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return tokens.mix(context * _CONTEXT + tokens.mix(word * _WORD))
+
+
+def _long(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64))
+
+
+def _pair_count_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
+
+    def flush():
+        for lang, parts in held.items():
+            context, word = (np.concatenate(x) for x in zip(*parts))
+            gram, first, c = np.unique(_gram(context, word), return_index=True, return_counts=True)
+            if len(gram):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(gram), np.int32))), _long(gram), _long(context[first]),
+                     _long(word[first]), pa.array(c.astype(np.int64))], ["lang", "gram", "context", "word", "c"])
+
+    for batch in it:
+        for lang, raw in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+            held.setdefault(lang, []).append(_pairs(raw, np.uint64(_lang_hash(lang))))
+            size += len(held[lang][-1][0])
+            if size >= FLUSH:
+                yield from flush()
+                held, size = {}, 0
+    yield from flush()
+
+
+def _pair_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's distinct pairs and how often it has them (``k``)."""
+    names = ["h1", "h2", "gram", "k"]
+    for batch in it:
+        out: list[list[np.ndarray]] = [[] for _ in names]
+        size = 0
+        rows = zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(),
+                   batch.column("h1").to_pylist(), batch.column("h2").to_pylist())
+        for lang, raw, h1, h2 in rows:
+            context, word = _pairs(raw, np.uint64(_lang_hash(lang)))
+            if not len(word):
+                continue
+            gram, k = np.unique(_gram(context, word), return_counts=True)
+            for x, v in zip(out, (np.full(len(gram), h1), np.full(len(gram), h2), gram.view(np.int64), k)):
+                x.append(v)
+            size += len(gram)
+            if size >= FLUSH >> 4:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
+                out, size = [[] for _ in names], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
+
+
+def word_model(docs: DataFrame, staging: Staging) -> DataFrame:
+    """``(gram, log2_p)`` of every pair of words in ``docs (lang, text)``."""
+    found = docs.select("lang", "text").mapInArrow(
+        _pair_count_pass, "lang string, gram bigint, context bigint, word bigint, c bigint")
+    grams = staging.put(found.groupBy("lang", "gram", "context", "word").agg(F.sum("c").alias("a")), "pairs")
+    # lower order: how many words a word follows, interpolated with an even share of the words and one unseen
+    words = _discounted(staging.put(grams.groupBy("lang", "word").agg(F.count("*").alias("a")), "words"))
+    totals = words.groupBy(F.col("lang").alias("l2")).agg(
+        F.sum("a").alias("t"), F.sum("d").alias("s"), F.count("*").alias("v"))
+    low = (words.join(totals, F.col("lang").eqNullSafe(F.col("l2")))
+           .select("word", ((F.greatest(F.col("a") - F.col("d"), F.lit(0.0)) + F.col("s") / (F.col("v") + 1)) / F.col("t")).alias("q")))
+    cut = _discounted(grams)
+    contexts = cut.groupBy("context").agg(F.sum("a").alias("t"), (F.sum("d") / F.sum("a")).alias("g"))
+    p = F.greatest(F.col("a") - F.col("d"), F.lit(0.0)) / F.col("t") + F.col("g") * F.col("q")
+    return staging.put(cut.join(contexts, "context").join(low, "word").select("gram", F.log2(p).alias("log2_p")), "model")
+
+
+def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """``(h1, h2, log2_perplexity)`` of each distinct text of ``docs (lang, text, h1, h2)`` that has words.
+
+    Rows of equal text and language share their key: a mean does not change with copies.
+    """
+    pairs = docs.select("lang", "text", "h1", "h2").mapInArrow(_pair_pass, "h1 bigint, h2 bigint, gram bigint, k bigint")
+    scored = pairs.join(model, "gram").select("h1", "h2", "k", (F.col("k") * F.col("log2_p")).alias("s"))
+    return scored.groupBy("h1", "h2").agg((-F.sum("s") / F.sum("k")).alias("log2_perplexity"))
+
+
 def _repeated(grams: np.ndarray, n_words: int) -> int:
     """Words covered by windows that occur at least twice."""
     ordered = np.sort(grams)
@@ -218,12 +334,10 @@ def _repeated(grams: np.ndarray, n_words: int) -> int:
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
-def _score_pass(model_ref):
+def _score_pass():
     def run(it):
-        model = model_ref.value
         for batch in it:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            langs = batch.column("lang").to_pylist()
             rows: list[tuple] = []
             for texts_run in tokens.batches(texts):
                 buffer, hashes, starts, _, cuts = tokens.joined(texts_run)
@@ -237,19 +351,13 @@ def _score_pass(model_ref):
                     a, b = int(cuts[i]), int(cuts[i + 1])
                     n = b - a
                     lines = [x for x in raw.split(b"\n") if x.strip()]
-                    grams = _grams(_folded(raw)) if n else np.zeros(0, np.uint32)
-                    lang = langs[len(rows)]
-                    ppl = None
-                    if len(grams):
-                        ppl = -float(log2_probability(model, lang, grams).sum()) / len(grams)
                     empty = not raw
                     rows.append((n, 0 if empty else int(chars[i]), 0 if empty else int(symbols[i]), len(lines) - len(set(lines)),
-                                 _repeated(windows[a:b - WINDOW + 1], n) if n > WINDOW else 0, ppl))
-            cols = list(zip(*rows)) or [[]] * 6
+                                 _repeated(windows[a:b - WINDOW + 1], n) if n > WINDOW else 0))
+            cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), *(pa.array(c, pa.int64()) for c in cols[:5]),
-                 pa.array(cols[5], pa.float64())],
-                ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log2_perplexity"])
+                [*(batch.column(c) for c in ("doc_id", "lang", "h1", "h2")), *(pa.array(c, pa.int64()) for c in cols)],
+                ["doc_id", "lang", "h1", "h2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
     return run
 
 
@@ -259,11 +367,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bounded_batches(docs.sparkSession)
     staging = Staging(docs.sparkSession, "quality")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    model = train(docs, staging)
+    key = lambda i: F.xxhash64(F.col("lang").isNull(), "lang", "text", F.lit(i)).alias(f"h{i}")
+    docs = docs.select("*", key(1), key(2))
+    measured = perplexities(docs, word_model(docs, staging))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.mapInArrow(
-        _score_pass(model), f"doc_id {id_type}, lang string, n_words bigint, word_chars bigint, n_symbols bigint, "
-        "n_dup_lines bigint, n_repeat_words bigint, log2_perplexity double")
+        _score_pass(), f"doc_id {id_type}, lang string, h1 bigint, h2 bigint, n_words bigint, word_chars bigint, n_symbols bigint, "
+        "n_dup_lines bigint, n_repeat_words bigint").join(measured, ["h1", "h2"], "left").drop("h1", "h2")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     scored = staging.put(scored.withColumn("base_failed", failed), "scored")
     fair = scored.where("not base_failed")

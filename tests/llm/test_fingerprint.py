@@ -53,3 +53,14 @@ def test_empty_and_single(spark):
     assert fp.edited_neighbours(empty(spark)).count() == 0
     one = fp.edited_neighbours(spark.createDataFrame([(5, "alone here")], "doc_id bigint, text string")).first()
     assert one["n_chars"] == 10 and one["near_next"] == 1
+
+
+def test_likeness_of_texts_beyond_the_16_bit_counts(spark):
+    """Half in common; sizes past 2^16 and 2^17, and a line repeated past 2^15 times."""
+    text = lambda n, of="t": " ".join(f"{of}{i}" for i in range(n))
+    line = "one two three\n"
+    got = prints(spark, [text(70_000), text(35_000), text(140_000), line * 70_000, line * 35_000])
+    df = spark.createDataFrame([(got[a]["lanes"], got[b]["lanes"]) for a, b in ((0, 1), (0, 2), (3, 4))], "a array<bigint>, b array<bigint>")
+    half, twice, lines = [r[0] for r in df.select(fp.likeness("a", "b")).collect()]
+    assert got[0]["lanes"][-1] == 69_998 and got[2]["lanes"][-1] == 139_998 and got[3]["lanes"][-1] == 70_000
+    assert abs(half - 0.5) < 0.12 and abs(twice - 0.5) < 0.12 and lines == 0

@@ -1,16 +1,19 @@
 """Document fingerprints: a homomorphic multiset hash over paragraphs.
 
 A text's paragraphs (split at line feeds, empty ones included) are hashed to
-wide vectors, and a fingerprint is the lane-wise sum of them modulo 2^16, so it
-does not depend on the paragraphs' order, and a paragraph is inserted or
-deleted by adding or subtracting its vector.  A vector has three parts:
+wide vectors, and a fingerprint is the lane-wise sum of them, so it does not depend
+on the paragraphs' order, and a paragraph is inserted or deleted by adding or
+subtracting its vector.  A vector has three parts:
 
-* ``EXACT`` lanes of 16 bits hashed from the whole paragraph, which decide
+* ``EXACT`` lanes modulo 2^16 hashed from the whole paragraph, which decide
   equality (256 bits);
 * ``LIKE`` lanes that add up one bit per three-word shingle of the paragraph
   (fewer words: the whole paragraph), which estimate likeness;
 * one lane that counts the shingles.
 
+The last two are sums modulo 2^32: a text holds fewer than 2^30 shingles, so
+neither the count nor a signed difference of two texts wraps.
+
 With ``n`` shingles and bit sums ``s`` a lane's signed sum is ``2 s - n``.  The
 difference of two such sums has, over the lanes, a mean square equal to the
 squared distance ``d`` of the two shingle multisets in expectation, so the
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 EXACT = 16
 LIKE = 64
 LANE = 1 << 16
+WIDE = 1 << 32
 SHINGLE = 3
 ROWS_PER_RANGE = 256
 MOST_RANGES = 1 << 16
@@ -70,28 +74,33 @@ def vectors(texts: DataFrame, keys: list[str]) -> DataFrame:
     return units.groupBy(*keys).agg(*like, *exact, F.sum(part.cast("bigint")).alias("n"))
 
 
+def _modulus(i: Column) -> Column:
+    return F.when(i < EXACT, F.lit(LANE).cast("bigint")).otherwise(F.lit(WIDE))
+
+
 def lanes() -> Column:
-    """The fingerprint's lanes from the sums: EXACT, LIKE, count, each modulo 2^16."""
+    """The fingerprint's lanes from the sums: EXACT modulo 2^16, LIKE and count modulo 2^32."""
     like = [x for c in _LIKE_SUMS for x in (F.col(c).bitwiseAND((1 << 31) - 1), F.shiftrightunsigned(c, 31))]
-    return F.transform(F.array(*[F.col(c) for c in _EXACT_SUMS], *like, F.col("n")), lambda x: F.pmod(x, F.lit(LANE)).cast("int"))
+    return F.transform(F.array(*[F.col(c) for c in _EXACT_SUMS], *like, F.col("n")), lambda x, i: F.pmod(x, _modulus(i)))
 
 
 def as_text(lanes_col: str) -> Column:
-    """Four hexadecimal digits per lane."""
-    return F.array_join(F.transform(lanes_col, lambda x: F.lpad(F.lower(F.hex(x)), 4, "0")), "")
+    """Four hexadecimal digits per EXACT lane, eight per other lane."""
+    return F.array_join(F.transform(lanes_col, lambda x, i: F.when(i < EXACT, F.lpad(F.lower(F.hex(x)), 4, "0"))
+                                    .otherwise(F.lpad(F.lower(F.hex(x)), 8, "0"))), "")
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Fingerprint lanes after adding (or, with -1, taking away) paragraphs' lanes ``b``."""
-    return F.zip_with(a, b, lambda x, y: F.pmod(x + sign * y, F.lit(LANE)).cast("int"))
+    return F.transform(a, lambda x, i: F.pmod(x.cast("bigint") + sign * F.get(b, i).cast("bigint"), _modulus(i)))
 
 
 def likeness(a: str, b: str) -> Column:
     """Estimated similarity in [0, 1] of two lane arrays."""
-    signed = lambda x: F.pmod(x + F.lit(LANE // 2), F.lit(LANE)) - LANE // 2
-    na, nb = F.element_at(a, -1), F.element_at(b, -1)
+    signed = lambda x: F.pmod(x + F.lit(WIDE // 2), F.lit(WIDE)) - WIDE // 2
+    na, nb = F.element_at(a, -1).cast("bigint"), F.element_at(b, -1).cast("bigint")
     part = lambda c: F.slice(c, EXACT + 1, LIKE)
-    gap = F.zip_with(part(a), part(b), lambda x, y: signed(2 * (x - y) - (na - nb)).cast("double"))
+    gap = F.zip_with(part(a), part(b), lambda x, y: signed(2 * (x.cast("bigint") - y) - (na - nb)).cast("double"))
     d = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x) / LIKE
     size = (na + nb).cast("double")
     raw = F.when(size + d > 0, (size - d) / (size + d)).otherwise(0.0)

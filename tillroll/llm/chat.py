@@ -24,9 +24,13 @@ first character and are never read as control strings; taking one backslash
 away restores the text, whatever it holds.  ``loss_spans`` are the code points
 (from 1, with their number) of the assistant texts.
 
+A log may have a column ``message`` that tells apart messages of one turn;
+``as_events`` gives every row its own, so repeated and tied rows are kept.  They
+are ordered by role and text.
+
 Nulls: a null text is empty, a null role the role "", a null turn a turn of its own
-before all others, a null conversation a conversation of its own.  Events
-without a known kind count as deltas.  An empty log gives no rows.
+behind all others (as SQL orders it), a null conversation a conversation of its own.
+Events without a known kind count as deltas.  An empty log gives no rows.
 """
 
 from __future__ import annotations
@@ -50,14 +54,15 @@ def unescape(text: Column) -> Column:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """The final messages ``(conv_id, turn, role, text)`` of an event log."""
+    """The final messages ``(conv_id, turn, role, text)`` of an event log, with its ``message`` if it has one."""
+    own = ["turn", "message"] if "message" in events.columns else ["turn"]
     kind = F.when(F.col("kind").isin("edit", "regenerate", "delete"), F.col("kind")).otherwise("delta")
     event = F.struct("seq", kind.alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.col("role").isNotNull().alias("named"),
                      F.coalesce("text", F.lit("")).alias("text"))
     # collect_set drops repeated deliveries already in the map-side aggregate
-    turns = events.groupBy("conv_id", "turn").agg(
+    turns = events.groupBy("conv_id", *own).agg(
         F.sort_array(F.collect_set(event)).alias("log"), F.max(F.when(kind != "delta", F.col("seq"))).alias("reset"))
-    before = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv_id").orderBy(*[F.col(c).asc_nulls_last() for c in own]).rowsBetween(Window.unboundedPreceding, -1)
     alive = turns.withColumn("cut", F.max("reset").over(before)).withColumn(
         "log", F.filter("log", lambda e: F.col("cut").isNull() | (e["seq"] > F.col("cut")))).where(F.size("log") > 0)
     # deltas since the last reset, behind that reset's own text
@@ -73,7 +78,7 @@ def fold(events: DataFrame) -> DataFrame:
             .withColumn("text", F.when((F.col("last") > 0) & (F.element_at("log", start)["kind"] == "delete"),
                                        F.array_join(F.transform(F.slice("log", start + 1, F.size("log") - start), lambda e: e["text"]), ""))
                         .otherwise(text))
-            .select("conv_id", "turn", F.coalesce(F.try_element_at(named, F.lit(-1))["role"], F.lit("")).alias("role"), "text"))
+            .select("conv_id", *own, F.coalesce(F.try_element_at(named, F.lit(-1))["role"], F.lit("")).alias("role"), "text"))
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -83,7 +88,8 @@ def render(messages: DataFrame) -> DataFrame:
     for role, (a, b) in MARKS.items():
         opening = F.when(F.col("role") == role, a).otherwise(opening)
         closing = F.when(F.col("role") == role, b).otherwise(closing)
-    part = F.struct("turn", "role", F.concat(opening, inner, closing).alias("body"),
+    own = ["turn", "message"] if "message" in messages.columns else ["turn"]
+    part = F.struct(F.col("turn").isNull().alias("last"), *own, "role", F.concat(opening, inner, closing).alias("body"),
                     F.char_length(opening).alias("lead"), F.char_length(inner).alias("length"))
     joined = (messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(part)).alias("parts"))
               .withColumn("formatted", F.concat(F.lit(START), F.array_join(F.transform("parts", lambda p: p["body"]), ""))))
@@ -115,9 +121,14 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 
 def as_events(turns: DataFrame, piece: int = 512) -> DataFrame:
-    """A log of finished turns as it would have been streamed: deltas of ``piece`` code points."""
+    """A log of finished turns as it would have been streamed: deltas of ``piece`` code points.
+
+    Every row is a message of its own, numbered among those of its turn.
+    """
     text = F.coalesce("text", F.lit(""))
+    tied = Window.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), text)
+    turns = turns.withColumn("message", F.row_number().over(tied))
     pieces = F.greatest(F.ceil(F.char_length(text) / piece).cast("int"), F.lit(1))
-    at = turns.select("conv_id", "turn", "role", text.alias("text"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("i"))
-    return at.select("conv_id", (F.coalesce("turn", F.lit(-1)) * (1 << 24) + F.col("i")).alias("seq"), F.lit("delta").alias("kind"),
-                     "turn", "role", F.substr("text", F.col("i") * piece + 1, F.lit(piece)).alias("text"))
+    at = turns.select("conv_id", "turn", "message", "role", text.alias("text"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("i"))
+    return at.select("conv_id", F.struct("turn", "message", "i").alias("seq"), F.lit("delta").alias("kind"),
+                     "turn", "message", "role", F.substr("text", F.col("i") * piece + 1, F.lit(piece)).alias("text"))

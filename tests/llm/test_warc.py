@@ -61,3 +61,20 @@ def test_empty(spark, tmp_path):
     path = str(tmp_path / "archive")
     warc.write(spark.createDataFrame([], PAGES), path)
     assert warc.read(spark, path).count() == 0
+
+
+def test_splits_may_change_between_the_scans(spark, tmp_path):
+    """Executors that come or go change the splits: here they do between the scans of one read."""
+    path = str(tmp_path / "archive")
+    warc.write(pages(spark).repartition(2), path)
+    name = "spark.sql.files.maxPartitionBytes"
+    cost = "spark.sql.files.openCostInBytes"
+    saved = [(n, spark.conf.get(n)) for n in (name, cost)]
+    try:
+        found = warc.read(spark, path)
+        spark.conf.set(name, "331")
+        spark.conf.set(cost, "1")
+        assert rows(found) == expected()
+    finally:
+        for n, v in saved:
+            spark.conf.set(n, v)

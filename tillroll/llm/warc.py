@@ -112,6 +112,14 @@ def _parsed(value: Column) -> dict[str, Column]:
 _FIELDS = ["record_type", "record_id", "refers_id", "uri", "named_digest", "digest", "payload_bytes", "payload"]
 
 
+# A chunk's text, whatever the splits.
+_CONTENT = ["h1", "h2"]
+
+
+def _content_key(value: Column) -> list[Column]:
+    return [F.xxhash64(value, F.lit(i)).alias(n) for i, n in enumerate(_CONTENT)]
+
+
 def _candidates(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
     """Text chunks between magics, with their place: file, block, order and bytes.
 
@@ -122,7 +130,7 @@ def _candidates(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
     length = F.when(F.instr(value, SEPARATOR) > 0, F.regexp_extract(header, r"(?im)^Content-Length:[ \t]*(\d{1,15})[ \t]*$", 1))
     chunks = spark.read.option("lineSep", MAGIC).text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"), F.octet_length(value).cast("bigint").alias("bytes"),
+        F.monotonically_increasing_id().alias("at"), *_content_key(value), F.octet_length(value).cast("bigint").alias("bytes"),
         # from the magic to the byte after the record's separator
         F.when(length != "", F.lit(len(MAGIC) + 2 * _SEPARATOR_BYTES) + F.octet_length(header) + length.cast("bigint")).alias("span"))
     whole = F.coalesce(F.col("span") == F.col("bytes") + len(MAGIC), F.lit(False))
@@ -130,7 +138,7 @@ def _candidates(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
     if not payloads:
         fields["payload"] = F.lit(None).cast("string")
     return chunks.withColumn("whole", whole).select(
-        "file", "block", "at", "bytes", "span", "whole",
+        "file", "block", "at", *_CONTENT, "bytes", "span", "whole",
         *[F.when(F.col("whole"), c).alias(n) for n, c in fields.items()])
 
 
@@ -218,9 +226,8 @@ def reachable(places: DataFrame, staging: Staging) -> DataFrame:
 
 
 def _texts(spark: SparkSession, path: str) -> DataFrame:
-    """The chunks' texts again, keyed as in ``_candidates``: the same files give the same splits."""
-    return spark.read.option("lineSep", MAGIC).text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    """The chunks' texts again, keyed by what they hold: the splits may differ from those of ``_candidates``."""
+    return spark.read.option("lineSep", MAGIC).text(path).select("value", *_content_key(F.col("value")))
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -245,7 +252,11 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         of = Window.partitionBy("file").orderBy("start")
         parts = cut.withColumn("record", F.last("record", ignorenulls=True).over(of)).where("record is not null")
         # a cut record's first chunk and the false candidates hold their text; a false one may look whole
-        texts = _texts(spark, path).join(parts.select("file", "at", "start", "record"), ["file", "at"])
+        parts = staging.put(parts.select("file", "at", "start", "record").join(
+            chunks.select("file", "at", *_CONTENT), ["file", "at"]), "parts")
+        wanted = _texts(spark, path).join(parts.select(*_CONTENT).distinct(), _CONTENT, "left_semi")
+        # equal chunks have one text
+        texts = parts.join(wanted.groupBy(*_CONTENT).agg(F.first("value").alias("value")), _CONTENT)
         joined = texts.groupBy("file", "record").agg(F.array_join(F.transform(
             F.sort_array(F.collect_list(F.struct("start", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
         fields = _parsed(F.col("value"))

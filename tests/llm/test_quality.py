@@ -157,3 +157,11 @@ def test_bands_hold_against_the_labels(spark):
     junk, good = ([r["kept"] for r in rows if r["quality"] == q] for q in (0, 1))
     # byte 4-grams kept 187 of 301 documents labelled junk
     assert sum(junk) < 0.35 * len(junk) and sum(good) > 0.95 * len(good)
+
+
+def test_empty_and_null_texts_may_end_a_batch(spark):
+    texts = ["abc # d", "", "abc # d", None]
+    rows = spark.sparkContext.parallelize([(i, t, "en") for i, t in enumerate(texts)], 2)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"]) for r in quality.quality_rules(df).collect()}
+    assert got == {i: (3, 5, 1) if t else (0, 0, 0) for i, t in enumerate(texts)}

@@ -342,11 +342,12 @@ def _score_pass():
             for texts_run in tokens.batches(texts):
                 buffer, hashes, starts, _, cuts = tokens.joined(texts_run)
                 windows = tokens.windows(hashes, WINDOW)
-                data = np.frombuffer(buffer, np.uint8)
+                # one white byte more: the edge of an empty last text is the buffer's end
+                data = np.frombuffer(buffer + b" ", np.uint8)
                 inner = ((data & 0xC0) != 0x80) & (data != 32) & ~((data >= 9) & (data <= 13))
                 edges = np.cumsum([0] + [len(r) + 1 for r in texts_run])[:-1]
-                chars = np.add.reduceat(inner, edges, dtype=np.int64) if len(data) else np.zeros(len(edges), np.int64)
-                symbols = np.add.reduceat(_SYMBOL[data], edges, dtype=np.int64) if len(data) else chars
+                chars = np.add.reduceat(inner, edges, dtype=np.int64)
+                symbols = np.add.reduceat(_SYMBOL[data], edges, dtype=np.int64)
                 for i, raw in enumerate(texts_run):
                     a, b = int(cuts[i]), int(cuts[i + 1])
                     n = b - a

@@ -11,7 +11,9 @@ every mention of it, in any document and any notation, gets the same one:
 * an address moves to the reserved block 240.0.0.0/4;
 * an e-mail keeps the shape of its local part, and equal domains share a
   surrogate domain under the reserved ``.example``;
-* a secret keeps its alphabet (hexadecimal, upper case, ...) and length;
+* a secret keeps its alphabet (hexadecimal, upper case, ...), length and
+  punctuation; the value of a setting ends at white space or a quote, a mark
+  that ends a clause is not part of it, and it has six characters or more;
 * a given name becomes one of the same gender and script (a keyed permutation
   of the list, so different names stay different), a surname a made-up one of
   the same script.
@@ -61,8 +63,8 @@ _GIVEN = "(?:" + "|".join(n for names in GIVEN.values() for n in names) + ")"
 _TITLE = "(?:" + "|".join(TITLES) + r")\.?"
 _LABEL = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}",
-    "setting": rf"(?<![A-Za-z]){_LABEL}(?=[A-Za-z0-9_+/-]{{0,200}}\d)[A-Za-z0-9_+/-]{{6,200}}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,126}\.[A-Za-z]{2,24}",
+    "setting": rf"(?<![A-Za-z]){_LABEL}(?=[^\s\"'\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}])[^\s\"']{{6,}}+",
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "card": r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?!\d)",
@@ -73,7 +75,10 @@ PATTERNS = {
 _PERSON_STARTS = "".join(sorted({n[0] for names in (TITLES, *GIVEN.values()) for n in names}))
 PERSON = f"(?=[{_PERSON_STARTS}]){PATTERNS['person']}"
 PATTERN = "|".join(f"(?:{p})" for p in [*(v for k, v in PATTERNS.items() if k != "person"), PERSON])
+_NOT_ONLY_PERSONS = "[0-9@=:]"
+_CLAUSE_END = r"[.,;:!?)\]}>]*$"
 MOST_ATTEMPTS = 64
+SAME_LENGTH_ATTEMPTS = 8
 
 
 def _kind(m: Column) -> Column:
@@ -94,8 +99,8 @@ def _digits(m: Column) -> Column:
 
 
 def _value(m: Column) -> Column:
-    """The value of a password-like setting, without its label."""
-    return F.regexp_replace(m, f"^{_LABEL}", "")
+    """The value of a password-like setting, without its label and the marks behind it."""
+    return F.regexp_replace(m, f"^{_LABEL}|{_CLAUSE_END}", "")
 
 
 def described(mentions_: Column) -> Column:
@@ -145,7 +150,7 @@ class Surrogates:
         return F.conv(F.substr(stream, F.pmod(i, F.lit(64)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
     def _alike(self, value: Column, stream: Column) -> Column:
-        """Each character replaced by one of its class; hexadecimal values stay hexadecimal."""
+        """Each character replaced by one of its class, other scripts by Latin; hexadecimal values stay hexadecimal."""
         hexa = value.rlike("^[0-9a-f]+$")
         pick = lambda alphabet, v: F.substr(F.lit(alphabet), F.pmod(v, F.lit(len(alphabet))) + 1, F.lit(1))
 
@@ -153,7 +158,8 @@ class Surrogates:
             v = self._byte(stream, i)
             return (F.when(hexa, pick("0123456789abcdef", v)).when(c.rlike("[0-9]"), pick("0123456789", v))
                     .when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz", v))
-                    .when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", v)).otherwise(c))
+                    .when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", v))
+                    .when(c.rlike(r"[\p{L}\p{M}\p{N}]"), pick("abcdefghijklmnopqrstuvwxyz", v)).otherwise(c))
         return F.array_join(F.transform(F.split(value, ""), one), "")
 
     def _number(self, digits: Column, stream: Column, kept: Column) -> Column:
@@ -182,7 +188,7 @@ class Surrogates:
         kept = F.when(type_ == "card", 1).when(type_ == "phone", F.greatest(F.length(norm) - 10, F.lit(0))).otherwise(0)
         number = F.transform(F.array(self._number(norm, stream, kept)), lambda n: F.when(type_ == "card", self._checked(n)).when(
             type_ == "ssn", F.concat(F.lit("9"), F.substr(n, F.lit(2), F.lit(8)))).otherwise(n))[0]
-        return (F.when(type_ == "email", email).when(type_ == "ip", ip).when(type_ == "secret", self._secret(norm, stream))
+        return (F.when(type_ == "email", email).when(type_ == "ip", ip).when(type_ == "secret", self._secret(norm, attempt, stream))
                 .when(type_.startswith("surname_"), self._surname(type_, attempt, stream)).otherwise(number))
 
     def _surname(self, type_: Column, attempt: Column, stream: Column) -> Column:
@@ -198,9 +204,10 @@ class Surrogates:
         return frame.withColumn("s", F.transform(F.array(one), lambda x: self.canonical(
             x["type"], x["norm"], x["attempt"], x["stream"]))[0])
 
-    def _secret(self, value: Column, stream: Column) -> Column:
-        return F.concat(F.regexp_extract(value, "^(AKIA|)", 1),
-                        self._alike(F.regexp_replace(value, "^AKIA", ""), stream))
+    def _secret(self, value: Column, attempt: Column, stream: Column) -> Column:
+        # a value with few letters and digits has few surrogates of its length
+        return F.concat(F.regexp_extract(value, "^(AKIA|)", 1), self._alike(F.regexp_replace(value, "^AKIA", ""), stream),
+                        F.when(attempt >= SAME_LENGTH_ATTEMPTS, attempt.cast("string")).otherwise(""))
 
     def render(self, mentions_: Column, attempt_of) -> Column:
         """The replacements of mentions, each in its own notation."""
@@ -226,7 +233,8 @@ class Surrogates:
             words = F.transform(words, lambda w: streamed(w, "w", "type", "norm"))
             return (F.when(kind.isin("card", "ssn", "phone"), placed)
                     .when(kind == "person", F.array_join(F.transform(words, word), " "))
-                    .when(kind == "setting", F.concat(F.regexp_extract(m, f"^({_LABEL})", 1), core)).otherwise(core))
+                    .when(kind == "setting", F.concat(
+                        F.regexp_extract(m, f"^({_LABEL})", 1), core, F.regexp_extract(m, f"({_CLAUSE_END})", 1))).otherwise(core))
 
         names = ("m", "kind", "type", "norm", "words")
         out = F.transform(described(mentions_), lambda x: tried(x, *names))
@@ -239,10 +247,10 @@ class Surrogates:
 def mentions(text: Column) -> Column:
     """All mentions in a text, from the left.
 
-    Every kind but a person needs a digit or an ``@``: texts without get the short pattern.
+    Every kind but a person needs a digit, an ``@`` or the mark behind a setting's label: texts without get the short pattern.
     """
     find = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    return F.when(text.rlike("[0-9@]"), find(PATTERN)).when(text.rlike(PERSON), find(PERSON)).otherwise(
+    return F.when(text.rlike(_NOT_ONLY_PERSONS), find(PATTERN)).when(text.rlike(PERSON), find(PERSON)).otherwise(
         F.array().cast("array<string>"))
 
 
@@ -295,7 +303,7 @@ def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "
         attempt_of = lambda t, n: F.lit(0)
     # the pattern that found the mentions also cuts the text between them
     cut = lambda p: F.split(F.col(text_col), p, -1)
-    gaps = F.when(F.col(text_col).rlike("[0-9@]"), cut(PATTERN)).otherwise(cut(PERSON))
+    gaps = F.when(F.col(text_col).rlike(_NOT_ONLY_PERSONS), cut(PATTERN)).otherwise(cut(PERSON))
     made = F.concat(surrogates.render(F.col("__m"), attempt_of), F.array(F.lit("")))
     text = F.when(F.size("__m") > 0, F.array_join(F.zip_with(gaps, made, lambda g, s: F.concat(g, s)), "")).otherwise(F.col(text_col))
     return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in names],

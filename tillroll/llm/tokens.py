@@ -72,15 +72,20 @@ def word_spans(data: np.ndarray, white: np.ndarray) -> tuple[np.ndarray, np.ndar
     return edge[0::2], edge[1::2]
 
 
-def words(text: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(hash, start, end)`` of every word of one or more joined texts."""
+def words(text: bytes, lower: bool = False, breaks: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(hash, start, end)`` of every word of one or more joined texts.
+
+    ``breaks`` marks the bytes that end a word, white space by default.
+    """
     data = np.frombuffer(text, np.uint8)
-    white = _WHITE[data]
+    white = breaks[data]
     starts, ends = word_spans(data, white)
     out = np.empty(len(starts), np.uint64)
     if not len(starts):
         return out, starts, ends
     code = _LOWER_CODE if lower else _BYTE_CODE
+    if breaks is not _WHITE:
+        code = np.where(breaks, np.uint64(0), code)
     for a, b in _segments(data, white):
         lo, hi = np.searchsorted(starts, (a, b))
         if lo == hi:

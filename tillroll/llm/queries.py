@@ -8,18 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import chat, pieces, toxicity, warc
+from tillroll.llm.ann import nearest
+from tillroll.llm.collocation import collocations
 from tillroll.llm.common import Staging, table
 from tillroll.llm.fingerprint import edited_neighbours
 from tillroll.llm.mixing import mixture
 from tillroll.llm.ngram_join import jaccard_components
 from tillroll.llm.pii import replace
 from tillroll.llm.quality import quality_rules
+from tillroll.llm.repair import repaired_conversations
 from tillroll.llm.sharding import assign
 
 # A public tokenizer's model file; the path is a parameter of the operator's callers.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARDS = 16
 MOST_EPOCHS = 2.0
+PHRASE_SUPPORT = 100
+PHRASES_A_LANGUAGE = 2000
+NEIGHBOURS = 5
 # In production the key comes from a secret store; results change with it.
 PII_KEY = "surrogates-v1"
 
@@ -97,6 +103,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), support=PHRASE_SUPPORT, top=PHRASES_A_LANGUAGE)
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=NEIGHBOURS)
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_chat": op2_chat,
@@ -108,10 +126,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
+    "op11_collocations": op11_collocations,
+    "op12_neighbours": op12_neighbours,
+    "op13_repair": op13_repair,
 }
 
 _CONTROL = r"([<\[])(\\*)(/?s>|/?(?:INST|SYS|BOT|ROLE|TEXT)\])"
 
+
+def _edit(source: str, cost: str, letter: str, line: str | None) -> str:
+    """A derivation one edit longer; none where the source has none."""
+    said = f"{source}.o" if line is None else f"{source}.o || chr(10) || {line}"
+    return f"CASE WHEN {source} IS NOT NULL THEN {{'c': {source}.c + {cost}, 'a': {source}.a || {letter}, 'o': {said}}} END"
+
+
+def _row_edit(source: str, initial: str, role: str) -> str:
+    """Keeps a row of the wanted role or gives it that role, unless it must go."""
+    extra = "CASE fault WHEN 't' THEN 5 ELSE 0 END"
+    keep = _edit(source, extra, "'K'", "role || ':' || text")
+    change = "NULL" if initial == "s" else _edit(source, f"1 + {extra}", "'R'", f"'{role}:' || text")
+    return f"CASE WHEN fault IN ('b', 'd') THEN NULL WHEN initial = '{initial}' THEN {keep} ELSE {change} END"
+
+
+_INS_U = "least(" + ", ".join(["u", *(_edit(x, "5", "'I'", "'user:'") for x in ("o", "s", "a"))]) + ")"
+_INS_A = f"least(a, {_edit('u1', '5', chr(39) + 'I' + chr(39), chr(39) + 'assistant:' + chr(39))})"
+_DROP = lambda x: _edit(x, "2", "'D'", None)
+
 # Operators whose result plain SQL can state; the others learn from the corpus
 # or hash it in ways SQL does not have, and tests hold them against brute force.
 ORACLE: dict[str, str] = {
@@ -141,4 +181,85 @@ SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = holder THEN NULL ELSE holder END AS refers_to
 FROM hashed""",
+    "op11_collocations": r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+cut AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM cut GROUP BY lang),
+gram AS (
+  SELECT lang, size, array_to_string(w[b:b + size - 1], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS b FROM cut, range(1, 6) AS r(size) WHERE len(w) >= size)),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM gram GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT lang, size, phrase, f, string_split(phrase, ' ') AS w FROM f WHERE size >= 2),
+parts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM cand)),
+scored AS (
+  SELECT p.lang, p.phrase, p.a, p.k, x.f AS l, y.f AS r, t.n,
+    CAST((CAST(1000 AS HUGEINT) * p.a * t.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = p.first JOIN f y ON y.lang = p.lang AND y.phrase = p.rest
+  JOIN total t ON t.lang = p.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT DISTINCT s.lang, s.phrase FROM (
+    SELECT lang, f, array_to_string(w[b:b + m - 1], ' ') AS phrase
+    FROM (SELECT lang, f, w, m, unnest(range(1, size - m + 2)) AS b FROM cand, range(2, 5) AS r(m) WHERE m < size)) AS s
+  JOIN cand c ON c.lang = s.lang AND c.phrase = s.phrase AND 100 * s.f >= 100 * c.f),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+  FROM best ANTI JOIN inside USING (lang, phrase))
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, score
+FROM ranked WHERE rank <= 2000""",
+    "op13_repair": rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+    lambda c, ignored: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+hashed AS (
+  SELECT * EXCLUDE (k, steps), xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+    list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(substr(k, i, 1)) AS BIGINT))),
+    lambda c, b: xor(c >> 8, steps[xor(c, b) % 256 + 1])), 4294967295) % 20 AS kind
+  FROM keyed, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i
+  FROM (SELECT *, unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM hashed WHERE kind <> 0)),
+marked AS (
+  SELECT *, substr(role, 1, 1) AS initial, CASE
+    WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '.' END AS fault,
+    substr(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1, 1) || substr(role, 1, 1) AS seam
+  FROM damaged),
+dp AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST({{'c': 0, 'a': '', 'o': ''}} AS STRUCT(c BIGINT, a VARCHAR, o VARCHAR)) AS o,
+    CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, o VARCHAR)) AS s, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, o VARCHAR)) AS u,
+    CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, o VARCHAR)) AS a
+  FROM (SELECT DISTINCT conv_id FROM marked)
+  UNION ALL
+  SELECT conv_id, i, {_DROP('o')}, least({_DROP('s')}, {_row_edit('o', 's', 'system')}),
+    least({_DROP('u1')}, {_row_edit('o', 'u', 'user')}, {_row_edit('s', 'u', 'user')}, {_row_edit('a1', 'u', 'user')}),
+    least({_DROP('a1')}, {_row_edit('u1', 'a', 'assistant')})
+  FROM (SELECT *, {_INS_A} AS a1 FROM (
+    SELECT d.conv_id, m.i, d.o, d.s, d.u, d.a, m.role, m.text, m.initial, m.fault, {_INS_U} AS u1
+    FROM dp d JOIN marked m ON m.conv_id IS NOT DISTINCT FROM d.conv_id AND m.i = d.i + 1))),
+goal AS (
+  SELECT conv_id, least(o, {_INS_A}) AS g
+  FROM (SELECT *, {_INS_U} AS u1 FROM dp QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+    count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+    count(*) FILTER (WHERE seam NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id)
+SELECT n.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+  CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(g.c, 0) AS BIGINT) AS cost, coalesce(g.a, '') AS audit,
+  sha256(substr(coalesce(g.o, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) n
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN goal ON goal.conv_id IS NOT DISTINCT FROM n.conv_id""",
 }

@@ -12,8 +12,8 @@ counts that union exactly over all texts.
   a third of all rows are added up in every task before anything is sent.
 * **Mining a shard** goes by length: words, pairs of frequent words, then three
   to five words whose inner pairs are all frequent.
-* **The union** is a bit map of fixed size (``FILTER_BITS``): a chance hit costs
-  a count, never a result.  The last scan sums the phrases themselves, not hashes,
+* **The union** is a Bloom filter of fixed size (``FILTER_BITS``), put together from
+  the slices of the hash ranges: a chance hit costs a count, never a result.  The last scan sums the phrases themselves, not hashes,
   per language and phrase; inside one run of a task 64-bit hashes stand for them.
 
 Defined results: a null text is empty, a null language is ``und``, a repeated row
@@ -37,7 +37,9 @@ from tillroll.llm.tokens import mix, words
 
 SHARDS = 8
 LONGEST = 5
-FILTER_BITS = 25
+FILTER_BITS = 26
+# Bits that a phrase sets, all in the slice of its hash range.
+PROBES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 # Phrase occurrences that a task holds before it adds them up and sends them.
 RUN = 1 << 22
 # Text bytes per hash range; a range's distinct phrases must fit a task.
@@ -80,9 +82,25 @@ class _Chunk:
         return " ".join(self.buffer[self.start[i]:self.end[i]].translate(_LOWER).decode("utf-8") for i in range(at, at + k))
 
 
-def _hit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys >> np.uint64(64 - FILTER_BITS)
-    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+class _Filter:
+    """A Bloom filter in slices: a key's leading bits pick its slice, the probes the bits in it."""
+
+    def __init__(self, bits: bytes, ranges: int):
+        self.bits, self.low = np.frombuffer(bits, np.uint8), ranges.bit_length() - 1
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(keys), bool)
+        left = np.arange(len(keys))
+        for probe in PROBES:
+            at = _place(keys[left], self.low, probe)
+            left = left[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        found[left] = True
+        return found
+
+
+def _place(keys: np.ndarray, low: int, probe: int) -> np.ndarray:
+    inside = np.uint64(FILTER_BITS - low)
+    return ((keys >> np.uint64(64 - low)) << inside) | ((keys * np.uint64(probe)) >> (np.uint64(64) - inside))
 
 
 def _inner(at: np.ndarray, ok: np.ndarray, width: int) -> np.ndarray:
@@ -93,15 +111,15 @@ def _inner(at: np.ndarray, ok: np.ndarray, width: int) -> np.ndarray:
     return at[keep]
 
 
-def _marks(chunk: _Chunk, lang: str, k: int, bits: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+def _marks(chunk: _Chunk, lang: str, k: int, known: _Filter, at: np.ndarray | None = None) -> np.ndarray:
     """A mark per word: does a phrase of ``k`` words that passes the filter start here?"""
     at = chunk.starts(k) if at is None else at
     ok = np.zeros(len(chunk.hash) + LONGEST, bool)
-    ok[at[_hit(bits, chunk.keys(at, k, lang))]] = True
+    ok[at[known.has(chunk.keys(at, k, lang))]] = True
     return ok
 
 
-def _level(chunk: _Chunk, lang: str, level: int, filters: list[np.ndarray]) -> np.ndarray:
+def _level(chunk: _Chunk, lang: str, level: int, filters: list[_Filter]) -> np.ndarray:
     """Keys of the phrases that level counts: words, pairs, or three and more words."""
     if level == 1:
         return chunk.keys(np.arange(len(chunk.hash)), 1, lang)
@@ -151,7 +169,7 @@ def _parts(level: int, filters, ranges: int):
     bits = ranges.bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = [np.frombuffer(f.value, np.uint8) for f in filters]
+        maps = [_Filter(f.value, ranges) for f in filters]
         held: dict[tuple, list[np.ndarray]] = {}
         n_held = 0
 
@@ -187,7 +205,7 @@ def _parts(level: int, filters, ranges: int):
 
 
 def _frequent(ranges: int):
-    """Reduce side: the slice of the bit map that a hash range owns.
+    """Reduce side: the slice of the filter that a hash range owns.
 
     Rows come sorted by range, language and shard, with the shard's support.
     """
@@ -205,8 +223,9 @@ def _frequent(ranges: int):
             nonlocal keys, counts, waiting, merged
             if keys:
                 k, c = _summed(keys, counts)
-                at = (k[c >= support] >> np.uint64(64 - FILTER_BITS)).astype(np.int64) - current * slice_bytes * 8
-                np.bitwise_or.at(out, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+                for probe in PROBES:
+                    at = _place(k[c >= support], ranges.bit_length() - 1, probe).astype(np.int64) - current * slice_bytes * 8
+                    np.bitwise_or.at(out, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
             keys, counts, waiting, merged = [], [], 0, 0
 
         for batch in batches:
@@ -231,12 +250,12 @@ def _frequent(ranges: int):
     return run
 
 
-def _phrases(filters):
+def _phrases(filters, ranges: int):
     """Occurrences of every phrase that passes the filters, added up per run of a task."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("f", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = [np.frombuffer(f.value, np.uint8) for f in filters]
+        maps = [_Filter(f.value, ranges) for f in filters]
         names: dict[tuple[str, int], tuple[str, int]] = {}
         sums: dict[tuple[str, int], int] = {}
 
@@ -254,7 +273,7 @@ def _phrases(filters):
                     if k > 1:
                         at = _inner(chunk.starts(k), ok, 2)
                     keys = chunk.keys(at, k, lang)
-                    hit = _hit(maps[min(k, 3) - 1], keys)
+                    hit = maps[min(k, 3) - 1].has(keys)
                     at, keys = at[hit], keys[hit]
                     ok = np.zeros(len(chunk.hash) + LONGEST, bool)
                     ok[at] = True
@@ -300,11 +319,11 @@ def phrase_counts(docs: DataFrame, support: int, staging: Staging, shards: int =
                     .mapInArrow(_frequent(ranges), "range int, bits binary"))
         step = (1 << FILTER_BITS) // ranges // 8
         bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-        for row in frequent.collect():  # together the bit map, whose size is fixed
+        for row in frequent.collect():  # together the filter, whose size is fixed
             bits[row["range"] * step:(row["range"] + 1) * step] = np.frombuffer(row["bits"], np.uint8)
         filters.append(spark.sparkContext.broadcast(bits.tobytes()))
         staging.drop(parts)
-    counted = (texts.select("lang", "text").mapInArrow(_phrases(filters), "lang string, phrase string, size int, f bigint")
+    counted = (texts.select("lang", "text").mapInArrow(_phrases(filters, ranges), "lang string, phrase string, size int, f bigint")
                .groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= support))
     return staging.put(counted, "phrases"), total
 

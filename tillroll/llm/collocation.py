@@ -24,6 +24,7 @@ than ``text`` and ``lang`` are ignored under any name.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -251,23 +252,30 @@ def _frequent(ranges: int):
 
 
 def _phrases(filters, ranges: int):
-    """Occurrences of every phrase that passes the filters, added up per run of a task."""
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("f", pa.int64())])
+    """Last scan, map side: phrases that pass the filters with their occurrences, packed per language and hash range."""
+    low = ranges.bit_length() - 1
+    schema = pa.schema([("range", pa.int32()), ("lang", pa.string()), ("phrases", pa.string()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = [_Filter(f.value, ranges) for f in filters]
-        names: dict[tuple[str, int], tuple[str, int]] = {}
-        sums: dict[tuple[str, int], int] = {}
+        names: dict[str, dict[int, str]] = {}
+        sums: dict[str, dict[int, int]] = {}
 
-        def flush() -> pa.RecordBatch:
-            keys = list(sums)
-            return pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k in keys], pa.string()), pa.array([names[k][0] for k in keys], pa.string()),
-                pa.array([names[k][1] for k in keys], pa.int32()), pa.array([sums[k] for k in keys], pa.int64())], schema=schema)
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, found in sums.items():
+                packed: dict[int, list[int]] = {}
+                for key in found:
+                    packed.setdefault(key >> 64 - low, []).append(key)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(list(packed), pa.int32()), pa.array([lang] * len(packed), pa.string()),
+                    pa.array(["\n".join(names[lang][k] for k in keys) for keys in packed.values()], pa.string()),
+                    pa.array([np.array([found[k] for k in keys], np.int64).tobytes() for keys in packed.values()], pa.binary())],
+                    schema=schema)
 
         for batch in batches:
             for (lang,), texts in _grouped(batch, ["lang"]):
                 chunk = _Chunk(texts)
+                name, total = names.setdefault(lang, {}), sums.setdefault(lang, {})
                 ok, at = None, np.arange(len(chunk.hash))
                 for k in range(1, LONGEST + 1):
                     if k > 1:
@@ -279,17 +287,42 @@ def _phrases(filters, ranges: int):
                     ok[at] = True
                     found, first, counts = np.unique(keys, return_index=True, return_counts=True)
                     for key, i, c in zip(found.tolist(), first.tolist(), counts.tolist()):
-                        name = (lang, key)
-                        if name not in names:
-                            names[name] = (chunk.phrase(int(at[i]), k), k)
-                            sums[name] = c
+                        if key in total:
+                            total[key] += c
                         else:
-                            sums[name] += c
-                if len(sums) >= RUN // 16:
-                    yield flush()
+                            name[key], total[key] = chunk.phrase(int(at[i]), k), c
+                if sum(map(len, sums.values())) >= RUN // 8:
+                    yield from flush()
                     names.clear()
                     sums.clear()
-        yield flush()
+        yield from flush()
+
+    return run
+
+
+def _added_up(support: int):
+    """Last scan, reduce side: rows come sorted by hash range and language; phrases themselves are added up, not hashes."""
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("f", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, sums = None, Counter()
+
+        def close() -> pa.RecordBatch:
+            kept = [(p, f) for p, f in sums.items() if f >= support]
+            return pa.RecordBatch.from_arrays([
+                pa.array([group[1]] * len(kept), pa.string()), pa.array([p for p, _ in kept], pa.string()),
+                pa.array([p.count(" ") + 1 for p, _ in kept], pa.int32()), pa.array([f for _, f in kept], pa.int64())], schema=schema)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["range"], row["lang"]) != group:
+                    if group is not None:
+                        yield close()
+                    group, sums = (row["range"], row["lang"]), Counter()
+                for phrase, count in zip(row["phrases"].split("\n"), np.frombuffer(row["counts"], np.int64).tolist()):
+                    sums[phrase] += count
+        if group is not None:
+            yield close()
 
     return run
 
@@ -305,9 +338,9 @@ def phrase_counts(docs: DataFrame, support: int, staging: Staging, shards: int =
     ranges = 1 << max(LEAST_RANGES, -(-size // RANGE_BYTES)).bit_length() - 1
     filters: list = []
     for level in (1, 2, 3):
-        parts = staging.put(texts.mapInArrow(_parts(level, filters, ranges),
-                                             "range int, lang string, shard int, n bigint, keys binary, counts binary"), f"parts{level}")
+        parts = texts.mapInArrow(_parts(level, filters, ranges), "range int, lang string, shard int, n bigint, keys binary, counts binary")
         if level == 1:
+            parts = staging.put(parts, "words")
             shares = staging.put(parts.where("range = -1").groupBy("lang", "shard").agg(F.sum("n").alias("n")), "shares")
             total = shares.groupBy("lang").agg(F.sum("n").alias("n"))
             wide = lambda c: F.col(c).cast("decimal(19,0)")
@@ -322,9 +355,11 @@ def phrase_counts(docs: DataFrame, support: int, staging: Staging, shards: int =
         for row in frequent.collect():  # together the filter, whose size is fixed
             bits[row["range"] * step:(row["range"] + 1) * step] = np.frombuffer(row["bits"], np.uint8)
         filters.append(spark.sparkContext.broadcast(bits.tobytes()))
-        staging.drop(parts)
-    counted = (texts.select("lang", "text").mapInArrow(_phrases(filters, ranges), "lang string, phrase string, size int, f bigint")
-               .groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= support))
+        if level == 1:
+            staging.drop(parts)
+    counted = (texts.select("lang", "text").mapInArrow(_phrases(filters, ranges), "range int, lang string, phrases string, counts binary")
+               .repartition(ranges, "range").sortWithinPartitions("range", "lang")
+               .mapInArrow(_added_up(support), "lang string, phrase string, size int, f bigint"))
     return staging.put(counted, "phrases"), total
 
 

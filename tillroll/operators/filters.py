@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType
 
-from ..functions.dates import parse_or_null
+from ..functions.dates import as_date, parse_or_null
 from ..schema import date_column, date_columns_ci
 
 @dataclass(frozen=True)
@@ -49,9 +49,29 @@ def _as_list(value) -> list:
     return [value] if isinstance(value, str) else list(value)
 
 
+# Layouts of a bound that is not ISO, tried in order: month first where both would do.
+BOUND_LAYOUTS = ("%m/%d/%Y", "%d/%m/%Y", "%m-%d-%Y", "%d-%m-%Y", "%Y/%m/%d", "%d.%m.%Y", "%b %d, %Y", "%B %d, %Y", "%d %b %Y", "%d %B %Y", "%Y%m%d")
+
+
 def _day(text: str) -> dt.datetime:
-    """Parse a bound like pandas ``to_datetime`` (date or date-time text)."""
-    return dt.datetime.fromisoformat(str(text).strip())
+    """A bound from date or date-time text; anything else is an error, as in the original."""
+    text = str(text).strip()
+    try:
+        return dt.datetime.fromisoformat(text).replace(tzinfo=None)
+    except ValueError:
+        pass
+    for layout in BOUND_LAYOUTS:
+        for suffix in ("", " %H:%M", " %H:%M:%S"):
+            try:
+                return dt.datetime.strptime(text, layout + suffix)
+            except ValueError:
+                continue
+    raise ValueError(f"not a date: {text!r}")
+
+
+def _wall_clock(value: dt.datetime) -> Column:
+    """A literal that no zone moves: the text itself, read as TIMESTAMP_NTZ."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def _decimal_bound(df: DataFrame, value: float, lower: bool) -> Column:
@@ -86,12 +106,12 @@ def _date_bounds(df: DataFrame, name: str, spec: SalesFilter, prune_months: bool
             first = start.date() if start.time() == dt.time(0) else start.date() + dt.timedelta(days=1)
             out.append(value >= F.lit(first))
         else:
-            out.append(value >= F.lit(start))
+            out.append(value >= _wall_clock(start))
         if prune_months:
             out.append(F.col("order_month") >= F.lit(start.strftime("%Y-%m")))
     if spec.date_end:
         end = _day(spec.date_end)
-        out.append(value <= F.lit(end.date() if is_date else end))
+        out.append(value <= (F.lit(end.date()) if is_date else _wall_clock(end)))
         if prune_months:
             out.append(F.col("order_month") <= F.lit(end.strftime("%Y-%m")))
     return out
@@ -149,7 +169,7 @@ def date_presets(df: DataFrame) -> DataFrame:
     schema = "label string, date_start string, date_end string"
     if not names:
         return df.sparkSession.createDataFrame([], schema)
-    anchor_df = df.agg(F.max(F.to_date(parse_or_null(df, names[0]))).alias("a")).where(F.col("a").isNotNull())
+    anchor_df = df.agg(F.max(as_date(df, names[0])).alias("a")).where(F.col("a").isNotNull())
     a = F.col("a")
     q_start = F.trunc(F.add_months(a, -3), "quarter")
     fmt = lambda c: F.date_format(c, "yyyy-MM-dd")

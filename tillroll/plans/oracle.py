@@ -263,6 +263,33 @@ FROM (SELECT COUNT(DISTINCT date_trunc('month', order_date)) AS observed FROM sa
       WHERE order_date IS NOT NULL) t""")
 
 
+def _forecast_by_sql(key: str) -> str:
+    steady = lambda y: f"round(greatest(0.0, a_{y} + b_{y} * CAST(n - 1 + i AS DOUBLE)), 8)"
+    fits = ", ".join(f"regr_slope(y_{y}, x) AS b_{y}, regr_intercept(y_{y}, x) AS a_{y}" for y in ("rev", "prod", "cat"))
+    top = lambda name, v: (f"SELECT k, arg_min({name}, {{'v': -v, 'k': {name}}}) AS top FROM (SELECT {key} AS k, {name}, "
+                           f"CAST(coalesce(sum({v}), 0) AS DOUBLE) AS v FROM d WHERE {name} IS NOT NULL GROUP BY 1, 2) GROUP BY k")
+    return with_sales(f"""
+SELECT k AS {key}, strftime(last_month + to_months(CAST(i AS INTEGER)), '%Y-%m') AS period,
+       CAST(format('{{:.2f}}', {steady('rev')}) AS DOUBLE) AS predicted_revenue, top_product,
+       CAST(round_even({steady('prod')}, 0) AS BIGINT) AS predicted_product_demand, top_category,
+       CAST(format('{{:.2f}}', {steady('cat')}) AS DOUBLE) AS predicted_category_revenue
+FROM fit, generate_series(1, 3) s(i)""",
+                      f"d AS (SELECT * FROM sales WHERE order_date IS NOT NULL AND {key} IS NOT NULL)",
+                      f"tp AS ({top('product', 'quantity')})", f"tc AS ({top('category', 'revenue')})",
+                      f"""m AS (SELECT d.{key} AS k, tp.top AS top_product, tc.top AS top_category, date_trunc('month', order_date) AS month,
+              CAST(coalesce(sum(revenue), 0) AS DOUBLE) AS y_rev,
+              CAST(coalesce(sum(CASE WHEN product = tp.top THEN quantity END), 0) AS DOUBLE) AS y_prod,
+              CAST(coalesce(sum(CASE WHEN category = tc.top THEN revenue END), 0) AS DOUBLE) AS y_cat
+       FROM d LEFT JOIN tp ON tp.k = d.{key} LEFT JOIN tc ON tc.k = d.{key} GROUP BY ALL)""",
+                      "mx AS (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY month) - 1 AS DOUBLE) AS x FROM m)",
+                      f"""fit AS (SELECT k, top_product, top_category, count(*) AS n, max(month) AS last_month, {fits}
+       FROM mx GROUP BY ALL HAVING count(*) >= 3)""")
+
+
+ORACLE["forecast_by_product"] = _forecast_by_sql("product")
+ORACLE["forecast_by_region"] = _forecast_by_sql("region")
+
+
 # --- dirty variant and the profiling / cleaning operators -----------------
 
 NUMBER_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -323,6 +350,11 @@ SELECT CAST(total_rows AS BIGINT) AS total_rows, 11 AS total_columns,
          - LEAST(10, warnings * 2))) AS INTEGER) AS quality_score
 FROM prof)""")
 
+# The same defects in a day-first export: the text and its reading differ, nothing else.
+DAY_FIRST = [DIRTY[0].replace("ELSE CAST(order_date AS VARCHAR) END", "ELSE strftime(order_date, '%d/%m/%Y') END"), DIRTY[1],
+             DIRTY[2].replace("""TRY_CAST(trim("Order Date") AS TIMESTAMP)""", """try_strptime(trim("Order Date"), '%d/%m/%Y')""")]
+ORACLE["data_profile_dayfirst"] = ORACLE["data_profile"].replace(DIRTY[0], DAY_FIRST[0]).replace(DIRTY[2], DAY_FIRST[2])
+
 ORACLE["missing_by_column"] = with_sales(
     " UNION ALL ".join(f"SELECT '{c}' AS column_name, {i} AS position, CAST(m{i} AS BIGINT) AS missing_count FROM counts"
                        for i, c in enumerate(DIRTY_COLS)), *DIRTY, *_PROFILE)
@@ -340,6 +372,8 @@ SELECT DISTINCT "Order ID" AS order_id, COALESCE("Customer Name", 'Unknown') AS
        date_ts AS order_date
 FROM num""", *DIRTY)
 
+ORACLE["cleaned_sales_dayfirst"] = ORACLE["cleaned_sales"].replace(DIRTY[0], DAY_FIRST[0]).replace(DIRTY[2], DAY_FIRST[2])
+
 
 # --- insights ----------------------------------------------------------------
 

@@ -19,6 +19,7 @@ from ..operators import forecast as P
 from ..operators import insights as I
 from ..operators import paging as L
 from ..operators.filters import SalesFilter, apply_filters, date_presets
+from ..operators.forecast_by import forecast_by
 from ..operators.kpis import kpi_card
 from ..sources import catalog as D
 from ..sources.csv import read_sales_csv
@@ -52,9 +53,13 @@ def _on_sales(op) -> Query:
     return run
 
 
-def _on_dirty(op) -> Query:
+# A day-first export: most of its dates read either way.
+DAY_FIRST = "dd/MM/yyyy"
+
+
+def _on_dirty(op, date_layout: str | None = None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return op(dirty_sales(spark, sf_dir))
+        return op(dirty_sales(spark, sf_dir, date_layout))
     return run
 
 
@@ -117,6 +122,8 @@ QUERIES: dict[str, Query] = {
     "forecast_series": _on_sales(P.forecast_series),
     "trend_fit": _on_sales(_trend_fit),
     "forecast_confidence": _on_sales(P.forecast_confidence),
+    "forecast_by_product": _on_sales(lambda df: forecast_by(df, "product")),
+    "forecast_by_region": _on_sales(lambda df: forecast_by(df, "region")),
     # insights
     "insights": _on_sales(I.insights),
     "kpi_brief": _on_sales(I.kpi_brief),
@@ -139,5 +146,7 @@ QUERIES: dict[str, Query] = {
     "missing_by_column": _on_dirty(C.missing_by_column),
     "data_warnings": _on_dirty(C.warnings_table),
     "cleaned_sales": _on_dirty(C.clean_data),
+    "cleaned_sales_dayfirst": _on_dirty(C.clean_data, DAY_FIRST),
+    "data_profile_dayfirst": _on_dirty(C.quality_report, DAY_FIRST),
     "csv_profile": _csv_profile,
 }

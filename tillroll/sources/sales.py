@@ -167,14 +167,14 @@ DIRTY_COLUMNS = (
 )
 
 
-def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dirty_sales(spark: SparkSession, sf_dir: str, date_layout: str | None = None) -> DataFrame:
     """Raw-looking export of the sales table with deterministic defects by key.
 
     Headers as a spreadsheet would carry them; category null when
     ``order_id % 17 = 0``; sales text ``'n/a?'`` when ``% 23 = 0``; date
     ``'32-13-2023'`` when ``% 31 = 0``; negative sales when ``% 37 = 0``; an
     all-empty ``Notes`` column; every row with ``% 29 = 0`` appears twice.
-    Every source row is kept.
+    Every source row is kept.  ``date_layout`` writes the dates in another layout than ISO.
     """
     s = load_sales(spark, sf_dir, with_month=False)
     k = F.col("order_id")
@@ -192,7 +192,7 @@ def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("payment_method").alias("Payment Method"),
         F.col("order_status").alias("Order Status"),
         F.when(k % 31 == 0, F.lit("32-13-2023"))
-         .otherwise(F.col("order_date").cast("string")).alias("Order Date"),
+         .otherwise(F.date_format("order_date", date_layout) if date_layout else F.col("order_date").cast("string")).alias("Order Date"),
         F.lit(None).cast("string").alias("Notes"),
     )
     return base.unionByName(base.where(F.col("Order ID") % 29 == 0))

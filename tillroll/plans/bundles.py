@@ -108,7 +108,7 @@ def charts_endpoint(df: DataFrame, spec: SalesFilter | None = None) -> DataFrame
 def orders_endpoint(df: DataFrame, product_search: str | None = None, category=None, limit: int = 50) -> DataFrame:
     """Filtered rows (product search, category), first ``limit``."""
     f = apply_filters(df, SalesFilter(product_search=product_search, category=category))
-    return first_rows(_canonical(f), limit)
+    return _canonical(first_rows(f, limit))
 
 
 def forecast_endpoint(df: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def dashboard(df: DataFrame, spec: SalesFilter | None = None, page_number=1) ->
         "top_products": B.top_products(f),
         "daily_trend": level("day", "day"),
         "heatmap": B.region_category_long(pairs),
-        "page": page(_canonical(f), page_number),
+        "page": _canonical(page(f, page_number)),
         "filter_options": B.filter_options(df),
         "date_presets": date_presets(df),
         "insights": insights_from(row),

@@ -71,8 +71,19 @@ def report_top_products(df: DataFrame, k: int = 10) -> DataFrame:
         F.col("product"), F.concat(F.lit("Rs "), money(F.col("revenue"))).alias("revenue_text"), "revenue")
 
 
+class NothingToExport(ValueError):
+    """The table has no rows."""
+
+
 def export_report(df: DataFrame, spec: SalesFilter | None, fmt: str, out_dir: str) -> dict[str, str]:
-    """Filter -> KPIs -> the chosen sink; returns the written paths."""
+    """Filter -> KPIs -> the chosen sink; returns the written paths.
+
+    A table without rows is refused, and so is an unknown format, before anything is written.
+    """
+    if fmt not in ("csv", "excel", "pdf"):
+        raise ValueError(f"invalid export format: {fmt!r}")
+    if df.isEmpty():
+        raise NothingToExport("No data to export")
     rows = apply_filters(df, spec)
     rows = rows.drop("order_month") if "order_month" in rows.columns else rows
     card = kpi_card(rows)
@@ -82,7 +93,5 @@ def export_report(df: DataFrame, spec: SalesFilter | None, fmt: str, out_dir: st
     if fmt == "excel":
         return {"rows": write_csv(rows, f"{out}/sales_data"),
                 "summary": write_csv(workbook_summary(card), f"{out}/summary")}
-    if fmt == "pdf":
-        return {"kpis": write_json(report_kpi_table(card), f"{out}/kpis"),
-                "top_products": write_json(report_top_products(rows), f"{out}/top_products")}
-    raise ValueError(f"invalid export format: {fmt!r}")
+    return {"kpis": write_json(report_kpi_table(card), f"{out}/kpis"),
+            "top_products": write_json(report_top_products(rows), f"{out}/top_products")}

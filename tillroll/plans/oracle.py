@@ -488,6 +488,10 @@ ORACLE["orders_page"] = with_sales(f"""
 SELECT {CANON} FROM sales WHERE {E1_WHERE}
 ORDER BY {STABLE_ORDER} LIMIT 10 OFFSET 20""")
 
+ORACLE["orders_last_page"] = with_sales(f"""
+SELECT {CANON} FROM sales
+ORDER BY {STABLE_ORDER} LIMIT 10 OFFSET (SELECT 10 * greatest(CAST(ceil(count(*) / 10.0) AS BIGINT) - 1, 0) FROM sales)""")
+
 ORACLE["preview_rows"] = with_sales(f"SELECT {CANON} FROM sales ORDER BY {STABLE_ORDER} LIMIT 15")
 
 _ROLLUP = [
@@ -546,6 +550,7 @@ SELECT product, 'Rs ' || format('{:,.2f}', revenue) AS revenue_text, revenue FRO
 
 ORACLE["recent_activity"] = """
 SELECT e.event_id, e.ts AS created_at, COALESCE(c.c_name, 'system') AS actor, e.event_type AS action,
+       e.event_type AS action_label, trim(COALESCE(c.c_name, 'system') || ': ' || e.event_type || ' ' || COALESCE(e.props, '')) AS shown,
        e.props AS details
 FROM (SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 25) e
 LEFT JOIN customer c ON e.user_id = c.c_custkey

@@ -23,7 +23,7 @@ from ..operators.forecast_by import forecast_by
 from ..operators.kpis import kpi_card
 from ..sources import catalog as D
 from ..sources.csv import read_sales_csv
-from ..sources.sales import canonical, dirty_sales, dirty_sales_csv, load_sales
+from ..sources.sales import canonical, dirty_sales, dirty_sales_csv, load_sales, sales_day_index
 from ..sources.tables import read_table
 from . import bundles as E
 from . import export as X
@@ -87,6 +87,15 @@ def _document_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", preview(F.col("text")).alias("preview"))
 
 
+def _last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2 at the far end of the whole table: a number out of range is the last page."""
+    return _rows(L.page(load_sales(spark, sf_dir), 0, index=sales_day_index(spark, sf_dir)))
+
+
+def _preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(L.preview(load_sales(spark, sf_dir), index=sales_day_index(spark, sf_dir)))
+
+
 def _csv_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S6 -> S1 -> C16-C19: the dirty variant written as CSV, read back with
     type inference and profiled (equal to profiling the variant itself)."""
@@ -130,8 +139,9 @@ QUERIES: dict[str, Query] = {
     "report_insights": _on_sales(lambda df: E.report_insights(df, REPORT_FILTER)),
     # listings, bundles, exports
     "orders_api": _on_sales(lambda df: _rows(E.orders_endpoint(df, "widget", ["ECONOMY", "SMALL"]))),
-    "orders_page": _on_sales(lambda df: _rows(L.page(canonical(apply_filters(df, E1_FILTER)), 3))),
-    "preview_rows": _on_sales(lambda df: _rows(L.preview(canonical(df)))),
+    "orders_page": _on_sales(lambda df: _rows(L.page(apply_filters(df, E1_FILTER), 3))),
+    "orders_last_page": _last_page,
+    "preview_rows": _preview_rows,
     "dashboard_rollup": _on_sales(E.dashboard_rollup),
     "charts_bundle": _on_sales(lambda df: E.charts_endpoint(df, E1_FILTER)),
     "workbook_summary": _on_sales(lambda df: X.workbook_summary(kpi_card(df))),

@@ -16,8 +16,6 @@ keeps the sort-merge join, splitting skewed keys (skewJoin.enabled).
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -25,11 +23,13 @@ from pyspark.sql.types import (
 )
 
 from ..functions.dates import month_label
-from ..session import _hadoop_fs, derived_table_path, file_fingerprint, path_exists, remove_path
+from ..operators.paging import day_index
+from ..session import derived_table_path, file_fingerprint
 from .tables import read_table, table_path
+from .versions import published
 
 SOURCE_TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
-STORE_VERSION = "sales-v1"
+STORE_VERSION = "sales-v2"
 
 CANONICAL = (
     "order_id", "customer_name", "product", "category", "region", "quantity",
@@ -107,36 +107,29 @@ def materialize_sales(spark: SparkSession, sf_dir: str, refresh: bool = False) -
 
     ``rebalance`` lets AQE size the write tasks (split hot months, merge small
     ones) so output files stay near the advisory size at any scale.  Rows are
-    sorted by date inside each file so date predicates skip row groups.
-    The write goes to a staging folder that is renamed into place, so a
-    reader never sees a half-written table and a lost executor only retries
-    its task.
+    sorted by date inside each file so date predicates skip row groups.  Each
+    write is a version of its own, published when it is whole: a reader never
+    sees a half-written table nor loses the one it reads, and a lost executor
+    only retries its task.
     """
-    path = sales_store_path(spark, sf_dir)
-    if not refresh and path_exists(spark, f"{path}/_SUCCESS"):
-        return path
-    _SCANS.pop((spark.sparkContext.applicationId, path), None)
-    staging = f"{path}.staging-{uuid.uuid4().hex[:12]}"
-    df = sales_view(spark, sf_dir).withColumn("order_month", month_label(F.col("order_date")))
-    (df.hint("rebalance", "order_month")
-       .sortWithinPartitions("order_month", "order_date", "order_id", "line_number")
-       .write.mode("overwrite").partitionBy("order_month").parquet(staging))
-    fs, target = _hadoop_fs(spark, path)
-    if refresh and fs.exists(target):
-        fs.delete(target, True)
-    if fs.exists(target):
-        # Another writer published first; its table is equivalent.
-        remove_path(spark, staging)
-        return path
-    jvm = spark.sparkContext._jvm
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target) \
-            and not path_exists(spark, f"{path}/_SUCCESS"):
-        raise RuntimeError(f"could not publish sales table at {path}")
-    return path
-
-
-# Stored tables never change once published (the path encodes the source
-# fingerprint), so a session reuses the scan and its file listing.
+    def write(path: str) -> None:
+        df = sales_view(spark, sf_dir).withColumn("order_month", month_label(F.col("order_date")))
+        (df.hint("rebalance", "order_month")
+           .sortWithinPartitions("order_month", "order_date", "order_id", "line_number")
+           .write.partitionBy("order_month").parquet(path))
+
+    return published(spark, sales_store_path(spark, sf_dir), write, refresh)
+
+
+def sales_day_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per day of the stored table, written once beside it: a row per calendar day."""
+    stored = materialize_sales(spark, sf_dir)
+    root = derived_table_path(spark, "sales-days", stored)
+    path = published(spark, root, lambda p: day_index(load_sales(spark, sf_dir)).coalesce(1).write.parquet(p))
+    return spark.read.schema("day date, n bigint").parquet(path)
+
+
+# A published version never changes, so a session reuses its scan and file listing.
 _SCANS: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -201,23 +194,9 @@ def dirty_sales(spark: SparkSession, sf_dir: str, date_layout: str | None = None
 def dirty_sales_csv(spark: SparkSession, sf_dir: str) -> str:
     """The dirty variant exported once as CSV files (S6), for the CSV scan.
 
-    Keyed like the stored table; written to a staging folder and renamed into
-    place.  Returns the folder holding the ``*.csv`` parts.
+    Keyed by the stored table's version.  Returns the folder holding the ``*.csv`` parts.
     """
     from .sinks import write_csv
 
-    key = "|".join(["dirty-csv-v1", sales_store_path(spark, sf_dir)])
-    path = derived_table_path(spark, "dirty-csv", key)
-    if path_exists(spark, f"{path}/_SUCCESS"):
-        return path
-    staging = f"{path}.staging-{uuid.uuid4().hex[:12]}"
-    write_csv(dirty_sales(spark, sf_dir), staging)
-    fs, target = _hadoop_fs(spark, path)
-    if fs.exists(target):
-        remove_path(spark, staging)
-        return path
-    jvm = spark.sparkContext._jvm
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target) \
-            and not path_exists(spark, f"{path}/_SUCCESS"):
-        raise RuntimeError(f"could not publish dirty CSV at {path}")
-    return path
+    root = derived_table_path(spark, "dirty-csv", f"dirty-csv-v1|{materialize_sales(spark, sf_dir)}")
+    return published(spark, root, lambda p: write_csv(dirty_sales(spark, sf_dir), p))

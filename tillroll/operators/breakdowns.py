@@ -170,15 +170,31 @@ def top_items(df: DataFrame, key: str, value: str | None = "revenue", k: int = 5
                       F.col(key).cast("string").alias("label"), F.col("v").alias("value"))
 
 
+BRIEF_DIMENSIONS = (("product", "revenue"), ("category", "revenue"), ("region", "revenue"), ("payment_method", None), ("order_status", None))
+
+
 def brief_top_items(df: DataFrame, k: int = 5) -> DataFrame:
-    """B10 + B11 as used by the KPI brief: three revenue and two count lists."""
-    parts = [top_items(df, "product", "revenue", k), top_items(df, "category", "revenue", k),
-             top_items(df, "region", "revenue", k), top_items(df, "payment_method", None, k),
-             top_items(df, "order_status", None, k)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """B10 + B11 as used by the KPI brief: three revenue and two count lists.
+
+    One scan: one grouping-sets aggregate over all dimensions, then ranks on its
+    groups, of which each task keeps ``k`` per dimension before they meet.
+    """
+    summed = {c: value is not None and has(df, value) for c, value in BRIEF_DIMENSIONS if c in df.columns}
+    if not summed:
+        return _empty(df, "dimension string, rank int, label string, value double")
+    keys = list(summed)
+    text = lambda c: F.col(c).cast("string") if summed[c] else F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN))
+    revenue = F.col("revenue") if has(df, "revenue") else F.lit(None).cast("double")
+    sets = (df.select(*[text(c).alias(c) for c in keys], revenue.alias("__r"))
+            .groupingSets([[c] for c in keys], *keys)
+            .agg(F.grouping_id().alias("__gid"), F.coalesce(F.sum("__r"), F.lit(0)).cast("double").alias("__r"), F.count(F.lit(1)).alias("__n")))
+    only = {c: (1 << len(keys)) - 1 - (1 << len(keys) - 1 - i) for i, c in enumerate(keys)}
+    pick = lambda value: F.coalesce(*[F.when(F.col("__gid") == only[c], value(c)) for c in keys])
+    groups = sets.select(pick(lambda c: F.lit(c)).alias("dimension"), pick(lambda c: F.col(c)).alias("label"),
+                         pick(lambda c: F.col("__r") if summed[c] else F.col("__n").cast("double")).alias("value"))
+    order = Window.partitionBy("dimension").orderBy(F.desc("value"), F.asc("label"))
+    return (groups.where(F.col("label").isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            .select("dimension", "rank", "label", "value"))
 
 
 def preferred_payment(df: DataFrame) -> DataFrame:

@@ -6,6 +6,11 @@ so Catalyst pushes the simple comparisons into the parquet scan.  When the
 input carries the ``order_month`` partition column (the stored sales
 table), date bounds also produce month predicates that prune whole
 partition folders.
+
+A value list of more than ``LONG_LIST`` entries does not go into the plan: its least
+and greatest value bound the scan, and a semi join with the list decides exactly.
+The driver holds the list, so its size is known: up to ``BROADCAST_BYTES`` it is
+broadcast, beyond that both sides are shuffled on the column.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from dataclasses import dataclass
 from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 from typing import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType
@@ -24,6 +30,11 @@ from pyspark.sql.types import DateType, DecimalType
 from ..functions.dates import as_date, parse_or_null
 from ..schema import date_column, date_columns_ci
 
+LONG_LIST = 1_000
+BROADCAST_BYTES = 32 << 20
+LIST_COLUMNS = ("category", "region", "payment_method", "order_status")
+
+
 @dataclass(frozen=True)
 class SalesFilter:
     date_start: str | None = None
@@ -35,6 +46,8 @@ class SalesFilter:
     revenue_min: float | str | None = None
     revenue_max: float | str | None = None
     product_search: str | None = None
+    # the search is a pattern, as in the original, unless it is asked to be plain text
+    product_literal: bool = False
 
     @classmethod
     def from_params(cls, params: dict) -> "SalesFilter":
@@ -118,7 +131,7 @@ def _date_bounds(df: DataFrame, name: str, spec: SalesFilter, prune_months: bool
 
 
 def predicate(df: DataFrame, spec: SalesFilter | None) -> Column | None:
-    """The conjunction of every applicable filter, or ``None``."""
+    """The conjunction of every applicable filter, or ``None``; of a long list only its bounds."""
     if spec is None:
         return None
     cols = set(df.columns)
@@ -128,9 +141,11 @@ def predicate(df: DataFrame, spec: SalesFilter | None) -> Column | None:
     if date_col is not None and (spec.date_start or spec.date_end):
         parts += _date_bounds(df, date_col, spec, "order_month" in cols and date_col == "order_date")
 
-    for name in ("category", "region", "payment_method", "order_status"):
+    for name in LIST_COLUMNS:
         values = _as_list(getattr(spec, name))
-        if name in cols and values:
+        if name in cols and len(values) > LONG_LIST:
+            parts.append(F.col(name).between(F.lit(min(values)), F.lit(max(values))))
+        elif name in cols and values:
             parts.append(F.col(name).isin(values))
 
     if "revenue" in cols:
@@ -142,8 +157,11 @@ def predicate(df: DataFrame, spec: SalesFilter | None) -> Column | None:
     if "product" in cols and spec.product_search:
         search = spec.product_search.lower().strip()
         if search:
-            re.compile(search)  # an invalid pattern fails while the plan is built
-            parts.append(F.lower(F.col("product")).rlike(search))
+            if spec.product_literal:
+                parts.append(F.contains(F.lower(F.col("product")), F.lit(search)))
+            else:
+                re.compile(search)  # an invalid pattern fails while the plan is built
+                parts.append(F.lower(F.col("product")).rlike(search))
 
     if not parts:
         return None
@@ -157,9 +175,22 @@ def apply_filters(df: DataFrame, spec: SalesFilter | None) -> DataFrame:
     """rows passing every applicable filter (input unchanged when none)."""
     cond = predicate(df, spec)
     out = df.where(cond) if cond is not None else df
+    for name in LIST_COLUMNS if spec is not None else ():
+        values = _as_list(getattr(spec, name))
+        if name in df.columns and len(values) > LONG_LIST:
+            out = _members(out, name, values)
     return out
 
 
+def _members(df: DataFrame, name: str, values: list) -> DataFrame:
+    """Rows whose value is in a long list: a semi join, the columns as they were."""
+    distinct = sorted({str(v) for v in values})
+    listed = df.sparkSession.createDataFrame(pa.table({"__member": pa.array(distinct, pa.string())}))
+    if sum(len(v.encode("utf-8")) + 16 for v in distinct) <= BROADCAST_BYTES:
+        listed = F.broadcast(listed)
+    return df.join(listed, df[name] == listed["__member"], "left_semi").select(*df.columns)
+
+
 def date_presets(df: DataFrame) -> DataFrame:
     """(label, start, end) ranges anchored at the latest date.
 

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import rate
 from ..functions.text import fixed, grouped_int, money
-from ..schema import NOT_AVAILABLE, UNKNOWN
+from ..schema import NOT_AVAILABLE
+from .breakdowns import brief_top_items
 from .kpis import kpi_card_with_leaders
 
 # --- fixed values: category names, severities and sentence templates -------
@@ -182,30 +183,17 @@ def insights_from(row: DataFrame) -> DataFrame:
 # --- I16: KPI brief --------------------------------------------------------
 
 
-def _section(df: DataFrame, key: str, by_revenue: bool, k: int = 5) -> Column:
-    """Scalar subquery: the top-k lines of one section, joined by newlines.
+def _top_lines(df: DataFrame, k: int = 5) -> Column:
+    """Scalar subquery: ``(dimension, rank, line)`` of all five top-k lists, at most 5 k entries, from one scan."""
+    summed = [key for _, key, value in BRIEF_SECTIONS if value is not None and value in df.columns]
+    values = {"label": F.col("label"), "value": F.col("value")}
+    counts = {"label": F.col("label"), "value": F.col("value").cast("bigint")}
+    line = F.when(F.col("dimension").isin(summed), render(BRIEF_VALUE_LINE, values)).otherwise(render(BRIEF_COUNT_LINE, counts))
+    return brief_top_items(df, k).agg(F.sort_array(F.collect_list(F.struct("dimension", "rank", line.alias("line"))))).scalar()
 
-    A two-column scan, a partially aggregated group-by and a top-k
-    (TakeOrderedAndProject); null keys are dropped for revenue sections and
-    counted as ``Unknown`` for count sections.
-    """
-    if by_revenue:
-        rows = (df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("label"))
-                  .agg(F.coalesce(F.sum("revenue"), F.lit(0)).cast("double").alias("value")))
-        line = BRIEF_VALUE_LINE
-    else:
-        rows = (df.groupBy(F.coalesce(F.col(key).cast("string"), F.lit(UNKNOWN)).alias("label"))
-                  .agg(F.count(F.lit(1)).alias("value")))
-        line = BRIEF_COUNT_LINE
-    top = rows.orderBy(F.desc("value"), F.asc("label")).limit(k)
-    text = render(line, {"label": F.col("label"), "value": F.col("value")})
-    lines = F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct((-F.col("value").cast("double")).alias("o"),
-                                             F.col("label").alias("k"), text.alias("t")))),
-        lambda x: x["t"]), "\n")
-    # No groups: the section has no lines (null is skipped by concat_ws).  The
-    # null test stays inside the subquery so the subquery is planned once.
-    return top.agg(F.nullif(lines, F.lit("")).alias("s")).scalar()
+
+def _of(dimension: str):
+    return lambda x: x["dimension"] == dimension
 
 
 def kpi_brief(df: DataFrame) -> DataFrame:
@@ -216,12 +204,15 @@ def kpi_brief(df: DataFrame) -> DataFrame:
     """
     card = kpi_card_with_leaders(df, leaders=False)
     values = {c: F.col(c) for c in card.columns}
+    card = card.withColumn("__top", _top_lines(df))
     lines: list[Column] = [render(t, values) for t in BRIEF_LINES]
-    for title, key, value in BRIEF_SECTIONS:
+    for title, key, _ in BRIEF_SECTIONS:
         if key not in df.columns:
             body = F.lit(BRIEF_MISSING)
         else:
-            by_revenue = value is not None and value in df.columns
-            body = F.when(F.col("non_empty"), _section(df, key, by_revenue)).otherwise(F.lit(BRIEF_MISSING))
+            own = F.filter("__top", _of(key))
+            # no groups: the section has no lines (concat_ws skips a null)
+            text = F.nullif(F.array_join(F.transform(own, lambda x: x["line"]), "\n"), F.lit(""))
+            body = F.when(F.col("non_empty"), text).otherwise(F.lit(BRIEF_MISSING))
         lines += [F.lit(""), F.lit(title), body]
     return card.select(F.concat_ws("\n", *lines).alias("brief"))

@@ -50,8 +50,15 @@ def _canonical(df: DataFrame) -> DataFrame:
     return df.drop("order_month") if "order_month" in df.columns else df
 
 
-def dashboard_rollup(df: DataFrame) -> DataFrame:
-    """One scan -> (breakdown, key, key2, revenue, row_count) for B1-B5, B7, B8 and totals."""
+# --- fixed values: breakdown to chart name --------------------------------
+CHARTS = {"month": "monthly_trend", "category": "category_rev", "region": "region_rev", "payment_method": "payment_methods"}
+
+
+def dashboard_rollup(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """One scan -> (breakdown, key, key2, revenue, row_count) for B1-B5, B7, B8 and totals, or for some of them."""
+    levels = {n: cols for n, cols in ROLLUP_LEVELS.items() if names is None or n in names}
+    if not levels:
+        return df.sparkSession.createDataFrame([], ROLLUP_SCHEMA)
     date_col = date_column(df)
     day = as_date(df, date_col) if date_col else F.lit(None).cast("date")
     base = df.select(
@@ -60,12 +67,12 @@ def dashboard_rollup(df: DataFrame) -> DataFrame:
           for c in ("category", "region", "payment_method", "order_status")],
         (F.col("revenue") if "revenue" in df.columns else F.lit(None).cast("double")).alias("revenue"))
     keys = ["k_month", "k_day", "category", "region", "payment_method", "order_status"]
-    sets = [list(cols) for cols in ROLLUP_LEVELS.values()]
+    sets = [list(cols) for cols in levels.values()]
     grouped = base.groupingSets(sets, *keys).agg(
         F.grouping_id().alias("gid"), F.coalesce(F.sum("revenue"), F.lit(0)).cast("double").alias("revenue"),
         F.count(F.lit(1)).alias("row_count"))
     out = None
-    for name, cols in ROLLUP_LEVELS.items():
+    for name, cols in levels.items():
         gid = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in cols)
         cond = F.col("gid") == gid
         for c in cols:
@@ -86,23 +93,15 @@ def kpis_endpoint(df: DataFrame, spec: SalesFilter | None = None) -> DataFrame:
 
 def charts_endpoint(df: DataFrame, spec: SalesFilter | None = None) -> DataFrame:
     """Monthly trend, category, region and payment charts as one long table
-    (chart, label, value) with date, category and region filters."""
+    (chart, label, value) with date, category and region filters, from one scan."""
     f = apply_filters(df, _restrict(spec, "date_start", "date_end", "category", "region"))
-    parts = [
-        B.monthly_revenue(f).select(F.lit("monthly_trend").alias("chart"), F.col("month").alias("label"),
-                                    F.col("revenue").alias("value")),
-        B.revenue_by_category(f).select(F.lit("category_rev").alias("chart"), F.col("category").alias("label"),
-                                        F.col("revenue").alias("value")),
-        B.revenue_by_region(f).select(F.lit("region_rev").alias("chart"), F.col("region").alias("label"),
-                                      F.col("revenue").alias("value")),
-        B.payment_method_counts(f).select(F.lit("payment_methods").alias("chart"),
-                                          F.col("payment_method").alias("label"),
-                                          F.col("orders").cast("double").alias("value")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    charts = F.create_map(*[F.lit(x) for pair in CHARTS.items() for x in pair])
+    counted = F.col("breakdown") == "payment_method"
+    wanted = [c for c, there in (("month", date_column(f) and "revenue" in f.columns), ("category", "revenue" in f.columns and "category" in f.columns),
+                                 ("region", "revenue" in f.columns and "region" in f.columns), ("payment_method", "payment_method" in f.columns)) if there]
+    return dashboard_rollup(f, wanted).select(
+        F.try_element_at(charts, F.col("breakdown")).alias("chart"), F.col("key").alias("label"),
+        F.when(counted, F.col("row_count").cast("double")).otherwise(F.col("revenue")).alias("value"))
 
 
 def orders_endpoint(df: DataFrame, product_search: str | None = None, category=None, limit: int = 50) -> DataFrame:

@@ -201,6 +201,16 @@ SELECT order_id, customer_name, product, category, region, quantity,
        CAST(revenue AS DOUBLE) AS revenue, payment_method, order_status, order_date
 FROM sales WHERE {F10_WHERE}""")
 
+ORACLE["filtered_orders_long_list"] = with_sales("""
+SELECT order_id, customer_name, product, category, region, quantity,
+       CAST(revenue AS DOUBLE) AS revenue, payment_method, order_status, order_date
+FROM sales WHERE revenue >= 50000 AND category IN (SELECT 'ECONOMY' UNION ALL SELECT 'PROMO' UNION ALL SELECT 'EXTRA ' || i FROM range(100000) r(i))""")
+
+ORACLE["filtered_orders_literal"] = with_sales("""
+SELECT order_id, customer_name, product, category, region, quantity,
+       CAST(revenue AS DOUBLE) AS revenue, payment_method, order_status, order_date
+FROM sales WHERE contains(lower(product), 'red widget') AND order_date >= DATE '1998-01-01'""")
+
 ORACLE["date_presets"] = with_sales("""
 SELECT label, date_start, date_end FROM (
   SELECT 1 AS ord, 'Last 7 days' AS label, strftime(a - INTERVAL 6 DAY, '%Y-%m-%d') AS date_start,

@@ -43,6 +43,12 @@ F10_FILTER = SalesFilter(
     order_status=["Delivered", "Shipped", "Cancelled"], revenue_min="5000", revenue_max="80000",
     product_search="^(Red|Blue|Hot) ")
 
+# A list that no plan should carry: two categories that exist among 100,000 that do not.
+LONG_FILTER = SalesFilter(category=["ECONOMY", "PROMO", *(f"EXTRA {i}" for i in range(100_000))], revenue_min="50000")
+
+# Plain-text search: the point is a point.
+LITERAL_FILTER = SalesFilter(product_search="red widget", product_literal=True, date_start="1998-01-01")
+
 # Date window of the report endpoint.
 REPORT_FILTER = SalesFilter(date_start="1997-01-01", date_end="1998-12-31")
 
@@ -125,6 +131,8 @@ QUERIES: dict[str, Query] = {
     "kpis": _on_sales(kpi_card),
     "kpis_filtered": _on_sales(lambda df: kpi_card(apply_filters(df, E1_FILTER))),
     "filtered_orders": _on_sales(lambda df: _rows(apply_filters(df, F10_FILTER))),
+    "filtered_orders_long_list": _on_sales(lambda df: _rows(apply_filters(df, LONG_FILTER))),
+    "filtered_orders_literal": _on_sales(lambda df: _rows(apply_filters(df, LITERAL_FILTER))),
     "date_presets": _on_sales(date_presets),
     # forecast
     "forecast": _on_sales(P.forecast),

@@ -13,7 +13,9 @@ from compare_oracle import table_hash  # noqa: E402
 
 from tillroll.sources.tables import TABLES, table_path  # noqa: E402
 
-NAMES = sorted(entry.QUERIES)
+# Estimates: held by their error bounds in test_rollups.py, not by SQL.
+ESTIMATED = {"kpis_approx"}
+NAMES = sorted(set(entry.QUERIES) - ESTIMATED)
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +28,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.QUERIES) <= set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(NAMES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -387,6 +387,52 @@ ORACLE["cleaned_sales_dayfirst"] = ORACLE["cleaned_sales"].replace(DIRTY[0], DAY
 
 # --- insights ----------------------------------------------------------------
 
+# Fixed values, written out here so that the SQL shares nothing with the engine.
+CATEGORIES = ("Revenue Insights", "Product Insights", "Customer Insights", "Risk Alerts")
+
+TEMPLATES = {
+    "I0": "No data available to generate insights.",
+    "I1": "Total revenue across all transactions is Rs {total_revenue:,.2f} with {total_orders:,} orders processed.",
+    "I2": "The average order value is Rs {aov:,.2f}.",
+    "I3": "Monthly revenue grew by {growth:.1f}% compared to the previous month.",
+    "I4": "Monthly revenue declined by {decline:.1f}% compared to the previous month. "
+          "Immediate attention is recommended.",
+    "I5": "Estimated profit margin is {margin:.1f}% with gross profit of Rs {gross_profit:,.2f}.",
+    "I6": "The {lead_category} category leads revenue with Rs {lead_category_revenue:,.2f} ({lead_category_pct:.1f}% of total).",
+    "I7": "'{best_product}' is the best-selling product, generating Rs {best_product_revenue:,.2f}.",
+    "I8": "Customers are purchasing an average of {basket:.1f} items per order.",
+    "I9": "The {lead_region} region is the strongest market, contributing Rs {lead_region_revenue:,.2f}.",
+    "I10": "Customer retention is strong at {retention:.1f}%. Loyalty programs are highly effective.",
+    "I11": "Only {retention:.1f}% of customers are returning. Consider post-purchase engagement to boost loyalty.",
+    "I12": "The preferred payment method is {payment} ({payment_count:,} transactions).",
+    "I13c": "High Cancellation Rate: {cancel:.1f}% of orders are cancelled. Immediate investigation required.",
+    "I13w": "Cancellation rate is {cancel:.1f}%. Consider reviewing inventory availability and checkout UX.",
+    "I14c": "High Return Rate: {returns:.1f}% of items are being returned. Quality control review is strongly advised.",
+    "I14w": "Return rate is {returns:.1f}%. Ensure product descriptions match the physical items.",
+    "I15": "{worst_region} region is experiencing an abnormal cancellation rate of {worst_rate:.1f}%.",
+}
+
+BRIEF_LINES = (
+    "Revenue: Rs {total_revenue:,.2f}",
+    "Orders: {total_orders}",
+    "Average Order Value: Rs {aov:,.2f}",
+    "Cancellation Rate: {cancellation_rate:.2f}%",
+    "Return Rate: {return_rate:.2f}%",
+    "Returning Customer Rate: {returning_customer_rate:.2f}%",
+    "Top Region: {top_region}",
+    "Top Category: {top_category}",
+)
+BRIEF_SECTIONS = (
+    ("Top Products:", "product", "revenue"),
+    ("Top Categories:", "category", "revenue"),
+    ("Region Sales:", "region", "revenue"),
+    ("Payment Methods:", "payment_method", None),
+    ("Order Status Summary:", "order_status", None),
+)
+BRIEF_VALUE_LINE = "- {label}: Rs {value:,.2f}"
+BRIEF_COUNT_LINE = "- {label}: {value}"
+BRIEF_MISSING = "- N/A"
+
 def _fmt_sql(template: str, values: dict[str, str]) -> str:
     """Template -> DuckDB string expression using format()."""
     import re
@@ -403,7 +449,6 @@ def _fmt_sql(template: str, values: dict[str, str]) -> str:
 
 
 def _insights_sql(where: str = "TRUE") -> str:
-    from ..operators.insights import CATEGORIES, TEMPLATES as T
     v = {"total_revenue": "total_revenue", "total_orders": "total_orders", "aov": "aov",
          "growth": "monthly_growth", "decline": "abs(monthly_growth)", "margin": "profit_margin",
          "gross_profit": "gross_profit", "basket": "avg_basket_size", "retention": "returning_customer_rate",
@@ -431,7 +476,7 @@ def _insights_sql(where: str = "TRUE") -> str:
         (3, 4, "critical", "I15", "(SELECT v FROM wr) > 15"),
     ]
     branches = [f"SELECT {c} AS cat, {o} AS ord, '{CATEGORIES[c]}' AS category, '{sev}' AS severity, "
-                f"{_fmt_sql(T[t], v)} AS text FROM kpi WHERE {cond}" for c, o, sev, t, cond in rules]
+                f"{_fmt_sql(TEMPLATES[t], v)} AS text FROM kpi WHERE {cond}" for c, o, sev, t, cond in rules]
     ctes = _kpi_ctes(where) + [
         "lc AS (SELECT category AS k, CAST(SUM(revenue) AS DOUBLE) AS v FROM f WHERE category IS NOT NULL "
         "GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)",
@@ -452,7 +497,6 @@ SELECT category, CAST(ROW_NUMBER() OVER (PARTITION BY cat ORDER BY ord) - 1 AS I
 
 
 def _brief_sql() -> str:
-    from ..operators.insights import BRIEF_COUNT_LINE, BRIEF_LINES, BRIEF_SECTIONS, BRIEF_VALUE_LINE
     v = {c: c for c in ["total_revenue", "total_orders", "aov", "cancellation_rate", "return_rate",
                         "returning_customer_rate", "top_region", "top_category"]}
     pieces = [_fmt_sql(t, v) for t in BRIEF_LINES]
@@ -579,3 +623,94 @@ FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM docu
 
 # The CSV round trip must profile exactly like the dirty variant itself.
 ORACLE["csv_profile"] = ORACLE["data_profile"]
+
+
+# --- catalog, exports, the rules that the whole table does not fire -----------------
+
+def _cleaned_kpis(cleaned: str) -> str:
+    """The KPI card over the cleaned table, in place of the stored one, at two decimals."""
+    names = {"total_orders", *_NAMES}
+    card = ", ".join(m if m in names else f"round({m}, 2) AS {m}" for m in _METRICS)
+    ctes = ",\n".join(_kpi_ctes()).replace("FROM sales WHERE TRUE", "FROM cleaned")
+    return f"WITH cleaned AS ({cleaned}),\n{ctes}\nSELECT {card} FROM kpi"
+
+
+_METRICS = ["total_revenue", "total_orders", "aov", "top_region", "top_category", "monthly_growth", "cancellation_rate", "return_rate",
+            "returning_customer_rate", "gross_profit", "profit_margin", "avg_basket_size", "best_sales_month", "worst_sales_month"]
+_NAMES = ("top_region", "top_category", "best_sales_month", "worst_sales_month")
+
+ORACLE["active_sales_kpis"] = _cleaned_kpis(ORACLE["cleaned_sales_dayfirst"])
+
+
+def _uploaded(name: str, profile: str, cleaned: str, active: bool) -> str:
+    return (f"SELECT '{name}' AS name, 'ops' AS owner, (SELECT count(*) FROM ({cleaned}) c) AS row_count, 10 AS column_count, p.quality_score, "
+            f"p.quality_grade, {active} AS is_active, p.total_rows AS raw_rows, p.duplicate_count AS duplicates, "
+            f"(SELECT missing_count FROM ({ORACLE['missing_by_column']}) m WHERE column_name = 'Product Category') AS missing_categories, "
+            f"p.warning_count AS warnings FROM ({profile}) p")
+
+
+ORACLE["dataset_catalog"] = (_uploaded("export", ORACLE["data_profile"], ORACLE["cleaned_sales"], False) + " UNION ALL "
+                             + _uploaded("export-dayfirst", ORACLE["data_profile_dayfirst"], ORACLE["cleaned_sales_dayfirst"], True))
+ORACLE["newest_datasets"] = (f"SELECT 1 AS place, 'export-dayfirst' AS name, count(*) AS row_count FROM ({ORACLE['cleaned_sales_dayfirst']}) a "
+                             f"UNION ALL SELECT 2, 'export', count(*) FROM ({ORACLE['cleaned_sales']}) b")
+ORACLE["catalog_counts"] = f"SELECT *, 2 AS total_datasets, 1 AS active_datasets FROM ({ORACLE['user_activity_counts']}) u"
+
+ORACLE["required_columns"] = with_sales(" UNION ALL ".join(
+    f"SELECT {i} AS position, '{name}' AS required_column, {source} > 0 AS present, {source} AS value_count FROM raw"
+    for i, (name, source) in enumerate([
+        ("order_id", 'count("Order ID")'), ("customer_name", 'count("Customer Name")'), ("product", 'count("Product Name")'),
+        ("category", 'count("Product Category")'), ("region", "0 * count(*)"), ("quantity", 'count("Quantity")'), ("revenue", 'count("Sales")'),
+        ("payment_method", 'count("Payment Method")'), ("order_status", 'count("Order Status")'), ("order_date", 'count("Order Date")')])), *DIRTY)
+
+ORACLE["insights_no_data"] = _insights_sql("order_date BETWEEN DATE '1890-01-01' AND DATE '1890-12-31'").replace(
+    "SELECT category, CAST(ROW_NUMBER()", "SELECT 'Risk Alerts' AS category, 0 AS position, 'critical' AS severity, "
+    "'No data available to generate insights.' AS text WHERE (SELECT count(*) FROM f) = 0\nUNION ALL "
+    "SELECT category, CAST(ROW_NUMBER()").replace("FROM fired ORDER BY cat, ord", "FROM fired WHERE (SELECT count(*) FROM f) > 0")
+ORACLE["insights_risks"] = _insights_sql(
+    "order_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' AND order_status IN ('Cancelled', 'Shipped', 'Pending') AND revenue >= 90000")
+
+ORACLE["order_status_json"] = f"""
+SELECT '{{"order_status":"' || order_status || '","count":' || count || '}}' AS json FROM ({ORACLE['order_status_counts']}) s"""
+
+_REPORT_SALES = SALES[:-1] + f"  WHERE {REPORT_WHERE.replace('order_date', 'CAST(o.o_orderdate AS DATE)')}\n)"
+ORACLE["exported_report"] = f"""
+SELECT 'kpis' AS part, metric AS key, value FROM ({ORACLE['report_kpi_table'].replace(SALES, _REPORT_SALES)}) k
+UNION ALL SELECT 'top_products', product, revenue_text FROM ({ORACLE['report_top_products'].replace(SALES, _REPORT_SALES)}) p
+UNION ALL SELECT 'rows', region, n || ' / ' || q FROM (WITH {_REPORT_SALES}
+  SELECT region, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS q FROM sales GROUP BY 1) r"""
+
+
+# --- the whole dashboard -------------------------------------------------------
+
+def _dashboard_sql(where: str | None = None) -> str:
+    limited = SALES if where is None else SALES[:-1] + f"  WHERE {where}\n)"
+    of = lambda name: "(" + ORACLE[name].replace(SALES, limited) + ")"
+
+    def panel(name: str, source: str, position="NULL", key="NULL", key2="NULL", value="NULL", text="NULL") -> str:
+        return (f"SELECT '{name}' AS panel, CAST({position} AS INTEGER) AS position, CAST({key} AS VARCHAR) AS key, "
+                f"CAST({key2} AS VARCHAR) AS key2, CAST({value} AS DOUBLE) AS value, CAST({text} AS VARCHAR) AS text FROM {source} t")
+
+    parts = [panel("kpis", of("kpis"), str(i), f"'{m}'", value="NULL" if m in _NAMES else m, text=m if m in _NAMES else "NULL")
+             for i, m in enumerate(_METRICS)]
+    parts += [
+        panel("monthly_trend", of("monthly_revenue"), key="month", value="revenue"),
+        panel("daily_trend", of("daily_revenue"), key="day", value="revenue"),
+        panel("category_rev", of("revenue_by_category"), key="category", value="revenue"),
+        panel("region_rev", of("revenue_by_region"), key="region", value="revenue"),
+        panel("payment_methods", of("payment_method_counts"), key="payment_method", value="orders"),
+        panel("order_status", of("order_status_counts"), key="order_status", value="count"),
+        panel("top_products", f"(SELECT *, row_number() OVER (ORDER BY revenue DESC, product) AS r FROM {of('top_products')} p)", "r", "product", value="revenue"),
+        panel("heatmap", of("region_category_matrix"), key="region", key2="category", value="revenue"),
+        panel("filter_options", f"({ORACLE['filter_options']})", key="dimension", key2="value"),
+        panel("date_presets", f"({ORACLE['date_presets']})", key="date_start", key2="date_end", text="label"),
+        panel("insights", of("insights"), "position", "category", "severity", text="text"),
+        panel("forecast_revenue", of("forecast"), key="period", value="predicted_revenue"),
+        panel("forecast_product", of("forecast"), key="period", value="predicted_product_demand", text="top_product"),
+        panel("forecast_category", of("forecast"), key="period", value="predicted_category_revenue", text="top_category"),
+        panel("forecast_meta", of("forecast_confidence"), key="confidence", key2="has_enough_history", value="month_count", text="note"),
+    ]
+    return "\nUNION ALL ".join(parts)
+
+
+ORACLE["dashboard"] = _dashboard_sql()
+ORACLE["dashboard_1997"] = _dashboard_sql("o.o_orderdate >= DATE '1997-01-01' AND o.o_orderdate < DATE '1998-01-01'")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import preview
@@ -23,10 +23,16 @@ from ..operators.forecast_by import forecast_by
 from ..operators.kpis import kpi_card
 from ..sources import catalog as D
 from ..sources.csv import read_sales_csv
-from ..sources.sales import canonical, dirty_sales, dirty_sales_csv, load_sales, sales_day_index
+from ..sources.sales import canonical, dirty_sales, dirty_sales_csv, load_sales, materialize_sales, sales_day_index, sales_rollups, sales_sketches
+from ..sources.sinks import as_json
+from ..sources.sketches import estimates
+from ..session import derived_table_path
 from ..sources.tables import read_table
+from ..sources.versions import new_id
 from . import bundles as E
 from . import export as X
+from .ingest import ingest
+from .stored_dashboard import stored_dashboard
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +49,10 @@ F10_FILTER = SalesFilter(
     order_status=["Delivered", "Shipped", "Cancelled"], revenue_min="5000", revenue_max="80000",
     product_search="^(Red|Blue|Hot) ")
 
+# A range in which nothing was sold, and large sales among which few customers come again and many are cancelled.
+NO_ROWS_FILTER = SalesFilter(date_start="1890-01-01", date_end="1890-12-31")
+RISK_FILTER = SalesFilter(date_start="1997-01-01", date_end="1997-12-31", order_status=["Cancelled", "Shipped", "Pending"], revenue_min=90000)
+
 # A list that no plan should carry: two categories that exist among 100,000 that do not.
 LONG_FILTER = SalesFilter(category=["ECONOMY", "PROMO", *(f"EXTRA {i}" for i in range(100_000))], revenue_min="50000")
 
@@ -108,6 +118,61 @@ def _csv_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.quality_report(read_sales_csv(spark, dirty_sales_csv(spark, sf_dir)))
 
 
+def _catalog(spark: SparkSession, sf_dir: str) -> str:
+    """A catalog of two uploads of the raw export, through the ingest gate: ISO dates, then (active) day-first dates."""
+    stored = materialize_sales(spark, sf_dir)
+    root = derived_table_path(spark, "catalog", f"uploads-v1|{stored}")
+    there = {r["name"] for r in D.datasets(spark, root).select("name").collect()}
+    for name, layout in (("export", None), ("export-dayfirst", DAY_FIRST)):
+        if name not in there:
+            ingest(spark, dirty_sales(spark, sf_dir, layout), root, f"{root}/stored/{name}-{new_id()}", name, owner="ops")
+    return root
+
+
+def _two_decimals(df: DataFrame) -> DataFrame:
+    """Sums of DOUBLE columns depend on their order in the last bits; a card shows two decimals."""
+    return df.select(*[F.round(c, 2).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _active_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the catalog's active dataset to the KPI card."""
+    return _two_decimals(kpi_card(D.active_sales(spark, _catalog(spark, sf_dir))))
+
+
+def _dataset_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1, C20 and the stored profile, read back from its JSON text."""
+    stored = F.from_json("summary", D.PROFILE_SCHEMA)
+    return D.list_datasets(spark, _catalog(spark, sf_dir), owner="ops", search="EXPORT", sort="name").select(
+        "name", "owner", "row_count", "column_count", "quality_score", "quality_grade", "is_active",
+        stored["total_rows"].alias("raw_rows"), stored["duplicate_count"].alias("duplicates"),
+        stored["missing_values"]["Product Category"].alias("missing_categories"), F.size(stored["data_type_warnings"]).alias("warnings"))
+
+
+def _newest_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest upload first."""
+    order = F.row_number().over(Window.orderBy(F.desc("uploaded_at"), F.asc("dataset_id")))  # a row per upload
+    return D.newest_first(D.datasets(spark, _catalog(spark, sf_dir)), "uploaded_at", "dataset_id").select(order.alias("place"), "name", "row_count")
+
+
+def _catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.system_counts(read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "events"),
+                           D.with_active_flag(spark, _catalog(spark, sf_dir)))
+
+
+def _exported_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report exported as CSV rows and JSON tables, read back."""
+    sales = load_sales(spark, sf_dir)
+    root = f"{derived_table_path(spark, 'exports', materialize_sales(spark, sf_dir))}/{new_id()}"
+    rows = spark.read.option("header", True).csv(X.export_report(sales, REPORT_FILTER, "csv", f"{root}/csv")["rows"])
+    tables = X.export_report(sales, REPORT_FILTER, "pdf", f"{root}/pdf")
+    kpis = spark.read.schema("position int, metric string, value string").json(tables["kpis"])
+    tops = spark.read.schema("product string, revenue_text string, revenue double").json(tables["top_products"])
+    lines = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("quantity").cast("double")).cast("bigint").alias("q"))
+    return (kpis.select(F.lit("kpis").alias("part"), F.col("metric").alias("key"), "value")
+            .unionByName(tops.select(F.lit("top_products").alias("part"), F.col("product").alias("key"), F.col("revenue_text").alias("value")))
+            .unionByName(lines.select(F.lit("rows").alias("part"), F.col("region").alias("key"), F.concat_ws(" / ", "n", "q").alias("value"))))
+
+
 QUERIES: dict[str, Query] = {
     # J5 and the breakdowns
     "sales_view": _on_sales(_rows),
@@ -129,6 +194,7 @@ QUERIES: dict[str, Query] = {
     "filter_options": _on_sales(B.filter_options),
     # KPIs and filters
     "kpis": _on_sales(kpi_card),
+    "kpis_approx": lambda spark, sf_dir: estimates(spark, sales_sketches(spark, sf_dir), "1996-01", "1999-06"),
     "kpis_filtered": _on_sales(lambda df: kpi_card(apply_filters(df, E1_FILTER))),
     "filtered_orders": _on_sales(lambda df: _rows(apply_filters(df, F10_FILTER))),
     "filtered_orders_long_list": _on_sales(lambda df: _rows(apply_filters(df, LONG_FILTER))),
@@ -144,6 +210,8 @@ QUERIES: dict[str, Query] = {
     # insights
     "insights": _on_sales(I.insights),
     "kpi_brief": _on_sales(I.kpi_brief),
+    "insights_no_data": _on_sales(lambda df: I.insights(apply_filters(df, NO_ROWS_FILTER))),
+    "insights_risks": _on_sales(lambda df: I.insights(apply_filters(df, RISK_FILTER))),
     "report_insights": _on_sales(lambda df: E.report_insights(df, REPORT_FILTER)),
     # listings, bundles, exports
     "orders_api": _on_sales(lambda df: _rows(E.orders_endpoint(df, "widget", ["ECONOMY", "SMALL"]))),
@@ -151,6 +219,8 @@ QUERIES: dict[str, Query] = {
     "orders_last_page": _last_page,
     "preview_rows": _preview_rows,
     "dashboard_rollup": _on_sales(E.dashboard_rollup),
+    "dashboard": lambda spark, sf_dir: stored_dashboard(spark, sales_rollups(spark, sf_dir)),
+    "dashboard_1997": lambda spark, sf_dir: stored_dashboard(spark, sales_rollups(spark, sf_dir), "1997-01", "1997-12"),
     "charts_bundle": _on_sales(lambda df: E.charts_endpoint(df, E1_FILTER)),
     "workbook_summary": _on_sales(lambda df: X.workbook_summary(kpi_card(df))),
     "report_kpi_table": _on_sales(lambda df: X.report_kpi_table(kpi_card(df))),
@@ -167,4 +237,12 @@ QUERIES: dict[str, Query] = {
     "cleaned_sales_dayfirst": _on_dirty(C.clean_data, DAY_FIRST),
     "data_profile_dayfirst": _on_dirty(C.quality_report, DAY_FIRST),
     "csv_profile": _csv_profile,
+    "required_columns": lambda spark, sf_dir: C.validation_table(dirty_sales(spark, sf_dir).drop("Region")),
+    # catalog, exports
+    "active_sales_kpis": _active_kpis,
+    "dataset_catalog": _dataset_catalog,
+    "newest_datasets": _newest_datasets,
+    "catalog_counts": _catalog_counts,
+    "exported_report": _exported_report,
+    "order_status_json": _on_sales(lambda df: as_json(B.order_status_counts(df))),
 }

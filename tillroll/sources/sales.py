@@ -25,6 +25,7 @@ from pyspark.sql.types import (
 from ..functions.dates import month_label
 from ..operators.paging import day_index
 from ..session import derived_table_path, file_fingerprint
+from . import rollups, sketches
 from .tables import read_table, table_path
 from .versions import published
 
@@ -129,6 +130,22 @@ def sales_day_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("day date, n bigint").parquet(path)
 
 
+def sales_rollups(spark: SparkSession, sf_dir: str) -> str:
+    """Partial sums per month of the stored table, made once per version of it; returns their folder."""
+    stored = materialize_sales(spark, sf_dir)
+    root = derived_table_path(spark, "sales-rollups", stored)
+    rollups.add(spark, root, load_sales(spark, sf_dir), batch=stored.rsplit("/", 1)[-1])
+    return root
+
+
+def sales_sketches(spark: SparkSession, sf_dir: str) -> str:
+    """Sketches per month of the stored table, made once per version of it; returns their folder."""
+    stored = materialize_sales(spark, sf_dir)
+    root = derived_table_path(spark, "sales-sketches", stored)
+    sketches.add(spark, root, load_sales(spark, sf_dir), batch=stored.rsplit("/", 1)[-1])
+    return root
+
+
 # A published version never changes, so a session reuses its scan and file listing.
 _SCANS: dict[tuple[str, str], DataFrame] = {}
 

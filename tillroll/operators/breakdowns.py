@@ -123,13 +123,18 @@ def category_values(df: DataFrame) -> list[str]:
 
 
 def region_category_matrix(df: DataFrame, categories: list[str] | None = None) -> DataFrame:
-    """B8 wide: one row per region, one column per category, absent cells 0."""
+    """B8 wide: one row per region, one column per category, absent cells 0.
+
+    Built from the grouped cells; any number of categories that a row can hold.
+    """
     if not has(df, "region", "category", "revenue"):
         return _empty(df, "region string")
     cats = categories if categories is not None else category_values(df)
-    base = df.where(F.col("region").isNotNull() & F.col("category").isNotNull())
-    wide = base.groupBy("region").pivot("category", cats).agg(revenue_total())
-    return wide.na.fill(0.0, subset=cats).orderBy("region")
+    cells = (df.where(F.col("region").isNotNull() & F.col("category").isNotNull())
+             .groupBy("region", "category").agg(revenue_total().alias("revenue")))
+    held = cells.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("category", "revenue"))).alias("__held"))
+    cell = lambda c: F.coalesce(F.try_element_at("__held", F.lit(c)), F.lit(0.0))
+    return held.select("region", *[cell(c).alias(c) for c in cats]).orderBy("region")
 
 
 def region_category_long(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from tillroll.sources.sales import dirty_sales, load_sales
 def test_a_long_list_equals_a_short_one_and_stays_out_of_the_plan(spark, monkeypatch):
     sales = load_sales(spark, SF_SMALL)
     short = SalesFilter(category=["ECONOMY", "PROMO"])
-    long = SalesFilter(category=["PROMO", "ECONOMY", "ECONOMY", *(f"none {i}" for i in range(5000))])
+    long = SalesFilter(category=["PROMO", "ECONOMY", "ECONOMY", *(f"none {i}" for i in range(X.LONG_LIST))])
     want = apply_filters(sales, short)
     for bytes_ in (X.BROADCAST_BYTES, 0):  # broadcast, or both sides shuffled
         monkeypatch.setattr(X, "BROADCAST_BYTES", bytes_)

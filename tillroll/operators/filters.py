@@ -30,7 +30,7 @@ from pyspark.sql.types import DateType, DecimalType
 from ..functions.dates import as_date, parse_or_null
 from ..schema import date_column, date_columns_ci
 
-LONG_LIST = 1_000
+LONG_LIST = 10_000
 BROADCAST_BYTES = 32 << 20
 LIST_COLUMNS = ("category", "region", "payment_method", "order_status")
 

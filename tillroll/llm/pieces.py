@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -348,8 +349,8 @@ class Encoder:
             wanted = set().union(*(ws for ws in split if ws))
         new = wanted - self.words.keys()
         if len(self.words) + len(new) > CACHED_WORDS:
-            self.words.clear()
-            new = wanted
+            # what this batch needs stays, so frequent words are never worked out again
+            self.words = {w: self.words[w] for w in wanted - new}
         self._learn(new)
         find = self.words.__getitem__
         return [None if ws is None else np.frombuffer(b"".join(map(find, ws)), np.int32) for ws in split]
@@ -365,10 +366,20 @@ class Encoder:
         return [word[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
+def decode_lists(v: Vocabulary, ids: pa.ListArray) -> pa.Array:
+    """The texts of rows of ids: all pieces are gathered into one stream, which the rows' ends cut."""
+    pieces = pc.take(pa.array(v.decoded, pa.large_binary()), ids.flatten())
+    ends = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset:pieces.offset + len(pieces) + 1]
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    cuts = ends[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+    stream = memoryview(pieces.buffers()[2] or b"")
+    texts = [str(stream[a + (stream[a:a + 1] == b" "):b], "utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+    return pa.array(texts, pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False))
+
+
 def decode_ids(v: Vocabulary, ids) -> str:
-    """The text of a row of ids."""
-    text = b"".join(map(v.decoded.__getitem__, ids)).decode("utf-8", "replace")
-    return text[1:] if text[:1] == " " else text
+    """The text of one row of ids."""
+    return decode_lists(v, pa.array([list(ids)], pa.list_(pa.int32())))[0].as_py()
 
 
 def read_model(spark, path: str) -> bytes:
@@ -437,8 +448,7 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", keep: list[str]
     def run(it):
         v = shared.value
         for batch in it:
-            texts = [None if x is None else decode_ids(v, x) for x in batch.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(names))), pa.array(texts, pa.string())], [*names, "decoded"])
+                [*(batch.column(i) for i in range(len(names))), decode_lists(v, batch.column("__ids"))], [*names, "decoded"])
 
     return frame.mapInArrow(run, rows.select(*names).schema.add("decoded", "string"))

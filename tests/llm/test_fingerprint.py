@@ -64,3 +64,18 @@ def test_likeness_of_texts_beyond_the_16_bit_counts(spark):
     half, twice, lines = [r[0] for r in df.select(fp.likeness("a", "b")).collect()]
     assert got[0]["lanes"][-1] == 69_998 and got[2]["lanes"][-1] == 139_998 and got[3]["lanes"][-1] == 70_000
     assert abs(half - 0.5) < 0.12 and abs(twice - 0.5) < 0.12 and lines == 0
+
+
+def test_no_number_of_repeats_vanishes(spark):
+    got = prints(spark, ["a", "a" + "\n" * 65_536, "b c", "b c" + "\n" * 131_072, "b c" + "\nx" * 65_536, "b c" + "\ny" * 65_536])
+    assert len({r["fingerprint"] for r in got.values()}) == 6
+
+
+def test_the_hashes_of_a_paragraph_are_independent(spark):
+    """Lanes of different seeds must not be functions of one 64-bit hash: no pair of lanes decides another."""
+    rows = prints(spark, [f"p{i}" for i in range(400)])
+    lanes = [r["lanes"][:fp.EXACT] for r in rows.values()]
+    for i in range(4):
+        for j in range(i + 1, 4):
+            agree = sum((x[4 * i] ^ x[4 * j]) & 255 == (lanes[0][4 * i] ^ lanes[0][4 * j]) & 255 for x in lanes)
+            assert agree < 20

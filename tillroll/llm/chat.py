@@ -128,7 +128,6 @@ def as_events(turns: DataFrame, piece: int = 512) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     tied = Window.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), text)
     turns = turns.withColumn("message", F.row_number().over(tied))
-    pieces = F.greatest(F.ceil(F.char_length(text) / piece).cast("int"), F.lit(1))
-    at = turns.select("conv_id", "turn", "message", "role", text.alias("text"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("i"))
-    return at.select("conv_id", F.struct("turn", "message", "i").alias("seq"), F.lit("delta").alias("kind"),
-                     "turn", "message", "role", F.substr("text", F.col("i") * piece + 1, F.lit(piece)).alias("text"))
+    pieces = F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0)))
+    return turns.select("conv_id", "turn", "message", "role", F.posexplode(pieces).alias("i", "text")).select(
+        "conv_id", F.struct("turn", "message", "i").alias("seq"), F.lit("delta").alias("kind"), "turn", "message", "role", "text")

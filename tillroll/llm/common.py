@@ -22,6 +22,15 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name`` behind as many underscores as it takes to clash with nothing (case aside)."""
+    lowered = {c.lower() for c in taken}
+    name = f"__{name}"
+    while name in lowered:
+        name = f"_{name}"
+    return name
+
+
 class Staging:
     """Intermediate tables in the folder that the whole cluster shares.
 

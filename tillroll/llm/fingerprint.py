@@ -5,14 +5,15 @@ wide vectors, and a fingerprint is the lane-wise sum of them, so it does not dep
 on the paragraphs' order, and a paragraph is inserted or deleted by adding or
 subtracting its vector.  A vector has three parts:
 
-* ``EXACT`` lanes modulo 2^16 hashed from the whole paragraph, which decide
-  equality (256 bits);
+* ``EXACT`` lanes of 16 bits hashed from the whole paragraph, which decide
+  equality (256 bits from four hashes with seeds of their own);
 * ``LIKE`` lanes that add up one bit per three-word shingle of the paragraph
   (fewer words: the whole paragraph), which estimate likeness;
 * one lane that counts the shingles.
 
-The last two are sums modulo 2^32: a text holds fewer than 2^30 shingles, so
-neither the count nor a signed difference of two texts wraps.
+All lanes are sums modulo 2^32: a text holds fewer than 2^31 paragraphs and 2^30
+shingles, so no number of repeats brings a lane back to where it was, and neither the
+count nor a signed difference of two texts wraps.
 
 With ``n`` shingles and bit sums ``s`` a lane's signed sum is ``2 s - n``.  The
 difference of two such sums has, over the lanes, a mean square equal to the
@@ -65,7 +66,8 @@ def vectors(texts: DataFrame, keys: list[str]) -> DataFrame:
              .select(*keys, "paragraph", F.posexplode(F.concat(F.array(F.lit(0).cast("bigint")), _shingles())).alias("unit", "h")))
     whole, part = F.col("unit") == 0, F.col("unit") > 0
     # 16 bits of each of the paragraph's hashes per EXACT lane, only once per paragraph
-    hashes = [F.when(whole, F.xxhash64(F.col("paragraph"), F.lit(i))) for i in range(EXACT // 4)]
+    # the seed goes first: behind the paragraph it would only continue from one and the same 64 bits
+    hashes = [F.when(whole, F.xxhash64(F.lit(i), F.col("paragraph"))) for i in range(EXACT // 4)]
     units = units.select(*keys, "unit", "h", *[h.alias(f"x{i}") for i, h in enumerate(hashes)])
     like = [F.sum(F.when(part, F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_HALF))).otherwise(F.lit(0).cast("bigint"))).alias(c)
             for i, c in enumerate(_LIKE_SUMS)]
@@ -74,25 +76,20 @@ def vectors(texts: DataFrame, keys: list[str]) -> DataFrame:
     return units.groupBy(*keys).agg(*like, *exact, F.sum(part.cast("bigint")).alias("n"))
 
 
-def _modulus(i: Column) -> Column:
-    return F.when(i < EXACT, F.lit(LANE).cast("bigint")).otherwise(F.lit(WIDE))
-
-
 def lanes() -> Column:
-    """The fingerprint's lanes from the sums: EXACT modulo 2^16, LIKE and count modulo 2^32."""
+    """The fingerprint's lanes from the sums, modulo 2^32."""
     like = [x for c in _LIKE_SUMS for x in (F.col(c).bitwiseAND((1 << 31) - 1), F.shiftrightunsigned(c, 31))]
-    return F.transform(F.array(*[F.col(c) for c in _EXACT_SUMS], *like, F.col("n")), lambda x, i: F.pmod(x, _modulus(i)))
+    return F.transform(F.array(*[F.col(c) for c in _EXACT_SUMS], *like, F.col("n")), lambda x: F.pmod(x, F.lit(WIDE)))
 
 
 def as_text(lanes_col: str) -> Column:
-    """Four hexadecimal digits per EXACT lane, eight per other lane."""
-    return F.array_join(F.transform(lanes_col, lambda x, i: F.when(i < EXACT, F.lpad(F.lower(F.hex(x)), 4, "0"))
-                                    .otherwise(F.lpad(F.lower(F.hex(x)), 8, "0"))), "")
+    """Eight hexadecimal digits per lane."""
+    return F.array_join(F.transform(lanes_col, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Fingerprint lanes after adding (or, with -1, taking away) paragraphs' lanes ``b``."""
-    return F.transform(a, lambda x, i: F.pmod(x.cast("bigint") + sign * F.get(b, i).cast("bigint"), _modulus(i)))
+    return F.transform(a, lambda x, i: F.pmod(x.cast("bigint") + sign * F.get(b, i).cast("bigint"), F.lit(WIDE)))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -110,7 +107,7 @@ def likeness(a: str, b: str) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fingerprint, lanes)`` of every row; rows with equal id and text share theirs."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = rows.groupBy("id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")).agg(
+    keyed = rows.groupBy("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).agg(
         F.first("text").alias("text"), F.count("*").alias("copies"))
     summed = vectors(keyed, ["id", "h1", "h2", "copies"])
     return (summed.withColumn("lanes", lanes()).withColumn("fingerprint", as_text("lanes"))

@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import Staging
+from tillroll.llm.common import free_name, Staging
 
 PROBES = 32
 ROUNDS = 6
@@ -183,10 +183,12 @@ def draw(docs: DataFrame, target_entropy: float | None = None, most_epochs: floa
     borders = (_positions(partial, staging).where(F.col("before") < F.col("part"))
                .groupBy("source").agg(F.max(F.struct("h", "doc_id", "text_hash")).alias("border"))
                .select(F.col("source").alias("b_source"), "border"))
-    known = staging.put(sources.join(borders, F.col("p_source").eqNullSafe(F.col("b_source")), "left").drop("b_source"), "borders")
-    here = F.struct(F.xxhash64(docs[id_col], F.xxhash64(docs[text_col]), F.col("epochs").cast("int"), F.lit(SEED)).alias("h"),
+    # names that no column of the documents has
+    source, epochs, border, copy = (free_name(n, docs.columns) for n in ("source", "epochs", "border", "copy"))
+    known = staging.put(sources.join(borders, F.col("p_source").eqNullSafe(F.col("b_source")), "left").select(
+        F.col("p_source").alias(source), F.col("epochs").alias(epochs), F.col("border").alias(border)), "borders")
+    here = F.struct(F.xxhash64(docs[id_col], F.xxhash64(docs[text_col]), F.col(epochs).cast("int"), F.lit(SEED)).alias("h"),
                     docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"))
-    times = F.col("epochs") + F.when(F.col("border").isNotNull() & (here <= F.col("border")), 1).otherwise(0)
-    return (docs.join(known, docs[source_col].eqNullSafe(F.col("p_source")))
-            .withColumn("__n", times).where("__n > 0")
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*[docs[c] for c in docs.columns]))
+    times = (F.col(epochs) + F.when(F.col(border).isNotNull() & (here <= F.col(border)), 1).otherwise(0)).cast("int")
+    return (docs.join(known, docs[source_col].eqNullSafe(F.col(source)))
+            .withColumn(copy, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select(*[docs[c] for c in docs.columns]))

@@ -368,7 +368,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bounded_batches(docs.sparkSession)
     staging = Staging(docs.sparkSession, "quality")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    key = lambda i: F.xxhash64(F.col("lang").isNull(), "lang", "text", F.lit(i)).alias(f"h{i}")
+    key = lambda i: F.xxhash64(F.lit(i), F.col("lang").isNull(), "lang", "text").alias(f"h{i}")
     docs = docs.select("*", key(1), key(2))
     measured = perplexities(docs, word_model(docs, staging))
     id_type = docs.schema["doc_id"].dataType.simpleString()

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import Staging, bounded_batches
+from tillroll.llm.common import bounded_batches, free_name, Staging
 
 SAMPLE = 20_000
 STEMS = range(3, 10)
@@ -229,10 +229,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all by default) and ``score`` of every whole text."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None,
+          out: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) and the score ``out`` of every whole text.
+
+    A column of the documents with the name of the score gives way to it.
+    """
     bounded_batches(docs.sparkSession)
-    names = docs.columns if keep is None else keep
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() != out.lower()]
     extra = [] if text_col in names else [docs[text_col]]
     rows = docs.select(*[docs[c] for c in names], *extra)
     model_ref = docs.sparkSession.sparkContext.broadcast(model)
@@ -241,9 +245,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
         machine, m = model_ref.value.machine(), model_ref.value
         for batch in it:
             d = np.array([density(machine, t) for t in batch.column(text_col).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(m.score(d))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(m.score(d))], [*names, out])
 
-    schema = rows.select(*names).schema.add("score", "double")
+    schema = rows.select(*names).schema.add(out, "double")
     return rows.mapInArrow(run, schema)
 
 
@@ -251,6 +255,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose score reaches ``threshold``; same columns."""
     model = train(docs, labels, id_col, text_col)
-    marked = score(docs.withColumnsRenamed({"score": "__score"}), model, text_col)
-    return (marked.where(F.col("score") < threshold).drop("score")
-            .withColumnsRenamed({"__score": "score"}).select(*docs.columns))
+    out = free_name("score", docs.columns)
+    return score(docs, model, text_col, out=out).where(F.col(out) < threshold).select(*docs.columns)

@@ -105,7 +105,7 @@ def _parsed(value: Column) -> dict[str, Column]:
         "record_type": kind, "record_id": field(header, "WARC-Record-ID"), "refers_id": field(header, "WARC-Refers-To"),
         "uri": field(header, "WARC-Target-URI"), "named_digest": F.regexp_replace(field(header, "WARC-Payload-Digest"), "^sha1:", ""),
         "digest": F.when(stored, base32_sha1(F.encode(payload, "UTF-8"))),
-        "payload_bytes": F.when(stored, F.octet_length(payload)).otherwise(field(http, "Content-Length").try_cast("int")).cast("bigint"),
+        "payload_bytes": F.when(stored, F.octet_length(payload)).otherwise(field(http, "Content-Length").try_cast("bigint")),
         "payload": F.when(stored, payload)}
 
 
@@ -117,7 +117,7 @@ _CONTENT = ["h1", "h2"]
 
 
 def _content_key(value: Column) -> list[Column]:
-    return [F.xxhash64(value, F.lit(i)).alias(n) for i, n in enumerate(_CONTENT)]
+    return [F.xxhash64(F.lit(i), value).alias(n) for i, n in enumerate(_CONTENT)]
 
 
 def _candidates(spark: SparkSession, path: str, payloads: bool) -> DataFrame:

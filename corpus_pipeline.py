@@ -56,8 +56,8 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
-# The stages learn from the corpus or hash it in ways SQL does not have; tests
-# hold each against a brute-force version.
+# The stages learn from the corpus or hash it in ways SQL does not have; tests/llm
+# holds their operators, and the run's ids, columns and counts.
 ORACLE_SQL = None
 
 

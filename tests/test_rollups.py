@@ -62,6 +62,18 @@ def test_a_replaced_month_counts_once(spark, tmp_path):
     assert rollups.read(spark, root, ["all"]).count() == 2
 
 
+def test_two_writers_of_one_batch_count_once(spark, tmp_path, monkeypatch):
+    root, df = str(tmp_path / "r"), spark.createDataFrame(batch([1, 2], 6), SCHEMA)
+    rollups.add(spark, root, df, "a")
+    want = sorted(map(tuple, rollups.read(spark, root, ["all", "product"]).collect()), key=str)
+    # the second writer looked before the first one had published
+    monkeypatch.setattr(rollups, "_markers", lambda *_: [])
+    rollups.add(spark, root, df, "a")
+    monkeypatch.undo()
+    assert len(versions.names_in(spark, f"{root}/parts")) > len(rollups.parts(spark, root))
+    assert sorted(map(tuple, rollups.read(spark, root, ["all", "product"]).collect()), key=str) == want
+
+
 def test_an_empty_store_and_one_without_the_months(spark, tmp_path):
     root = str(tmp_path / "r")
     assert panel(stored_dashboard(spark, root), "kpis")[0][3] == 0.0

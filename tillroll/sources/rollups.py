@@ -82,9 +82,16 @@ def add(spark: SparkSession, root: str, df: DataFrame, batch: str, replace: bool
 
 
 def parts(spark: SparkSession, root: str) -> dict[str, list[str]]:
-    """Folders that count, per month: those from the last replacement on."""
+    """Folders that count, per month: those from the last replacement on.
+
+    A batch counts once per month, also if two writers added it at the same time.
+    """
     out: dict[str, list[str]] = {}
-    for month, _, kind, _, folder in _markers(spark, root):
+    seen: set[tuple[str, str]] = set()
+    for month, _, kind, batch, folder in _markers(spark, root):
+        if (month, batch) in seen:
+            continue
+        seen.add((month, batch))
         if kind == "replace":
             out[month] = []
         out.setdefault(month, []).append(f"{root}/{folder}/order_month={month}")

@@ -51,3 +51,14 @@ def test_shards_can_be_given_up():
 
 def test_empty(spark):
     assert sharding.assign(empty(spark), 4).count() == 0
+
+
+def test_two_writers_of_one_version(spark, tmp_path, monkeypatch):
+    """The first map counts, whole; no row comes twice."""
+    store, rows = str(tmp_path / "map"), [(i, "x" * (i % 90)) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sharding.assign(docs, 4, store).count()
+    first = sharding.latest_map(spark, store)
+    sharding.write_map(spark, store, 1, {s: 3 - v for s, v in first[1].items()})
+    assert sharding.latest_map(spark, store) == first
+    assert sharding.assign(docs, 4, store).count() == 500

@@ -18,6 +18,8 @@ every hashed column share a slot.  An empty table gives a map and no rows.
 from __future__ import annotations
 
 import heapq
+import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,20 +84,27 @@ def rebalance(mapping: dict[int, int], sizes: dict[int, int], shards: int) -> di
         load[empty] += sizes[slot]
 
 
+_MAP = "version int, vslot int, shard int, edit string"
+
+
 def latest_map(spark: SparkSession, store: str) -> tuple[int, dict[int, int]]:
-    """Version and slot map last written under ``store``; ``(0, {})`` when there is none."""
+    """Version and slot map last written under ``store``; ``(0, {})`` when there is none.
+
+    Of two maps that writers gave the same version, the one written first counts, whole, for every reader.
+    """
     if not path_exists(spark, store):
         return 0, {}
-    maps = spark.read.schema("version int, vslot int, shard int").parquet(store)
+    maps = spark.read.schema(_MAP).parquet(store)
     version = maps.agg(F.max("version")).first()[0] or 0
-    return version, {r["vslot"]: r["shard"] for r in maps.where(F.col("version") == version).collect()}
+    edit = maps.where(F.col("version") == version).agg(F.min("edit")).first()[0]
+    held = maps.where((F.col("version") == version) & (F.col("edit") == edit))
+    return version, {r["vslot"]: r["shard"] for r in held.collect()}
 
 
-def write_map(spark: SparkSession, store: str, version: int, mapping: dict[int, int]) -> DataFrame:
-    """Appends a version; earlier ones stay readable."""
+def write_map(spark: SparkSession, store: str, version: int, mapping: dict[int, int]) -> None:
+    """Adds a version as a folder of its own, so writers never touch each other's; earlier ones stay readable."""
     frame = spark.createDataFrame([(version, k, v) for k, v in sorted(mapping.items())], "version int, vslot int, shard int")
-    frame.coalesce(1).write.mode("append").parquet(store)
-    return frame.select("vslot", "shard")
+    frame.coalesce(1).write.parquet(f"{store}/edit={time.time_ns():020d}-{uuid.uuid4().hex}")
 
 
 def assign(docs: DataFrame, shards: int, store: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,9 +127,8 @@ def assign(docs: DataFrame, shards: int, store: str | None = None, id_col: str =
     mapping = rebalance(old, sizes, shards) if old else pack(sizes, shards)
     if mapping != old:
         write_map(spark, store, version + 1, mapping)
-    version, _ = latest_map(spark, store)
-    where = (spark.read.schema("version int, vslot int, shard int").parquet(store).where(F.col("version") == version)
-             .select("vslot", "shard"))
+        _, mapping = latest_map(spark, store)  # another writer's, if it came first
+    where = spark.createDataFrame(sorted(mapping.items()), "vslot int, shard int")  # at most SLOTS rows
     w = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     starts = staging.put(where.join(sums.select("vslot", "rows"), "vslot")
                          .withColumn("start", F.coalesce(F.sum("rows").over(w), F.lit(0))).select("vslot", "shard", "start"), "starts")

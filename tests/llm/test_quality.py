@@ -1,9 +1,11 @@
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
+import pytest
 from helpers import awkward, awkward_rows, empty
+from pyspark.sql import functions as F
 
 from tillroll.llm import quality
 from tillroll.llm.common import Staging
@@ -34,53 +36,6 @@ def test_counts_match_brute_force(spark):
         assert r["kept"] == (not failed and r["band_low"] <= r["log2_perplexity"] <= r["band_high"])
 
 
-def kneser_ney(texts):
-    """A plain interpolated modified Kneser-Ney model over bytes; returns p(gram)."""
-    grams = Counter()
-    for t in texts:
-        b = re.sub(rb"[ \t\n\r\x0b\x0c]+", b" ", b" " + t.encode() + b" ")
-        grams.update(b[i:i + 4] for i in range(len(b) - 3))
-    levels = {4: grams}
-    for n in (3, 2, 1):
-        levels[n] = Counter(g[1:] for g in levels[n + 1])
-    cut = {}
-    for n, level in levels.items():
-        c = Counter(level.values())
-        y = c[1] / (c[1] + 2 * c[2]) if c[1] + 2 * c[2] else 0
-        d = []
-        for i, default in ((1, 0.5), (2, 1.0), (3, 1.5)):
-            d.append(min(max(i - (i + 1) * y * c[i + 1] / c[i], 0.1), i) if c[i] and c[1] + 2 * c[2] else default)
-        cut[n] = lambda a, d=d: d[min(a, 3) - 1]
-    total, back = defaultdict(lambda: defaultdict(int)), defaultdict(lambda: defaultdict(float))
-    for n, level in levels.items():
-        for g, a in level.items():
-            total[n][g[:-1]] += a
-            back[n][g[:-1]] += cut[n](a)
-
-    def p(g):
-        n = len(g)
-        if n == 0:
-            return 1 / 256
-        if g[:-1] not in total[n]:
-            return p(g[1:])
-        a = levels[n].get(g, 0)
-        own = max(a - cut[n](a), 0) if a else 0
-        return own / total[n][g[:-1]] + back[n][g[:-1]] / total[n][g[:-1]] * p(g[1:])
-    return p
-
-
-def test_model_matches_a_plain_one(spark):
-    texts = ["the cat sat on the mat with the hat and the bat", "a cat and a hat sat on that mat", "this and that and the other thing"] * 2
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
-    model = quality.train(docs, Staging(spark, "test")).value
-    p = kneser_ney(texts)
-    for t in ["the cat sat", "that thing", "hat mat bat"]:
-        grams = quality._grams(quality._folded(t.encode()))
-        got = quality.log2_probability(model, "en", grams)
-        expected = [math.log2(p(int(g).to_bytes(4, "big"))) for g in grams]
-        assert np.allclose(got, expected, atol=1e-4)
-
-
 def test_bands_reject_noise_and_keep_prose(spark):
     rng = np.random.default_rng(1)
     syllables = ["ka", "lo", "mi", "ran", "tes", "vo", "shi", "ne"]
@@ -99,7 +54,7 @@ def test_empty(spark):
 
 
 def plain_pairs(texts):
-    """The same over pairs of words; returns p(word after context)."""
+    """A plain interpolated modified Kneser-Ney model over pairs of words; returns p(word after context)."""
     pairs = Counter()
     for t in texts:
         w = t.split()
@@ -136,14 +91,44 @@ def test_word_model_matches_a_plain_one(spark):
         assert math.isclose(r["log2_perplexity"], -sum(math.log2(p(c, x)) for c, x in zip([None, *w], w)) / len(w))
 
 
+def keyed(df):
+    key = lambda i: F.xxhash64(F.lit(i), F.col("lang").isNull(), "lang", "text").alias(f"h{i}")
+    return df.select("*", key(1), key(2))
+
+
 def test_model_grows_with_the_corpus_and_is_not_broadcast(spark):
     def size(n):
         docs = spark.createDataFrame([(" ".join(f"w{i * 200 + j}" for j in range(200)), "en") for i in range(n)], "text string, lang string")
-        return quality.word_model(docs, Staging(spark, "test")).count()
+        model = quality.word_model(keyed(docs), Staging(spark, "test"))
+        return model.where(F.col("kind") == quality.MODEL).agg(F.sum("n_keys")).first()[0]
     assert size(300) > 8 * size(30)
     assert not hasattr(quality, "SLOTS")
 
 
+def test_packed_arrays_round_trip():
+    rng = np.random.default_rng(3)
+    for values in ([], [0], [0, 255, 256], rng.integers(0, 1 << 64, 1000, dtype=np.uint64)):
+        values = np.array(values, np.uint64)
+        assert (quality._unpacked(quality._packed(values)) == values).all()
+        rising = np.sort(values)
+        assert (quality._unpacked_rising(quality._packed_rising(rising)) == rising).all()
+
+
+@pytest.mark.parametrize("grid, flush", [(1, 1 << 21), (3, 40), (20, 1000)])
+def test_perplexity_depends_on_neither_grid_nor_runs(spark, monkeypatch, grid, flush):
+    rng = np.random.default_rng(5)
+    texts = [" ".join("hot" if rng.random() < 0.34 else f"w{rng.integers(40)}" for _ in range(rng.integers(1, 60))) for _ in range(60)]
+    texts += texts[:20] + [texts[0]] * 30
+    monkeypatch.setattr(quality, "FLUSH", flush)
+    docs = keyed(spark.createDataFrame([(t, None) for t in texts], "text string, lang string").repartition(3))
+    got = docs.join(quality.perplexities(docs, quality.word_model(docs, Staging(spark, "test"), grid), grid), ["h1", "h2"]).collect()
+    p = plain_pairs(texts)
+    assert len(got) == len(texts)
+    for r in got:
+        w = r["text"].split()
+        assert math.isclose(r["log2_perplexity"], -sum(math.log2(p(c, x)) for c, x in zip([None, *w], w)) / len(w), rel_tol=1e-8)
+
+
 def test_unspaced_scripts_are_counted_by_character():
     assert quality._spaced("漢字かな".encode()).decode().split() == list("漢字かな")
     assert quality._spaced("ab漢c éñ ไทย".encode()).decode().split() == ["ab", "漢", "c", "éñ", *"ไทย"]

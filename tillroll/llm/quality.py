@@ -3,11 +3,19 @@
 The language model is an interpolated modified Kneser-Ney model over pairs of
 words, one per language, counted by Spark over every document.  A word is a run
 without white space; characters of scripts that do not set words apart (Chinese,
-Japanese, Thai, ...) are words of their own.  The model is a table keyed by full
-64-bit hashes, ``(gram, log2_p)``; it grows with the corpus, lies partitioned by
-hash and is joined to the documents' pairs, never broadcast.  As every document
-is counted, every pair has an entry.  A document's log2 perplexity is the mean
-of ``-log2 p`` over its words, the first one following the start of the text.
+Japanese, Thai, ...) are words of their own; all are known by 64-bit hashes.
+
+The model lies in the cells of a grid: a pair belongs to the row of its
+context's hash and the column of its word's hash, so that a context or a word
+that holds a third of all pairs is spread over a whole row or column.  A cell
+keeps sorted hash arrays (contexts, words, pairs) and an array of counts; the
+grid grows with the corpus.  Runs of texts are counted in their tasks first and
+sent as one compressed row per run and cell.  For scoring, each run sends the
+pairs of its distinct texts to the same cells, where they are found by binary
+search; a cell answers with one sum per text.  Sums are whole numbers (units of
+2^-32 bits), so no order of tasks changes them.  As every document is counted,
+every pair has an entry.  A document's log2 perplexity is the mean of ``-log2
+p`` over its words, the first one following the start of the text.
 
 A document is kept when its base rules hold and its log2 perplexity lies in
 its language's band: the median plus and minus ``LOWER`` / ``UPPER`` times the
@@ -18,26 +26,30 @@ shouting, tables, shuffled words and symbol noise above.
 
 Null, empty and white-only texts have zero counts and a null perplexity, and
 fail the base rules.  A null language is a language of its own.  Repeated rows
-and equal ids are scored row by row; other columns are ignored.
-
-``train`` and ``log2_probability`` are a byte 4-gram model of the same form for
-small corpora, held whole in memory; the query does not use it.
+and equal ids are scored row by row; other columns are ignored.  An empty table
+gives an empty result.  A text longer than a run is a run of its own, held in
+one task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm import tokens
 from tillroll.llm.common import Staging, bounded_batches
 
-ORDER = 4
-FLUSH = 1 << 22
+FLUSH = 1 << 21            # words of a run
+CELL_BYTES = 32 << 20      # text that a cell of the grid takes on average
+LEAST_GRID = 4
+UNITS = float(1 << 32)
 LOWER, UPPER = 5.0, 5.0
 LEAST_DEVIATION = 0.01
 SLACK_WORDS = 100
@@ -47,55 +59,9 @@ MOST_REPEATED_PERCENT = 30
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[[9, 10, 11, 12, 13]] = 32
-
-
-def _folded(raw: bytes) -> np.ndarray:
-    """Bytes with a leading space and each run of white space as one space."""
-    data = _FOLD[np.frombuffer(b" " + raw + b" ", np.uint8)]
-    space = data == 32
-    return data[~(space & np.concatenate(([False], space[:-1])))]
-
-
-def _grams(data: np.ndarray) -> np.ndarray:
-    """Every run of ``ORDER`` bytes, packed in big-endian order."""
-    n = len(data) - ORDER + 1
-    if n <= 0:
-        return np.zeros(0, np.uint32)
-    out = np.zeros(n, np.uint32)
-    for i in range(ORDER):
-        out = (out << np.uint32(8)) | data[i:i + n]
-    return out
 
-
-def _count_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str | None, list[np.ndarray]] = {}
-    size = 0
-
-    def flush():
-        for lang, parts in held.items():
-            values = np.sort(np.concatenate(parts))
-            if len(values):
-                first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(first), pa.string()), pa.array(values[first].astype(np.int64)),
-                     pa.array(np.diff(np.append(first, len(values))))], ["lang", "gram", "c"])
-
-    for batch in it:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        for lang, raw in zip(batch.column("lang").to_pylist(), texts):
-            grams = _grams(_folded(raw or b""))
-            held.setdefault(lang, []).append(grams)
-            size += len(grams)
-            if size >= FLUSH:
-                yield from flush()
-                held, size = {}, 0
-    yield from flush()
-
-
-def _slot(lang_hash, order: int, gram: np.ndarray) -> np.ndarray:
-    return tokens.mix(gram.astype(np.uint64) + np.uint64(order << 40) ^ np.uint64(lang_hash)).view(np.int64)
+_ALONE = np.zeros(256, bool)
+_ALONE[0xE3:0xF5] = True  # kana, Chinese, Hangul, symbols beyond the base plane
 
 
 def _lang_hash(lang: str | None) -> int:
@@ -104,119 +70,6 @@ def _lang_hash(lang: str | None) -> int:
     return int(tokens.mix(np.array([(tokens.mix(raw + weights)).sum(dtype=np.uint64)], np.uint64))[0])
 
 
-def _slot_pass(order: int):
-    """Adds the slot of each n-gram or context."""
-    def run(it):
-        for batch in it:
-            langs = batch.column("lang").to_pylist()
-            gram = batch.column("gram").to_numpy()
-            hashes = {x: _lang_hash(x) for x in set(langs)}
-            slot = _slot(0, order, gram.astype(np.uint64) ^ np.array([hashes[x] for x in langs], np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(slot), batch.column("value")], ["slot", "value"])
-    return run
-
-
-def count_grams(docs: DataFrame, staging: Staging) -> DataFrame:
-    """``(lang, gram, c)`` over all documents."""
-    pieces = docs.select("lang", "text").mapInArrow(_count_pass, "lang string, gram bigint, c bigint")
-    return staging.put(pieces.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "grams")
-
-
-def _discounted(level: DataFrame) -> DataFrame:
-    """``level (lang, a, ...)`` with the discount ``d`` of its language and count."""
-    n = [F.count_if(F.col("a") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
-    part = level.groupBy("lang").agg(*n).selectExpr(
-        "lang",
-        "least(greatest(coalesce(1 - 2 * try_divide(n1, n1 + 2 * n2) * try_divide(n2, n1), 0.5D), 0.1D), 1D) d1",
-        "least(greatest(coalesce(2 - 3 * try_divide(n1, n1 + 2 * n2) * try_divide(n3, n2), 1D), 0.1D), 2D) d2",
-        "least(greatest(coalesce(3 - 4 * try_divide(n1, n1 + 2 * n2) * try_divide(n4, n3), 1.5D), 0.1D), 3D) d3")
-    part = part.select(F.col("lang").alias("dl"), "d1", "d2", "d3")
-    return level.join(part, F.col("lang").eqNullSafe(F.col("dl"))).drop("dl").withColumn(
-        "d", F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3")))
-
-
-def kneser_ney(counts: DataFrame, staging: Staging) -> list[dict[str, DataFrame]]:
-    """Per order, lowest first: ``p (lang, gram, p)`` and ``backoff (lang, gram, g)``.
-
-    The highest order uses counts, the lower ones the number of distinct
-    bytes seen before the n-gram.
-    """
-    levels = [counts.select("lang", "gram", F.col("c").alias("a"))]
-    for order in range(ORDER - 1, 0, -1):
-        suffix = F.col("gram").bitwiseAND((1 << 8 * order) - 1)
-        levels.append(levels[-1].groupBy("lang", suffix.alias("gram")).agg(F.count("*").alias("a")))
-    levels.reverse()
-    out: list[dict[str, DataFrame]] = []
-    for order, level in enumerate(levels, 1):
-        level = staging.put(level, f"level{order}")
-        cut = _discounted(level)
-        context = F.shiftright("gram", 8)
-        totals = staging.put(
-            cut.groupBy("lang", context.alias("gram"))
-            .agg(F.sum("a").alias("t"), (F.sum("d") / F.sum("a")).alias("g")), f"context{order}")
-        named = lambda df, key, *cols: df.select(F.col("lang").alias("l2"), F.col("gram").alias(key), *cols)
-        p = (cut.withColumn("ctx", context)
-             .join(named(totals, "ctx2", "t", "g"), F.col("lang").eqNullSafe(F.col("l2")) & (F.col("ctx") == F.col("ctx2"))).drop("l2"))
-        own = F.greatest(F.col("a") - F.col("d"), F.lit(0.0)) / F.col("t")
-        if order == 1:
-            p = p.select("lang", "gram", (own + F.col("g") / 256).alias("p"))
-        else:
-            lower = named(out[-1]["p"], "low", F.col("p").alias("q"))
-            suffix = F.col("gram").bitwiseAND((1 << 8 * (order - 1)) - 1)
-            p = (p.withColumn("suffix", suffix)
-                 .join(lower, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("suffix") == F.col("low")))
-                 .select("lang", "gram", (own + F.col("g") * F.col("q")).alias("p")))
-        out.append({"p": staging.put(p, f"p{order}"), "backoff": totals.select("lang", "gram", "g")})
-    return out
-
-
-def _arrays(df: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted 64-bit keys and log2 values."""
-    value = F.log2(df[df.columns[-1]]).cast("float").alias("value")
-    rows = (df.select("lang", "gram", value).mapInArrow(_slot_pass(order), "slot bigint, value float").toArrow())
-    slots, values = rows["slot"].to_numpy(), rows["value"].to_numpy()
-    at = np.argsort(slots)
-    return slots[at], values[at]
-
-
-def train(docs: DataFrame, staging: Staging):
-    """The broadcast model: per order ``(slots, log2 p, context slots, log2 back-off)``."""
-    levels = kneser_ney(count_grams(docs, staging), staging)
-    model = [(*_arrays(x["p"], order), *_arrays(x["backoff"], order)) for order, x in enumerate(levels, 1)]
-    return docs.sparkSession.sparkContext.broadcast(model)
-
-
-def _find(slots: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.searchsorted(slots, wanted)
-    at[at == len(slots)] = 0
-    return at, slots[at] == wanted
-
-
-def log2_probability(model, lang: str | None, grams: np.ndarray) -> np.ndarray:
-    """log2 p of each n-gram's last byte given those before it."""
-    code = np.uint64(_lang_hash(lang))
-    out = np.zeros(len(grams))
-    todo = np.arange(len(grams))
-    for order in range(ORDER, 0, -1):
-        slots, p, contexts, backoff = model[order - 1]
-        if not len(slots) or not len(todo):
-            break
-        gram = grams[todo].astype(np.uint64) & np.uint64((1 << 8 * order) - 1)
-        at, hit = _find(slots, _slot(0, order, gram ^ code))
-        out[todo[hit]] += p[at[hit]]
-        todo, gram = todo[~hit], gram[~hit]
-        at, hit = _find(contexts, _slot(0, order, (gram >> np.uint64(8)) ^ code))
-        out[todo[hit]] += backoff[at[hit]]
-    out[todo] += -8.0  # a byte never seen in this language
-    return out
-
-
-_ALONE = np.zeros(256, bool)
-_ALONE[0xE3:0xF5] = True  # kana, Chinese, Hangul, symbols beyond the base plane
-_BYTE_CODE = np.random.default_rng(20240811).integers(1, 1 << 64, 256, dtype=np.uint64)
-_CONTEXT, _WORD = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
-
-
 def _spaced(raw: bytes) -> bytes:
     """The text with spaces around the characters of scripts that do not set words apart."""
     data = np.frombuffer(raw, np.uint8)
@@ -234,91 +87,301 @@ def _spaced(raw: bytes) -> bytes:
     return np.insert(data, cut, np.uint8(32)).tobytes()
 
 
-def _pairs(raw: bytes | None, code: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the words of a text and of the ones before them; ``code`` stands before the first."""
-    hashes = tokens.mix(tokens.words(_spaced(raw or b""))[0] + code)
-    return np.concatenate(([code], hashes[:-1])) if len(hashes) else hashes, hashes
+def _packed(values: np.ndarray) -> bytes:
+    """Unsigned numbers as compressed byte planes of the least width."""
+    values = np.ascontiguousarray(values, dtype="<u8")
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    planes = values.view(np.uint8).reshape(-1, 8)[:, :width].T
+    body = np.ascontiguousarray(planes).tobytes()
+    return bytes([width]) + len(values).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
 
-def _gram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return tokens.mix(context * _CONTEXT + tokens.mix(word * _WORD))
+def _unpacked(raw: bytes) -> np.ndarray:
+    width, n = raw[0], int.from_bytes(raw[1:9], "little")
+    out = np.zeros((n, 8), np.uint8)
+    body = pa.decompress(raw[9:], decompressed_size=width * n, codec="zstd", asbytes=True) if n else b""
+    out[:, :width] = np.frombuffer(body, np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
 
 
-def _long(values: np.ndarray) -> pa.Array:
-    return pa.array(values.view(np.int64))
+def _packed_rising(values: np.ndarray) -> bytes:
+    return _packed(np.diff(values.astype(np.uint64), prepend=np.uint64(0)))
 
 
-def _pair_count_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
-    size = 0
+def _unpacked_rising(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(raw), dtype=np.uint64)
 
-    def flush():
-        for lang, parts in held.items():
-            context, word = (np.concatenate(x) for x in zip(*parts))
-            gram, first, c = np.unique(_gram(context, word), return_index=True, return_counts=True)
-            if len(gram):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(gram), np.int32))), _long(gram), _long(context[first]),
-                     _long(word[first]), pa.array(c.astype(np.int64))], ["lang", "gram", "context", "word", "c"])
 
-    for batch in it:
-        for lang, raw in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-            held.setdefault(lang, []).append(_pairs(raw, np.uint64(_lang_hash(lang))))
-            size += len(held[lang][-1][0])
-            if size >= FLUSH:
-                yield from flush()
-                held, size = {}, 0
-    yield from flush()
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
 
+_PARTS = pa.schema([("cell", pa.int32()), ("lang", pa.string()), ("kind", pa.int32()), ("batch", pa.int64()),
+                    *((c, pa.binary()) for c in ("context", "word", "x", "y", "z", "k"))])
+_PARTS_DDL = ("cell int, lang string, kind int, batch bigint, context binary, word binary, x binary, y binary, z binary, k binary")
+CONTEXTS, WORDS, MODEL, TEXTS, NAMES = range(5)     # kinds of rows, in the order a cell reads them
 
-def _pair_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's distinct pairs and how often it has them (``k``)."""
-    names = ["h1", "h2", "gram", "k"]
+
+def _gathered(it: Iterator[pa.RecordBatch], take, flush: int):
+    """Runs of words: texts of one language, each distinct text once with its number of copies."""
+    held: dict[str | None, dict[tuple[int, int], list]] = {}
+    size = 0
     for batch in it:
-        out: list[list[np.ndarray]] = [[] for _ in names]
-        size = 0
         rows = zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(),
                    batch.column("h1").to_pylist(), batch.column("h2").to_pylist())
         for lang, raw, h1, h2 in rows:
-            context, word = _pairs(raw, np.uint64(_lang_hash(lang)))
-            if not len(word):
+            own = held.setdefault(lang, {})
+            if (h1, h2) in own:
+                own[h1, h2][1] += 1
                 continue
-            gram, k = np.unique(_gram(context, word), return_counts=True)
-            for x, v in zip(out, (np.full(len(gram), h1), np.full(len(gram), h2), gram.view(np.int64), k)):
-                x.append(v)
-            size += len(gram)
-            if size >= FLUSH >> 4:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
-                out, size = [[] for _ in names], 0
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
-
-
-def word_model(docs: DataFrame, staging: Staging) -> DataFrame:
-    """``(gram, log2_p)`` of every pair of words in ``docs (lang, text)``."""
-    found = docs.select("lang", "text").mapInArrow(
-        _pair_count_pass, "lang string, gram bigint, context bigint, word bigint, c bigint")
-    grams = staging.put(found.groupBy("lang", "gram", "context", "word").agg(F.sum("c").alias("a")), "pairs")
-    # lower order: how many words a word follows, interpolated with an even share of the words and one unseen
-    words = _discounted(staging.put(grams.groupBy("lang", "word").agg(F.count("*").alias("a")), "words"))
-    totals = words.groupBy(F.col("lang").alias("l2")).agg(
-        F.sum("a").alias("t"), F.sum("d").alias("s"), F.count("*").alias("v"))
-    low = (words.join(totals, F.col("lang").eqNullSafe(F.col("l2")))
-           .select("word", ((F.greatest(F.col("a") - F.col("d"), F.lit(0.0)) + F.col("s") / (F.col("v") + 1)) / F.col("t")).alias("q")))
-    cut = _discounted(grams)
-    contexts = cut.groupBy("context").agg(F.sum("a").alias("t"), (F.sum("d") / F.sum("a")).alias("g"))
-    p = F.greatest(F.col("a") - F.col("d"), F.lit(0.0)) / F.col("t") + F.col("g") * F.col("q")
-    return staging.put(cut.join(contexts, "context").join(low, "word").select("gram", F.log2(p).alias("log2_p")), "model")
-
-
-def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
+            words = tokens.mix(tokens.words(_spaced(raw or b""))[0] + np.uint64(_lang_hash(lang)))
+            own[h1, h2] = [words, 1]
+            size += len(words)
+            if size >= flush:
+                for x, texts in held.items():
+                    yield from take(x, texts)
+                held, size = {}, 0
+    for x, texts in held.items():
+        yield from take(x, texts)
+
+
+def _cut_pass(grid: int, scoring: bool):
+    """Pairs of words dealt to the cells of the grid (context's hash, word's hash).
+
+    For counting a row holds a run's distinct pairs of a cell and their counts,
+    for scoring the pairs of each text of the run.
+    """
+    flush = FLUSH
+
+    def run(it):
+
+        here = TaskContext.get().partitionId() << 32
+        number = [0]
+
+        def take(lang, texts):
+            texts = {key: v for key, v in texts.items() if len(v[0])}
+            if not texts:
+                return
+            code = np.uint64(_lang_hash(lang))
+            lengths = np.array([len(v[0]) for v in texts.values()])
+            known, at = np.unique(np.concatenate([*(v[0] for v in texts.values()), [code]]), return_inverse=True)
+            word, starts = at[:-1], np.cumsum(lengths) - lengths
+            context = np.concatenate((at[-1:], word[:-1]))
+            context[starts] = at[-1]
+            doc = np.repeat(np.arange(len(texts)), lengths)
+            weight = np.repeat(np.array([v[1] for v in texts.values()]), lengths)
+            slot = (known % np.uint64(grid)).astype(np.int64)
+            cell = slot[context] * grid + slot[word]
+            order = np.argsort(cell.astype(np.uint16) if grid <= 256 else cell, kind="stable")
+            ends = np.flatnonzero(np.diff(cell[order], append=-1)) + 1
+            batch = here + number[0]
+            number[0] += 1
+            for a, b in zip(np.concatenate(([0], ends[:-1])), ends):
+                own = order[a:b]
+                contexts, c = np.unique(context[own], return_inverse=True)
+                words, w = np.unique(word[own], return_inverse=True)
+                pair = c * len(words) + w
+                x = y = z = None
+                if scoring:
+                    span = len(contexts) * len(words)
+                    keys, k = np.unique(doc[own] * span + pair, return_counts=True)
+                    pair = keys % span
+                    x, y, z = _packed_rising(keys // span), _packed(pair // len(words)), _packed(pair % len(words))
+                else:
+                    keys, back = np.unique(pair, return_inverse=True)
+                    k = np.bincount(back, weights=weight[own])
+                    x = _packed_rising(keys)
+                row = (int(cell[own[0]]), lang, TEXTS, batch, _packed_rising(known[contexts]), _packed_rising(known[words]),
+                       x, y, z, _packed(k))
+                yield _rows([row], _PARTS)
+            if scoring:
+                names = np.array(list(texts), np.int64).view(np.uint64)
+                yield _rows([(batch % (grid * grid), lang, NAMES, batch, None, None, _packed(names[:, 0]), _packed(names[:, 1]),
+                              None, _packed(lengths))], _PARTS)
+        yield from _gathered(it, take, flush)
+    return run
+
+
+def _grouped(it: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, Iterator[dict]]]:
+    """Consecutive rows of equal ``names``, read one by one."""
+    def rows():
+        for batch in it:
+            for i in range(batch.num_rows):
+                yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+    yield from groupby(rows(), key=lambda r: tuple(r[n] for n in names))
+
+
+def _merged(parts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted distinct hashes of all parts, and each part's places among them."""
+    known = np.unique(np.concatenate(parts))
+    return known, [np.searchsorted(known, p) for p in parts]
+
+
+def _how_many(values: np.ndarray) -> list[int]:
+    return [int((values == i).sum()) for i in (1, 2, 3, 4)]
+
+
+_COUNTS = ["n1", "n2", "n3", "n4", "total", "n_keys"]
+_MODEL = pa.schema([*_PARTS, *((c, pa.int64()) for c in _COUNTS)])
+_MODEL_DDL = _PARTS_DDL + "".join(f", {c} bigint" for c in _COUNTS)
+
+
+def _count_pass(grid: int):
+    """A cell's sorted pairs with their counts, and what it knows of its contexts and words."""
+    def run(it):
+        for (cell, lang), rows in _grouped(it, ["cell", "lang"]):
+            rows = list(rows)
+            contexts, c_at = _merged([_unpacked_rising(r["context"]) for r in rows])
+            words, w_at = _merged([_unpacked_rising(r["word"]) for r in rows])
+            pairs = []
+            for r, c, w in zip(rows, c_at, w_at):
+                pair = _unpacked_rising(r["x"]).astype(np.int64)
+                pairs.append(c[pair // len(w)] * len(words) + w[pair % len(w)])
+            keys, back = np.unique(np.concatenate(pairs), return_inverse=True)
+            count = np.bincount(back, weights=np.concatenate([_unpacked(r["k"]) for r in rows])).astype(np.int64)
+            c, w = keys // len(words), keys % len(words)
+            of = lambda kept: np.bincount(c[kept], minlength=len(contexts))
+            yield _rows([
+                (cell // grid, lang, CONTEXTS, 0, _packed_rising(contexts), None, _packed(of(count == 1)), _packed(of(count == 2)),
+                 _packed(of(count > 2)), _packed(np.bincount(c, weights=count)), *[None] * 6),
+                (cell % grid, lang, WORDS, 0, None, _packed_rising(words), _packed(np.bincount(w)), None, None, None, *[None] * 6),
+                (cell, lang, MODEL, 0, _packed_rising(contexts), _packed_rising(words), _packed_rising(keys), None, None,
+                 _packed(count), *_how_many(count), int(count.sum()), len(keys))], _MODEL)
+    return run
+
+
+def _sum_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per kind, slot and language: the cells' numbers per context or word, summed."""
+    for (kind, slot, lang), rows in _grouped(it, ["kind", "cell", "lang"]):
+        rows = list(rows)
+        name, columns = ("context", "xyzk") if kind == CONTEXTS else ("word", "x")
+        known, at = _merged([_unpacked_rising(r[name]) for r in rows])
+        sums = {}
+        for col in columns:
+            sums[col] = np.zeros(len(known), np.int64)
+            for r, a in zip(rows, at):
+                sums[col][a] += _unpacked(r[col]).astype(np.int64)
+        keys = _packed_rising(known)
+        yield _rows([(slot, lang, kind, 0, keys if kind == CONTEXTS else None, keys if kind == WORDS else None,
+                      *(_packed(sums[c]) if c in sums else None for c in "xyzk"),
+                      *_how_many(sums["x"]), int(sums["x"].sum()), len(known))], _MODEL)
+
+
+def _discounts(rows: DataFrame, prefix: str) -> DataFrame:
+    """Per language the three discounts and the sums they need."""
+    n = rows.groupBy("lang").agg(*(F.sum(c).cast("double").alias(c) for c in _COUNTS))
+    return n.selectExpr(
+        f"lang {prefix}lang", f"total {prefix}total", f"n_keys {prefix}keys", f"n1 {prefix}n1", f"n2 {prefix}n2",
+        f"least(greatest(coalesce(1 - 2 * try_divide(n1, n1 + 2 * n2) * try_divide(n2, n1), 0.5D), 0.1D), 1D) {prefix}d1",
+        f"least(greatest(coalesce(2 - 3 * try_divide(n1, n1 + 2 * n2) * try_divide(n3, n2), 1D), 0.1D), 2D) {prefix}d2",
+        f"least(greatest(coalesce(3 - 4 * try_divide(n1, n1 + 2 * n2) * try_divide(n4, n3), 1.5D), 0.1D), 3D) {prefix}d3")
+
+
+def _by_cell(parts: DataFrame, cells: int, *keys: str) -> DataFrame:
+    return parts.repartition(cells, *keys).sortWithinPartitions(*keys)
+
+
+def grid_of(docs: DataFrame) -> int:
+    """Cells a side, so that a cell takes about ``CELL_BYTES`` of text."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(LEAST_GRID, math.ceil(math.sqrt(size / CELL_BYTES)))
+
+
+def word_model(docs: DataFrame, staging: Staging, grid: int | None = None) -> DataFrame:
+    """The model of ``docs (lang, text, h1, h2)`` as sorted hash arrays.
+
+    A ``MODEL`` row holds a cell's pairs in order with their counts (``n_keys``
+    of them), ``CONTEXTS`` and ``WORDS`` rows a slot's hashes in order with
+    what the discounts need.
+    """
+    grid = grid or grid_of(docs)
+    cut = docs.select("lang", "text", "h1", "h2").mapInArrow(_cut_pass(grid, False), _PARTS_DDL)
+    counted = staging.put(_by_cell(cut, grid * grid, "cell", "lang").mapInArrow(_count_pass(grid), _MODEL_DDL), "counted")
+    sides = _by_cell(counted.where(F.col("kind") != MODEL), 2 * grid, "kind", "cell", "lang").mapInArrow(_sum_pass, _MODEL_DDL)
+    return counted.where(F.col("kind") == MODEL).unionAll(staging.put(sides, "sides"))
+
+
+_SUMS = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("k", pa.binary())])
+_SUMS_DDL = "batch bigint, kind int, x binary, y binary, k binary"
+_DISCOUNT_COLS = [f"{p}{c}" for p in ("p_", "w_") for c in ("total", "keys", "n1", "n2", "d1", "d2", "d3")]
+
+
+def _discounted(count: np.ndarray, row: dict, prefix: str) -> np.ndarray:
+    return np.maximum(count - np.choose(np.clip(count, 1, 3) - 1, [row[f"{prefix}d{i}"] for i in (1, 2, 3)]), 0.0)
+
+
+def _look_up_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of ``-log2 p`` per text and cell, in units of 2^-32: the pairs of the texts are
+    found in the cell's sorted arrays by binary search."""
+    for _, rows in _grouped(it, ["cell", "lang"]):
+        side: dict[int, tuple] = {}
+        for r in rows:
+            if r["kind"] == NAMES:
+                yield _rows([(r["batch"], NAMES, r["x"], r["y"], r["k"])], _SUMS)
+            elif r["kind"] == CONTEXTS:
+                n1, n2, n3, total = (_unpacked(r[c]).astype(np.float64) for c in "xyzk")
+                left = (r["p_d1"] * n1 + r["p_d2"] * n2 + r["p_d3"] * n3) / total
+                side[CONTEXTS] = _unpacked_rising(r["context"]), total, left
+            elif r["kind"] == WORDS:
+                # how many words a word follows, interpolated with an even share of the words and one unseen
+                lent = r["w_d1"] * r["w_n1"] + r["w_d2"] * r["w_n2"] + r["w_d3"] * (r["w_keys"] - r["w_n1"] - r["w_n2"])
+                own = _discounted(_unpacked(r["x"]).astype(np.int64), r, "w_")
+                side[WORDS] = _unpacked_rising(r["word"]), (own + lent / (r["w_keys"] + 1)) / r["w_total"]
+            elif r["kind"] == MODEL:
+                contexts, words = _unpacked_rising(r["context"]), _unpacked_rising(r["word"])
+                keys, count = _unpacked_rising(r["x"]).astype(np.int64), _unpacked(r["k"]).astype(np.int64)
+                (known, total, left), (seen, low) = side[CONTEXTS], side[WORDS]
+                c = np.searchsorted(known, contexts)[keys // len(words)]
+                w = np.searchsorted(seen, words)[keys % len(words)]
+                p = _discounted(count, r, "p_") / total[c] + left[c] * low[w]
+                value = np.rint(-np.log2(p) * UNITS).astype(np.int64)
+            else:
+                c, w = np.searchsorted(contexts, _unpacked_rising(r["context"])), np.searchsorted(words, _unpacked_rising(r["word"]))
+                pair = c[_unpacked(r["y"]).astype(np.int64)] * len(words) + w[_unpacked(r["z"]).astype(np.int64)]
+                said = value[np.searchsorted(keys, pair)] * _unpacked(r["k"]).astype(np.int64)
+                doc = _unpacked_rising(r["x"])
+                first = np.flatnonzero(np.diff(doc, prepend=doc[:1] + np.uint64(1)))
+                yield _rows([(r["batch"], TEXTS, _packed_rising(doc[first]), _packed(np.add.reduceat(said, first)), None)], _SUMS)
+
+
+def _mean_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the cells' sums up, run by run; the run's names come last."""
+    for _, rows in _grouped(it, ["batch"]):
+        parts = []
+        for r in rows:
+            if r["kind"] == TEXTS:
+                parts.append((_unpacked_rising(r["x"]).astype(np.int64), _unpacked(r["y"]).astype(np.int64)))
+                continue
+            n = _unpacked(r["k"]).astype(np.int64)
+            total = np.zeros(len(n), np.int64)
+            for at, said in parts:
+                total[at] += said
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_unpacked(r["x"]).view(np.int64)), pa.array(_unpacked(r["y"]).view(np.int64)), pa.array(total / UNITS / n)],
+                ["h1", "h2", "log2_perplexity"])
+
+
+def perplexities(docs: DataFrame, model: DataFrame, grid: int) -> DataFrame:
     """``(h1, h2, log2_perplexity)`` of each distinct text of ``docs (lang, text, h1, h2)`` that has words.
 
     Rows of equal text and language share their key: a mean does not change with copies.
     """
-    pairs = docs.select("lang", "text", "h1", "h2").mapInArrow(_pair_pass, "h1 bigint, h2 bigint, gram bigint, k bigint")
-    scored = pairs.join(model, "gram").select("h1", "h2", "k", (F.col("k") * F.col("log2_p")).alias("s"))
-    return scored.groupBy("h1", "h2").agg((-F.sum("s") / F.sum("k")).alias("log2_perplexity"))
+    cells = F.sequence(F.lit(0), F.lit(grid - 1))
+    where = (F.when(F.col("kind") == CONTEXTS, F.transform(cells, lambda i: F.col("cell") * grid + i))
+             .when(F.col("kind") == WORDS, F.transform(cells, lambda i: i * grid + F.col("cell")))
+             .otherwise(F.array("cell")))
+    pairs, words = (_discounts(model.where(F.col("kind") == kind), p) for kind, p in ((MODEL, "p_"), (WORDS, "w_")))
+    names = [f.name for f in _PARTS]
+    known = (model.withColumn("cell", F.explode(where)).select(*names)
+             .join(pairs, F.col("lang").eqNullSafe(F.col("p_lang"))).join(words, F.col("lang").eqNullSafe(F.col("w_lang"))))
+    nothing = [F.lit(None).cast("double").alias(c) for c in _DISCOUNT_COLS]
+    cut = docs.select("lang", "text", "h1", "h2").mapInArrow(_cut_pass(grid, True), _PARTS_DDL).select(*names, *nothing)
+    both = known.select(*names, *_DISCOUNT_COLS).unionAll(cut)
+    dealt = both.repartition(grid * grid, "cell").sortWithinPartitions("cell", "lang", "kind")
+    sums = dealt.mapInArrow(_look_up_pass, _SUMS_DDL)
+    means = sums.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(
+        _mean_pass, "h1 bigint, h2 bigint, log2_perplexity double")
+    return means.groupBy("h1", "h2").agg(F.max("log2_perplexity").alias("log2_perplexity"))
 
 
 def _repeated(grams: np.ndarray, n_words: int) -> int:
@@ -370,7 +433,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     key = lambda i: F.xxhash64(F.lit(i), F.col("lang").isNull(), "lang", "text").alias(f"h{i}")
     docs = docs.select("*", key(1), key(2))
-    measured = perplexities(docs, word_model(docs, staging))
+    grid = grid_of(docs)
+    measured = perplexities(docs, word_model(docs, staging, grid), grid)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.mapInArrow(
         _score_pass(), f"doc_id {id_type}, lang string, h1 bigint, h2 bigint, n_words bigint, word_chars bigint, n_symbols bigint, "

@@ -12,6 +12,7 @@ from tillroll.session import ensure_checkpoint_dir, remove_path
 # Rows per Arrow batch handed to a Python worker: a batch of whole texts then
 # stays at a few MB for usual documents.
 ARROW_ROWS = 512
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +36,8 @@ class Staging:
     """Intermediate tables in the folder that the whole cluster shares.
 
     A staged table cuts the lineage: a lost executor never re-runs what came
-    before it.  ``drop`` removes tables that no later result reads.
+    before it.  ``drop`` removes tables that no later result reads.  The shuffle
+    files of the write go when it has ended, as nothing reads them again.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -49,7 +51,12 @@ class Staging:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        before = self.spark.conf.get(SHUFFLE_CLEANUP, "false")
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(SHUFFLE_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_path = path
         return out

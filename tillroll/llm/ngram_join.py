@@ -394,7 +394,7 @@ class _Join:
                               .select(F.col("root").alias("node"), "root"))
         out = known.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         out = st.put(out.distinct(), "roots")
-        st.drop(chain, first, apart)
+        st.drop(chain, first, apart, second, rest)
         return out
 
     def _rest(self, apart: DataFrame, comp: DataFrame) -> DataFrame:
@@ -417,7 +417,9 @@ class _Join:
                          F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
                          "node", "comp", "n", "bits"))
         dealt = dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
-        return dealt.mapInArrow(_block_pass(self.percent), "a bigint, b bigint")
+        found = st.put(dealt.mapInArrow(_block_pass(self.percent), "a bigint, b bigint").distinct(), "block-pairs")
+        st.drop(post, blocks)
+        return found
 
 
 def _members(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:

@@ -434,7 +434,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     key = lambda i: F.xxhash64(F.lit(i), F.col("lang").isNull(), "lang", "text").alias(f"h{i}")
     docs = docs.select("*", key(1), key(2))
     grid = grid_of(docs)
-    measured = perplexities(docs, word_model(docs, staging, grid), grid)
+    measured = staging.put(perplexities(docs, word_model(docs, staging, grid), grid), "perplexities")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.mapInArrow(
         _score_pass(), f"doc_id {id_type}, lang string, h1 bigint, h2 bigint, n_words bigint, word_chars bigint, n_symbols bigint, "

@@ -119,7 +119,7 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 _PARTS = pa.schema([("cell", pa.int32()), ("lang", pa.string()), ("kind", pa.int32()), ("batch", pa.int64()),
                     *((c, pa.binary()) for c in ("context", "word", "x", "y", "z", "k"))])
 _PARTS_DDL = ("cell int, lang string, kind int, batch bigint, context binary, word binary, x binary, y binary, z binary, k binary")
-CONTEXTS, WORDS, MODEL, TEXTS, NAMES = range(5)     # kinds of rows, in the order a cell reads them
+DISCOUNTS, CONTEXTS, WORDS, MODEL, TEXTS, NAMES = range(-1, 5)     # kinds of rows, in the order a cell reads them
 
 
 def _gathered(it: Iterator[pa.RecordBatch], take, flush: int):
@@ -303,11 +303,11 @@ def word_model(docs: DataFrame, staging: Staging, grid: int | None = None) -> Da
 
 _SUMS = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("k", pa.binary())])
 _SUMS_DDL = "batch bigint, kind int, x binary, y binary, k binary"
-_DISCOUNT_COLS = [f"{p}{c}" for p in ("p_", "w_") for c in ("total", "keys", "n1", "n2", "d1", "d2", "d3")]
+_DISCOUNT_COLS = [*(f"{p}{c}" for p in ("p_", "w_") for c in ("d1", "d2", "d3")), "w_total", "w_keys", "w_n1", "w_n2"]
 
 
-def _discounted(count: np.ndarray, row: dict, prefix: str) -> np.ndarray:
-    return np.maximum(count - np.choose(np.clip(count, 1, 3) - 1, [row[f"{prefix}d{i}"] for i in (1, 2, 3)]), 0.0)
+def _discounted(count: np.ndarray, rates: dict, prefix: str) -> np.ndarray:
+    return np.maximum(count - np.choose(np.clip(count, 1, 3) - 1, [rates[f"{prefix}d{i}"] for i in (1, 2, 3)]), 0.0)
 
 
 def _look_up_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,24 +316,27 @@ def _look_up_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, rows in _grouped(it, ["cell", "lang"]):
         side: dict[int, tuple] = {}
         for r in rows:
-            if r["kind"] == NAMES:
+            if r["kind"] == DISCOUNTS:
+                rates = r
+            elif r["kind"] == NAMES:
                 yield _rows([(r["batch"], NAMES, r["x"], r["y"], r["k"])], _SUMS)
             elif r["kind"] == CONTEXTS:
                 n1, n2, n3, total = (_unpacked(r[c]).astype(np.float64) for c in "xyzk")
-                left = (r["p_d1"] * n1 + r["p_d2"] * n2 + r["p_d3"] * n3) / total
+                left = (rates["p_d1"] * n1 + rates["p_d2"] * n2 + rates["p_d3"] * n3) / total
                 side[CONTEXTS] = _unpacked_rising(r["context"]), total, left
             elif r["kind"] == WORDS:
                 # how many words a word follows, interpolated with an even share of the words and one unseen
-                lent = r["w_d1"] * r["w_n1"] + r["w_d2"] * r["w_n2"] + r["w_d3"] * (r["w_keys"] - r["w_n1"] - r["w_n2"])
-                own = _discounted(_unpacked(r["x"]).astype(np.int64), r, "w_")
-                side[WORDS] = _unpacked_rising(r["word"]), (own + lent / (r["w_keys"] + 1)) / r["w_total"]
+                n1, n2, n_words = rates["w_n1"], rates["w_n2"], rates["w_keys"]
+                lent = rates["w_d1"] * n1 + rates["w_d2"] * n2 + rates["w_d3"] * (n_words - n1 - n2)
+                own = _discounted(_unpacked(r["x"]).astype(np.int64), rates, "w_")
+                side[WORDS] = _unpacked_rising(r["word"]), (own + lent / (n_words + 1)) / rates["w_total"]
             elif r["kind"] == MODEL:
                 contexts, words = _unpacked_rising(r["context"]), _unpacked_rising(r["word"])
                 keys, count = _unpacked_rising(r["x"]).astype(np.int64), _unpacked(r["k"]).astype(np.int64)
                 (known, total, left), (seen, low) = side[CONTEXTS], side[WORDS]
                 c = np.searchsorted(known, contexts)[keys // len(words)]
                 w = np.searchsorted(seen, words)[keys % len(words)]
-                p = _discounted(count, r, "p_") / total[c] + left[c] * low[w]
+                p = _discounted(count, rates, "p_") / total[c] + left[c] * low[w]
                 value = np.rint(-np.log2(p) * UNITS).astype(np.int64)
             else:
                 c, w = np.searchsorted(contexts, _unpacked_rising(r["context"])), np.searchsorted(words, _unpacked_rising(r["word"]))
@@ -370,14 +373,15 @@ def perplexities(docs: DataFrame, model: DataFrame, grid: int) -> DataFrame:
     where = (F.when(F.col("kind") == CONTEXTS, F.transform(cells, lambda i: F.col("cell") * grid + i))
              .when(F.col("kind") == WORDS, F.transform(cells, lambda i: i * grid + F.col("cell")))
              .otherwise(F.array("cell")))
+    known = model.withColumn("cell", F.explode(where))
     pairs, words = (_discounts(model.where(F.col("kind") == kind), p) for kind, p in ((MODEL, "p_"), (WORDS, "w_")))
-    names = [f.name for f in _PARTS]
-    known = (model.withColumn("cell", F.explode(where)).select(*names)
-             .join(pairs, F.col("lang").eqNullSafe(F.col("p_lang"))).join(words, F.col("lang").eqNullSafe(F.col("w_lang"))))
-    nothing = [F.lit(None).cast("double").alias(c) for c in _DISCOUNT_COLS]
-    cut = docs.select("lang", "text", "h1", "h2").mapInArrow(_cut_pass(grid, True), _PARTS_DDL).select(*names, *nothing)
-    both = known.select(*names, *_DISCOUNT_COLS).unionAll(cut)
-    dealt = both.repartition(grid * grid, "cell").sortWithinPartitions("cell", "lang", "kind")
+    # a few numbers per language and cell travel as rows of their own, so no array meets a join
+    rates = (pairs.join(words, F.col("p_lang").eqNullSafe(F.col("w_lang"))).withColumnRenamed("p_lang", "lang")
+             .withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(grid * grid - 1)))).withColumn("kind", F.lit(DISCOUNTS)))
+    cut = docs.select("lang", "text", "h1", "h2").mapInArrow(_cut_pass(grid, True), _PARTS_DDL)
+    both = known.select(*(f.name for f in _PARTS)).unionAll(cut).unionByName(
+        rates.select("cell", "lang", "kind", *_DISCOUNT_COLS), allowMissingColumns=True)
+    dealt = both.repartition(grid * grid, "cell", "lang").sortWithinPartitions("cell", "lang", "kind")
     sums = dealt.mapInArrow(_look_up_pass, _SUMS_DDL)
     means = sums.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(
         _mean_pass, "h1 bigint, h2 bigint, log2_perplexity double")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from helpers import DOCS, awkward, awkward_rows, empty, words
 
@@ -74,3 +75,34 @@ def test_keep_one_leaves_one_of_each_group(spark):
 def test_empty(spark):
     assert jaccard_components(empty(spark)).count() == 0
     assert keep_one(empty(spark)).count() == 0
+
+
+def test_range_counts_bound_the_difference():
+    rng = np.random.default_rng(4)
+    hashes = rng.integers(0, 1 << 64, 9000, dtype=np.uint64)
+    for n, m, shared in ((600, 600, 590), (3000, 2500, 2000), (5000, 4000, 0), (4000, 4000, 4000)):
+        a, b = np.sort(hashes[:n]), np.sort(hashes[n - shared:n - shared + m])
+        apart = len(np.setxor1d(a, b))
+        assert ngram_join._cells_apart(ngram_join._cells(a), ngram_join._cells(b)) <= apart
+        assert apart < 1000 or ngram_join._cells_apart(ngram_join._cells(a), ngram_join._cells(b)) > 0.2 * apart
+    assert ngram_join._cells(hashes[:ngram_join.COUNTED - 1]) is None
+
+
+def test_a_shared_passage_costs_long_texts_one_pair_and_no_count(spark, monkeypatch):
+    """Two long texts that share half of their words: one shingle proposes them, range counts rule the link out."""
+    rng = random.Random(8)
+    long = words(rng, 4000, 10**9)
+    rows = [(1, " ".join(long)), (2, " ".join(long[:2000] + words(rng, 2000, 10**9))), (3, "a b c d e f g"), (4, "a b c d e f g h")]
+    staged = {}
+    put = ngram_join.Staging.put
+
+    def seen(self, df, name):
+        out = put(self, df, name)
+        staged.setdefault(name, []).append(out.count())
+        return out
+    monkeypatch.setattr(ngram_join.Staging, "put", seen)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(df, 3, 80).collect())
+    assert got == brute(rows, 3, 80)
+    assert staged["pairs"] == [1, 0]
+    assert staged["rest"][0] == 2

@@ -5,8 +5,9 @@ of distinct ``k``-word shingles (64-bit hashes of lower-cased words).  The join
 runs in these steps, all of them Spark jobs whose tasks see bounded state:
 
 1. *Sets.*  One pass gives every document its set size, a hash of the whole
-   set (its ``node``: copies share one) and a 1,024-bit parity bitmap.  The
-   same pass counts shingles that recur inside a task; the most frequent ones
+   set (its ``node``: copies share one), a 1,024-bit parity bitmap and, for
+   sets that saturate it, the number of shingles in each of many hash ranges (two
+   to four shingles wide).  The same pass counts shingles that recur inside a task; the most frequent ones
    (a table of bounded length) are moved to the end of the global order.
    The order decides only how much work is done, never the result.
 2. *First fragment.*  Linked sets share a shingle among the first
@@ -18,9 +19,10 @@ runs in these steps, all of them Spark jobs whose tasks see bounded state:
    much in size, no pair across that gap can link.
 3. *Fragments.*  The hash range is cut into fragments.  For each candidate
    pair and fragment the overlap is counted on its own; the sum per pair
-   decides.  Pairs whose sizes or bitmaps rule a link out are not counted.
+   decides.  Pairs whose sizes, bitmaps or range counts rule a link out are not counted.
 4. *Rest.*  Shingles whose holders are not yet in one component are read
-   again, and every pair of holders from different components that sizes and
+   again, of shingles with the same holders (a passage that two texts share) one
+   only, and every pair of holders from different components that sizes and
    bitmaps allow is verified as in step 3.  Pairs inside a component need no
    test: they can't change any component.  Blocks of holders are compared with
    one another, so no task holds a whole group.
@@ -50,6 +52,8 @@ FLUSH = 1 << 21            # shingles a task counts at once
 CROWD = 64                 # holders of one shingle that a task chains itself
 NEAREST = 3                # partners per node that form the first components
 BLOCK = 1024               # holders of one shingle compared at once
+COUNTED = 512              # shingles from which a set counts them by hash range
+MOST_RANGE_BITS = 16       # at most so many ranges, as a power of two
 FILTER_BITS = 1 << 24      # size of a broadcast membership filter
 
 
@@ -72,6 +76,31 @@ def _bitmap(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+def _cells(shingles: np.ndarray) -> bytes | None:
+    """How many shingles (255 at most) lie in each of equal hash ranges; none for small sets."""
+    if len(shingles) < COUNTED:
+        return None
+    bits = min((len(shingles) - 1).bit_length() - 2, MOST_RANGE_BITS)
+    count = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(count, 255).astype(np.uint8).tobytes()
+
+
+def _cells_apart(a: bytes, b: bytes) -> int:
+    """Sum of the differences by range: the sets' symmetric difference is at least that."""
+    few = min(len(a), len(b))
+    x, y = (np.frombuffer(c, np.uint8).reshape(few, -1).sum(axis=1, dtype=np.int64) for c in (a, b))
+    return int(np.abs(x - y).sum())
+
+
+def _apart_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with the better of the two lower bounds on their symmetric difference."""
+    for batch in it:
+        apart = [x if a is None or b is None else max(x, _cells_apart(a, b))
+                 for x, a, b in zip(*(batch.column(c).to_pylist() for c in ("apart", "cells_a", "cells_b")))]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("a", "b", "total")), pa.array(apart, pa.int64())], ["a", "b", "total", "apart"])
+
+
 def _set_pass(k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -86,16 +115,17 @@ def _set_pass(k: int):
             nothing = pa.nulls(len(hashes), pa.int64())
             return pa.RecordBatch.from_arrays(
                 [pa.nulls(len(hashes), id_type), nothing, nothing, nothing, pa.nulls(len(hashes), pa.list_(pa.int64())),
-                 pa.array(hashes), pa.array(count)],
-                ["doc_id", "h", "n", "node", "bits", "shingle", "seen"])
+                 pa.nulls(len(hashes), pa.binary()), pa.array(hashes), pa.array(count)],
+                ["doc_id", "h", "n", "node", "bits", "cells", "shingle", "seen"])
 
         for batch in it:
             id_type = batch.column("doc_id").type
-            n, node, bits = [], [], []
+            n, node, bits, cells = [], [], [], []
             for s in tokens.shingle_sets(_texts(batch), k):
                 n.append(len(s))
                 node.append(_node(s))
                 bits.append(_bitmap(s))
+                cells.append(_cells(s))
                 held.append(s)
                 size += len(s)
                 if size >= FLUSH:
@@ -106,8 +136,8 @@ def _set_pass(k: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * BITMAP_WORDS, pa.int32()), flat),
-                 pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())],
-                ["doc_id", "h", "n", "node", "bits", "shingle", "seen"])
+                 pa.array(cells, pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())],
+                ["doc_id", "h", "n", "node", "bits", "cells", "shingle", "seen"])
         if held:
             yield recurring()
     return run
@@ -292,15 +322,17 @@ class _Join:
         bounded_batches(self.spark)
         id_type = self.docs.schema["doc_id"].dataType.simpleString()
         both = self.docs.withColumn("h", F.xxhash64("text")).mapInArrow(
-            _set_pass(k), f"doc_id {id_type}, h bigint, n bigint, node bigint, bits array<bigint>, shingle bigint, seen bigint")
+            _set_pass(k), f"doc_id {id_type}, h bigint, n bigint, node bigint, bits array<bigint>, cells binary, "
+            "shingle bigint, seen bigint")
         both = staging.put(both, "sets")
-        self.rows = both.where("shingle is null").select("doc_id", "h", "n", "node", "bits")
+        self.rows = both.where("shingle is null").select("doc_id", "h", "n", "node", "bits", "cells")
         self.order = self._frequent(both.where("shingle is not null"))
         # One row per node; copies pre-aggregate inside their tasks.
         self.nodes = staging.put(
             self.rows.where("n > 0").groupBy("node")
             .agg(F.min("doc_id").alias("doc_id"),
-                 F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("first"), F.max("n").alias("n"), F.first("bits").alias("bits")), "nodes")
+                 F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("first"), F.max("n").alias("n"), F.first("bits").alias("bits"),
+                 F.first("cells").alias("cells")), "nodes")
 
     def _frequent(self, seen: DataFrame):
         """The most frequent recurring shingles with their level, at most ``FREQUENT``."""
@@ -319,22 +351,27 @@ class _Join:
         return self.spark.sparkContext.broadcast((hashes[at], top["level"].to_numpy(np.int8)[at]))
 
     def links(self, pairs: DataFrame, nearest: int | None = None) -> DataFrame:
-        """The pairs (a, b) that link: sizes, bitmaps, then overlaps summed over fragments.
+        """The pairs (a, b) that link: sizes, bitmaps, range counts, then overlaps summed over fragments.
 
-        ``nearest`` counts only each node's so many nearest partners by bitmap.
+        ``nearest`` counts only each node's so many nearest partners by these bounds.
         """
         p = self.percent
         meta = self.nodes.select("node", "n", "bits")
         apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
                             F.lit(0), lambda s, x: s + x)
         total = F.col("n_a") + F.col("n_b")
+        # |A ^ B| is at least either bound and at most what a link allows
+        near = F.col("apart") * (100 + p) <= F.col("total") * (100 - p)
         side = lambda s: meta.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"),
                                      F.col("bits").alias(f"bits_{s}"))
         open_pairs = (pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
                       .join(side("a"), "a").join(side("b"), "b")
                       .where(100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))
-                      .select("a", "b", total.alias("total"), apart.alias("apart"))
-                      .where(F.col("apart") * (100 + p) <= F.col("total") * (100 - p)))
+                      .select("a", "b", total.alias("total"), apart.cast("bigint").alias("apart")).where(near))
+        cells = self.nodes.where("cells is not null")
+        counts = lambda s: cells.select(F.col("node").alias(s), F.col("cells").alias(f"cells_{s}"))
+        open_pairs = (open_pairs.join(counts("a"), "a", "left").join(counts("b"), "b", "left")
+                      .mapInArrow(_apart_pass, "a bigint, b bigint, total bigint, apart bigint").where(near))
         if nearest is not None:
             rank = lambda x, y: F.row_number().over(Window.partitionBy(x).orderBy("apart", F.xxhash64(y)))
             open_pairs = open_pairs.withColumn("ra", rank("a", "b")).withColumn("rb", rank("b", "a")).where(
@@ -344,12 +381,14 @@ class _Join:
         segments = self._segments(wanted)
         left = segments.select(F.col("node").alias("a"), "fragment", F.col("shingles").alias("left"))
         right = segments.select(F.col("node").alias("b"), "fragment", F.col("shingles").alias("right"))
-        partial = (open_pairs.join(left, "a").join(right, ["b", "fragment"])
+        # a row per fragment, so that both joins read the one shuffle of the segments
+        cut = open_pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+        partial = (cut.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
                    .select("a", "b", "total", F.size(F.array_intersect("left", "right")).alias("overlap")))
         out = (partial.groupBy("a", "b", "total").agg(F.sum("overlap").alias("overlap"))
                .where((100 + p) * F.col("overlap") >= p * F.col("total")).select("a", "b"))
         out = self.staging.put(out, "links")
-        self.staging.drop(open_pairs, segments)
+        self.staging.drop(open_pairs)
         return out
 
     def _segments(self, wanted: DataFrame) -> DataFrame:
@@ -361,7 +400,7 @@ class _Join:
         cut = self.docs.select("text").mapInArrow(
             _segment_pass(self.k, _filter_of(self.spark, wanted)), "node bigint, fragment int, shingles array<bigint>")
         # copies read by different tasks
-        return self.staging.put(cut.repartition("node").dropDuplicates(["node", "fragment"]), "segments")
+        return cut.repartition("node", "fragment").dropDuplicates(["node", "fragment"])
 
     def solve(self) -> DataFrame:
         """(node, root) for the nodes that link with another one."""
@@ -401,13 +440,19 @@ class _Join:
         st = self.staging
         members = _filter_of(self.spark, apart.select(F.col("token").alias("v")))
         post = self.docs.select("text").mapInArrow(_rest_pass(self.k, self.percent, self.order, members), "token bigint, node bigint")
-        post = post.join(apart, "token", "left_semi")
+        post = st.put(post.join(apart, "token", "left_semi").distinct(), "holders")
+        # a shared passage has many shingles with the same holders: one of them gives the same pairs
+        held = post.groupBy("token").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+                                         F.count("*").alias("c"))
+        told = held.where("c > 1").groupBy("x", "y", "c").agg(F.min("token").alias("token")).select("token")
+        whole, post = post, post.join(told, "token", "left_semi")
         # half as many bits, by folding, do for the blocks
         half = BITMAP_WORDS // 2
         folded = F.zip_with(F.slice("bits", 1, half), F.slice("bits", half + 1, half), lambda x, y: x.bitwiseXOR(y))
-        post = (post.distinct().join(self.nodes.select("node", "n", folded.alias("bits")), "node")
+        post = (post.join(self.nodes.select("node", "n", folded.alias("bits")), "node")
                 .join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"))
         post = st.put(post, "rest")
+        st.drop(whole)
         blocks = st.put(post.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m")).where("m > 1"), "blocks")
         own = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
         # every block meets itself and each other block once

@@ -10,7 +10,10 @@ context's hash and the column of its word's hash, so that a context or a word
 that holds a third of all pairs is spread over a whole row or column.  A cell
 keeps sorted hash arrays (contexts, words, pairs) and an array of counts; the
 grid grows with the corpus.  Runs of texts are counted in their tasks first and
-sent as one compressed row per run and cell.  For scoring, each run sends the
+sent as one compressed row per run and cell.  What all cells of a row know of a
+context, or those of a column of a word, is summed and sent back to each cell in
+the order of its own hashes.  The rows of the grid are taken in a few rounds that
+read the texts anew, so that only a part of all pairs lies on disk.  For scoring, each run sends the
 pairs of its distinct texts to the same cells, where they are found by binary
 search; a cell answers with one sum per text.  Sums are whole numbers (units of
 2^-32 bits), so no order of tasks changes them.  As every document is counted,
@@ -49,6 +52,7 @@ from tillroll.llm.common import Staging, bounded_batches
 FLUSH = 1 << 21            # words of a run
 CELL_BYTES = 32 << 20      # text that a cell of the grid takes on average
 LEAST_GRID = 4
+COUNT_ROUNDS, SCORE_ROUNDS = 2, 3      # parts of the grid's rows taken one after another
 UNITS = float(1 << 32)
 LOWER, UPPER = 5.0, 5.0
 LEAST_DEVIATION = 0.01
@@ -145,8 +149,8 @@ def _gathered(it: Iterator[pa.RecordBatch], take, flush: int):
         yield from take(x, texts)
 
 
-def _cut_pass(grid: int, scoring: bool):
-    """Pairs of words dealt to the cells of the grid (context's hash, word's hash).
+def _cut_pass(grid: int, scoring: bool, part: int = 0, rounds: int = 1):
+    """Pairs of words dealt to the cells of the grid (context's hash, word's hash), of one round's rows.
 
     For counting a row holds a run's distinct pairs of a cell and their counts,
     for scoring the pairs of each text of the run.
@@ -172,7 +176,8 @@ def _cut_pass(grid: int, scoring: bool):
             weight = np.repeat(np.array([v[1] for v in texts.values()]), lengths)
             slot = (known % np.uint64(grid)).astype(np.int64)
             cell = slot[context] * grid + slot[word]
-            order = np.argsort(cell.astype(np.uint16) if grid <= 256 else cell, kind="stable")
+            mine = np.flatnonzero(slot[context] % rounds == part)
+            order = mine[np.argsort(cell[mine].astype(np.uint16) if grid <= 256 else cell[mine], kind="stable")]
             ends = np.flatnonzero(np.diff(cell[order], append=-1)) + 1
             batch = here + number[0]
             number[0] += 1
@@ -242,16 +247,17 @@ def _count_pass(grid: int):
             c, w = keys // len(words), keys % len(words)
             of = lambda kept: np.bincount(c[kept], minlength=len(contexts))
             yield _rows([
-                (cell // grid, lang, CONTEXTS, 0, _packed_rising(contexts), None, _packed(of(count == 1)), _packed(of(count == 2)),
+                (cell // grid, lang, CONTEXTS, cell, _packed_rising(contexts), None, _packed(of(count == 1)), _packed(of(count == 2)),
                  _packed(of(count > 2)), _packed(np.bincount(c, weights=count)), *[None] * 6),
-                (cell % grid, lang, WORDS, 0, None, _packed_rising(words), _packed(np.bincount(w)), None, None, None, *[None] * 6),
+                (cell % grid, lang, WORDS, cell, None, _packed_rising(words), _packed(np.bincount(w)), None, None, None, *[None] * 6),
                 (cell, lang, MODEL, 0, _packed_rising(contexts), _packed_rising(words), _packed_rising(keys), None, None,
                  _packed(count), *_how_many(count), int(count.sum()), len(keys))], _MODEL)
     return run
 
 
 def _sum_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per kind, slot and language: the cells' numbers per context or word, summed."""
+    """The cells' numbers per context or word, summed: one row back to each cell, in the order of its
+    hashes, and one without arrays per kind, slot and language."""
     for (kind, slot, lang), rows in _grouped(it, ["kind", "cell", "lang"]):
         rows = list(rows)
         name, columns = ("context", "xyzk") if kind == CONTEXTS else ("word", "x")
@@ -261,10 +267,10 @@ def _sum_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums[col] = np.zeros(len(known), np.int64)
             for r, a in zip(rows, at):
                 sums[col][a] += _unpacked(r[col]).astype(np.int64)
-        keys = _packed_rising(known)
-        yield _rows([(slot, lang, kind, 0, keys if kind == CONTEXTS else None, keys if kind == WORDS else None,
-                      *(_packed(sums[c]) if c in sums else None for c in "xyzk"),
-                      *_how_many(sums["x"]), int(sums["x"].sum()), len(known))], _MODEL)
+        for r, a in zip(rows, at):
+            yield _rows([(r["batch"], lang, kind, 0, None, None, *(_packed(sums[c][a]) if c in sums else None for c in "xyzk"),
+                          *[None] * 6)], _MODEL)
+        yield _rows([(slot, lang, kind, 0, *[None] * 6, *_how_many(sums["x"]), int(sums["x"].sum()), len(known))], _MODEL)
 
 
 def _discounts(rows: DataFrame, prefix: str) -> DataFrame:
@@ -291,14 +297,18 @@ def word_model(docs: DataFrame, staging: Staging, grid: int | None = None) -> Da
     """The model of ``docs (lang, text, h1, h2)`` as sorted hash arrays.
 
     A ``MODEL`` row holds a cell's pairs in order with their counts (``n_keys``
-    of them), ``CONTEXTS`` and ``WORDS`` rows a slot's hashes in order with
-    what the discounts need.
+    of them), ``CONTEXTS`` and ``WORDS`` rows what the discounts need: per cell
+    in the order of its hashes, or as a slot's numbers without arrays.
     """
     grid = grid or grid_of(docs)
-    cut = docs.select("lang", "text", "h1", "h2").mapInArrow(_cut_pass(grid, False), _PARTS_DDL)
-    counted = staging.put(_by_cell(cut, grid * grid, "cell", "lang").mapInArrow(_count_pass(grid), _MODEL_DDL), "counted")
-    sides = _by_cell(counted.where(F.col("kind") != MODEL), 2 * grid, "kind", "cell", "lang").mapInArrow(_sum_pass, _MODEL_DDL)
-    return counted.where(F.col("kind") == MODEL).unionAll(staging.put(sides, "sides"))
+    model = sides = None
+    for part in range(COUNT_ROUNDS):
+        cut = docs.select("lang", "text", "h1", "h2").mapInArrow(_cut_pass(grid, False, part, COUNT_ROUNDS), _PARTS_DDL)
+        counted = staging.put(_by_cell(cut, grid * grid, "cell", "lang").mapInArrow(_count_pass(grid), _MODEL_DDL), "counted")
+        found, own = counted.where(F.col("kind") == MODEL), counted.where(F.col("kind") != MODEL)
+        model, sides = (found, own) if model is None else (model.unionAll(found), sides.unionAll(own))
+    sides = _by_cell(sides, 2 * grid, "kind", "cell", "lang").mapInArrow(_sum_pass, _MODEL_DDL)
+    return model.unionAll(staging.put(sides, "sides"))
 
 
 _SUMS = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("k", pa.binary())])
@@ -323,19 +333,18 @@ def _look_up_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif r["kind"] == CONTEXTS:
                 n1, n2, n3, total = (_unpacked(r[c]).astype(np.float64) for c in "xyzk")
                 left = (rates["p_d1"] * n1 + rates["p_d2"] * n2 + rates["p_d3"] * n3) / total
-                side[CONTEXTS] = _unpacked_rising(r["context"]), total, left
+                side[CONTEXTS] = total, left
             elif r["kind"] == WORDS:
                 # how many words a word follows, interpolated with an even share of the words and one unseen
                 n1, n2, n_words = rates["w_n1"], rates["w_n2"], rates["w_keys"]
                 lent = rates["w_d1"] * n1 + rates["w_d2"] * n2 + rates["w_d3"] * (n_words - n1 - n2)
                 own = _discounted(_unpacked(r["x"]).astype(np.int64), rates, "w_")
-                side[WORDS] = _unpacked_rising(r["word"]), (own + lent / (n_words + 1)) / rates["w_total"]
+                side[WORDS] = (own + lent / (n_words + 1)) / rates["w_total"]
             elif r["kind"] == MODEL:
                 contexts, words = _unpacked_rising(r["context"]), _unpacked_rising(r["word"])
                 keys, count = _unpacked_rising(r["x"]).astype(np.int64), _unpacked(r["k"]).astype(np.int64)
-                (known, total, left), (seen, low) = side[CONTEXTS], side[WORDS]
-                c = np.searchsorted(known, contexts)[keys // len(words)]
-                w = np.searchsorted(seen, words)[keys % len(words)]
+                (total, left), low = side[CONTEXTS], side[WORDS]
+                c, w = keys // len(words), keys % len(words)
                 p = _discounted(count, rates, "p_") / total[c] + left[c] * low[w]
                 value = np.rint(-np.log2(p) * UNITS).astype(np.int64)
             else:
@@ -360,32 +369,36 @@ def _mean_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for at, said in parts:
                 total[at] += said
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_unpacked(r["x"]).view(np.int64)), pa.array(_unpacked(r["y"]).view(np.int64)), pa.array(total / UNITS / n)],
-                ["h1", "h2", "log2_perplexity"])
+                [pa.array(_unpacked(r["x"]).view(np.int64)), pa.array(_unpacked(r["y"]).view(np.int64)), pa.array(total), pa.array(n)],
+                ["h1", "h2", "said", "n"])
 
 
-def perplexities(docs: DataFrame, model: DataFrame, grid: int) -> DataFrame:
+def perplexities(docs: DataFrame, model: DataFrame, grid: int, staging: Staging | None = None) -> DataFrame:
     """``(h1, h2, log2_perplexity)`` of each distinct text of ``docs (lang, text, h1, h2)`` that has words.
 
     Rows of equal text and language share their key: a mean does not change with copies.
     """
-    cells = F.sequence(F.lit(0), F.lit(grid - 1))
-    where = (F.when(F.col("kind") == CONTEXTS, F.transform(cells, lambda i: F.col("cell") * grid + i))
-             .when(F.col("kind") == WORDS, F.transform(cells, lambda i: i * grid + F.col("cell")))
-             .otherwise(F.array("cell")))
-    known = model.withColumn("cell", F.explode(where))
+    staging = staging or Staging(docs.sparkSession, "perplexities")
     pairs, words = (_discounts(model.where(F.col("kind") == kind), p) for kind, p in ((MODEL, "p_"), (WORDS, "w_")))
     # a few numbers per language and cell travel as rows of their own, so no array meets a join
     rates = (pairs.join(words, F.col("p_lang").eqNullSafe(F.col("w_lang"))).withColumnRenamed("p_lang", "lang")
              .withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(grid * grid - 1)))).withColumn("kind", F.lit(DISCOUNTS)))
-    cut = docs.select("lang", "text", "h1", "h2").mapInArrow(_cut_pass(grid, True), _PARTS_DDL)
-    both = known.select(*(f.name for f in _PARTS)).unionAll(cut).unionByName(
-        rates.select("cell", "lang", "kind", *_DISCOUNT_COLS), allowMissingColumns=True)
-    dealt = both.repartition(grid * grid, "cell", "lang").sortWithinPartitions("cell", "lang", "kind")
-    sums = dealt.mapInArrow(_look_up_pass, _SUMS_DDL)
-    means = sums.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(
-        _mean_pass, "h1 bigint, h2 bigint, log2_perplexity double")
-    return means.groupBy("h1", "h2").agg(F.max("log2_perplexity").alias("log2_perplexity"))
+    rates = staging.put(rates.select("cell", "lang", "kind", *_DISCOUNT_COLS), "rates")
+    known = model.where("x is not null").select(*(f.name for f in _PARTS))
+    said = None
+    for part in range(SCORE_ROUNDS):
+        mine = (F.floor(F.col("cell") / grid) % SCORE_ROUNDS) == part
+        cut = docs.select("lang", "text", "h1", "h2").mapInArrow(_cut_pass(grid, True, part, SCORE_ROUNDS), _PARTS_DDL)
+        both = known.where(mine).unionAll(cut).unionByName(rates.where(mine), allowMissingColumns=True)
+        dealt = both.repartition(grid * grid, "cell", "lang").sortWithinPartitions("cell", "lang", "kind")
+        sums = staging.put(dealt.mapInArrow(_look_up_pass, _SUMS_DDL), "sums")
+        means = sums.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(
+            _mean_pass, "h1 bigint, h2 bigint, said bigint, n bigint")
+        # copies read by different tasks say the same
+        own = staging.put(means.groupBy("h1", "h2").agg(F.max("said").alias("said"), F.max("n").alias("n")), "said")
+        staging.drop(sums)
+        said = own if said is None else said.unionAll(own)
+    return said.groupBy("h1", "h2").agg((F.sum("said") / F.lit(UNITS) / F.max("n")).alias("log2_perplexity"))
 
 
 def _repeated(grams: np.ndarray, n_words: int) -> int:
@@ -438,7 +451,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     key = lambda i: F.xxhash64(F.lit(i), F.col("lang").isNull(), "lang", "text").alias(f"h{i}")
     docs = docs.select("*", key(1), key(2))
     grid = grid_of(docs)
-    measured = staging.put(perplexities(docs, word_model(docs, staging, grid), grid), "perplexities")
+    measured = staging.put(perplexities(docs, word_model(docs, staging, grid), grid, staging), "perplexities")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.mapInArrow(
         _score_pass(), f"doc_id {id_type}, lang string, h1 bigint, h2 bigint, n_words bigint, word_chars bigint, n_symbols bigint, "

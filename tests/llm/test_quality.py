@@ -150,3 +150,28 @@ def test_empty_and_null_texts_may_end_a_batch(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"]) for r in quality.quality_rules(df).collect()}
     assert got == {i: (3, 5, 1) if t else (0, 0, 0) for i, t in enumerate(texts)}
+
+
+def test_a_cell_gets_the_numbers_of_its_own_hashes_only(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{rng.integers(300)}" for _ in range(80)) for _ in range(20)]
+    staged = {}
+    put = Staging.put
+
+    def seen(self, df, name):
+        out = put(self, df, name)
+        staged.setdefault(name, []).append({r["cell"] // 5 for r in out.where(F.col("kind") == quality.MODEL).select("cell").collect()}
+                                           if "kind" in out.columns else None)
+        return out
+    monkeypatch.setattr(Staging, "put", seen)
+    docs = keyed(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(2))
+    rows = quality.word_model(docs, Staging(spark, "test"), 5).collect()
+    cells = {r["cell"]: r for r in rows if r["kind"] == quality.MODEL}
+    for kind, hashes, numbers in ((quality.CONTEXTS, "context", "k"), (quality.WORDS, "word", "x")):
+        back = {r["cell"]: r for r in rows if r["kind"] == kind and r["x"] is not None}
+        assert back.keys() == cells.keys()
+        assert all(r["context"] is None and r["word"] is None for r in back.values())
+        for cell, r in back.items():
+            assert len(quality._unpacked(r[numbers])) == len(quality._unpacked(cells[cell][hashes]))
+    first, second = staged["counted"]  # a round holds its own rows of the grid
+    assert first and second and not first & second

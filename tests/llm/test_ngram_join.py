@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import DOCS, awkward, awkward_rows, empty, words
 
@@ -106,3 +107,48 @@ def test_a_shared_passage_costs_long_texts_one_pair_and_no_count(spark, monkeypa
     assert got == brute(rows, 3, 80)
     assert staged["pairs"] == [1, 0]
     assert staged["rest"][0] == 2
+
+
+def test_long_texts_that_share_a_passage_make_no_pairs(spark, monkeypatch):
+    """The bitmaps of long texts are full, so that every pair passed them; the range counts rule all of them out."""
+    rng = random.Random(21)
+    passage = words(rng, 80, 10**9)
+    rows = [(i, " ".join(words(rng, 2000, 10**9) + passage)) for i in range(12)]
+    rows.append((12, rows[3][1] + " end"))
+    made = []
+    put = ngram_join.Staging.put
+
+    def seen(self, df, name):
+        out = put(self, df, name)
+        if name == "block-pairs":
+            made.append(out.count())
+        return out
+    monkeypatch.setattr(ngram_join.Staging, "put", seen)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(df, 5, 80).collect())
+    assert got == sorted((i, 2076 + (i == 12), 3 if i == 12 else i) for i in range(13))
+    assert made == [0]
+
+
+def test_a_pair_in_many_runs_leaves_a_task_once():
+    n, width = 200, ngram_join.BITMAP_WORDS // 2
+    cols = {"token": np.repeat(np.arange(n), 2), "x": np.zeros(2 * n, np.int32), "y": np.zeros(2 * n, np.int32),
+            "side": np.zeros(2 * n, np.int32), "node": np.tile([7, 9], n), "comp": np.tile([7, 9], n), "n": np.full(2 * n, 600)}
+    cells = pa.array([bytes([4, 5] * 64), bytes([5, 4] * 64)] * n, pa.binary())
+    bits = pa.ListArray.from_arrays(pa.array(np.arange(2 * n + 1) * width, pa.int32()), pa.array(np.zeros(2 * n * width, np.int64)))
+    batch = pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols.values()), bits, cells], [*cols, "bits", "cells"])
+    out = [r for b in ngram_join._block_pass(80)(iter([batch.slice(i, 50) for i in range(0, 2 * n, 50)])) for r in b.to_pylist()]
+    assert out == [{"a": 7, "b": 9}]
+
+
+def test_coarse_counts_bound_the_difference():
+    rng = np.random.default_rng(6)
+    hashes = rng.integers(0, 1 << 64, 60_000, dtype=np.uint64)
+    fold = lambda s: next(ngram_join._coarse_pass(iter([pa.RecordBatch.from_arrays(
+        [pa.array([1]), pa.array([len(s)]), pa.array([[0]]), pa.array([ngram_join._cells(np.sort(s))], pa.binary())],
+        ["node", "n", "bits", "cells"])]))).column("cells")[0].as_py()
+    for n, m, shared in ((600, 700, 500), (3000, 2500, 2000), (600, 20_000, 600), (20_000, 20_000, 19_000)):
+        a, b = hashes[:n], hashes[n - shared:n - shared + m]
+        assert len(fold(a)) <= ngram_join.COARSE
+        assert ngram_join._cells_apart(fold(a), fold(b)) <= len(np.setxor1d(a, b))
+    assert fold(hashes[:100]) is None and fold(hashes) is None

@@ -22,8 +22,8 @@ runs in these steps, all of them Spark jobs whose tasks see bounded state:
    decides.  Pairs whose sizes, bitmaps or range counts rule a link out are not counted.
 4. *Rest.*  Shingles whose holders are not yet in one component are read
    again, of shingles with the same holders (a passage that two texts share) one
-   only, and every pair of holders from different components that sizes and
-   bitmaps allow is verified as in step 3.  Pairs inside a component need no
+   only, and every pair of holders from different components that sizes,
+   bitmaps and range counts (folded to at most 512 ranges) allow is verified as in step 3.  Pairs inside a component need no
    test: they can't change any component.  Blocks of holders are compared with
    one another, so no task holds a whole group.
 
@@ -54,6 +54,9 @@ NEAREST = 3                # partners per node that form the first components
 BLOCK = 1024               # holders of one shingle compared at once
 COUNTED = 512              # shingles from which a set counts them by hash range
 MOST_RANGE_BITS = 16       # at most so many ranges, as a power of two
+COARSE = 512               # ranges that a holder in a block keeps of these counts
+COARSE_MOST = 16 * COARSE  # finer counts than these would rule nothing out when folded
+FOUND = 1 << 18            # pairs that a task of the block pass holds before it sends them on
 FILTER_BITS = 1 << 24      # size of a broadcast membership filter
 
 
@@ -85,11 +88,29 @@ def _cells(shingles: np.ndarray) -> bytes | None:
     return np.minimum(count, 255).astype(np.uint8).tobytes()
 
 
+def _folded(cells: bytes, few: int) -> np.ndarray:
+    """The counts in ``few`` wider ranges."""
+    return np.frombuffer(cells, np.uint8).reshape(few, -1).sum(axis=1, dtype=np.int64)
+
+
 def _cells_apart(a: bytes, b: bytes) -> int:
     """Sum of the differences by range: the sets' symmetric difference is at least that."""
     few = min(len(a), len(b))
-    x, y = (np.frombuffer(c, np.uint8).reshape(few, -1).sum(axis=1, dtype=np.int64) for c in (a, b))
-    return int(np.abs(x - y).sum())
+    return int(np.abs(_folded(a, few) - _folded(b, few)).sum())
+
+
+def _coarse_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Range counts folded to at most ``COARSE`` ranges; none where they are finer than ``COARSE_MOST`` or reach 255."""
+    def coarse_of(c: bytes | None) -> bytes | None:
+        if c is None or len(c) > COARSE_MOST:
+            return None
+        wide = _folded(c, min(len(c), COARSE))
+        return wide.astype(np.uint8).tobytes() if wide.max() < 255 else None
+
+    for batch in it:
+        coarse = [coarse_of(c) for c in batch.column("cells").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "n", "bits")), pa.array(coarse, pa.binary())],
+                                         ["node", "n", "bits", "cells"])
 
 
 def _apart_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,11 +290,24 @@ def _rest_pass(k: int, percent: int, order, members):
 
 
 def _block_pass(percent: int):
-    """Pairs of different components inside runs of equal (token, x, y), by size and bitmap."""
+    """Pairs of different components inside runs of equal (token, x, y), by size, bitmap and range counts.
+
+    A pair found in many runs of a task is sent on once per ``FOUND`` pairs.
+    """
     def pairs(cols: dict[str, np.ndarray]):
         n, comp, node, side = cols["n"], cols["comp"], cols["node"], cols["side"]
         order = np.argsort(n, kind="stable")
-        n, comp, node, side, bits = n[order], comp[order], node[order], side[order], cols["bits"][order]
+        n, comp, node, side, bits, cells = n[order], comp[order], node[order], side[order], cols["bits"][order], cols["cells"][order]
+        ranges: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def counts(few: int) -> tuple[np.ndarray, np.ndarray]:
+            """The range counts of the rows that have so many, and each row's place there (or -1)."""
+            if few not in ranges:
+                has = [i for i, c in enumerate(cells) if c is not None and len(c) >= few]
+                place = np.full(len(cells), -1)
+                place[has] = np.arange(len(has))
+                ranges[few] = np.array([_folded(cells[i], few) for i in has], np.int16), place
+            return ranges[few]
         two = bool(side.any())
         top = np.searchsorted(n, n * 100 // percent, side="right")
         for i in range(len(n)):
@@ -287,31 +321,48 @@ def _block_pass(percent: int):
             total = n[i] + n[j]
             # |A ^ B| is at least the bitmaps' distance and at most what a link allows
             j = j[apart * (100 + percent) <= total * (100 - percent)]
+            if len(j) and cells[i] is not None:
+                held, place = counts(len(cells[i]))
+                at = place[j]
+                apart = np.where(at < 0, 0, np.abs(held[at] - held[place[i]]).sum(axis=1, dtype=np.int64))
+                j = j[apart * (100 + percent) <= (n[i] + n[j]) * (100 - percent)]
             if len(j):
                 yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
 
     def run(it):
         held: dict[str, np.ndarray] | None = None
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in it:
-            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "x", "y", "side", "node", "comp", "n")}
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "x", "y", "side", "node", "comp", "n", "cells")}
             new["bits"] = batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, BITMAP_WORDS // 2)
             cols = new if held is None else {c: np.concatenate((held[c], new[c])) for c in new}
             key = np.stack((cols["token"], cols["x"], cols["y"]))
             cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
             last = int(cut[-1]) if len(cut) else 0
-            found = []
             for a, b in zip(np.concatenate(([0], cut[:-1])) if len(cut) else [], cut):
                 if b - a > 1:
-                    found += pairs({c: v[a:b] for c, v in cols.items()})
+                    for pair in pairs({c: v[a:b] for c, v in cols.items()}):
+                        found.append(pair)
+                        size += len(pair[0])
+                        if size >= FOUND:
+                            found = [distinct(found)]
+                            size = len(found[0][0])
+                            if size >= FOUND // 2:
+                                yield out(*found[0])
+                                found, size = [], 0
             held = {c: v[last:] for c, v in cols.items()}
-            yield from out(found)
         if held is not None and len(held["n"]) > 1:
-            yield from out(list(pairs(held)))
-
-    def out(found):
+            found += pairs(held)
         if found:
-            ab = np.unique(np.stack((np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], ["a", "b"])
+            yield out(*distinct(found))
+
+    def distinct(found):
+        ab = np.unique(np.stack([np.concatenate(x) for x in zip(*found)]), axis=1)
+        return ab[0], ab[1]
+
+    def out(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
     return run
 
 
@@ -449,7 +500,9 @@ class _Join:
         # half as many bits, by folding, do for the blocks
         half = BITMAP_WORDS // 2
         folded = F.zip_with(F.slice("bits", 1, half), F.slice("bits", half + 1, half), lambda x, y: x.bitwiseXOR(y))
-        post = (post.join(self.nodes.select("node", "n", folded.alias("bits")), "node")
+        known = self.nodes.select("node", "n", folded.alias("bits"), "cells").mapInArrow(
+            _coarse_pass, "node bigint, n bigint, bits array<bigint>, cells binary")
+        post = (post.join(known, "node")
                 .join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"))
         post = st.put(post, "rest")
         st.drop(whole)
@@ -460,7 +513,7 @@ class _Join:
                  .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
                  .select("token", F.least("own", "other").cast("int").alias("x"), F.greatest("own", "other").cast("int").alias("y"),
                          F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
-                         "node", "comp", "n", "bits"))
+                         "node", "comp", "n", "bits", "cells"))
         dealt = dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
         found = st.put(dealt.mapInArrow(_block_pass(self.percent), "a bigint, b bigint").distinct(), "block-pairs")
         st.drop(post, blocks)

@@ -1,13 +1,15 @@
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import awkward, awkward_rows, empty
 from pyspark.sql import functions as F
 
-from tillroll.llm import quality
+from tillroll.llm import quality, tokens
 from tillroll.llm.common import Staging
 
 
@@ -175,3 +177,37 @@ def test_a_cell_gets_the_numbers_of_its_own_hashes_only(spark, monkeypatch):
             assert len(quality._unpacked(r[numbers])) == len(quality._unpacked(cells[cell][hashes]))
     first, second = staged["counted"]  # a round holds its own rows of the grid
     assert first and second and not first & second
+
+
+def test_texts_are_hashed_together_and_know_their_own_words(monkeypatch):
+    """A call per text, with the language hashed anew for each, was half of the operator's CPU time."""
+    texts = ["one two  three", "", "漢字 and 漢", None, "one", "x\ty\nz "] * 50
+    langs = ["en", "fr", None, "en", "fr", "en"] * 50
+    keys = np.array([zlib.crc32(repr(x).encode()) for x in zip(texts, langs)], np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(langs), pa.array(texts), pa.array(keys), pa.array(keys + 1)], ["lang", "text", "h1", "h2"])
+    calls = []
+    plain = tokens.words
+    monkeypatch.setattr(tokens, "words", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    runs = list(quality._gathered(iter([batch, batch]), lambda lang, held: [(lang, held)], quality.FLUSH))
+    assert len(calls) == 1
+    got = {(lang, key): (v[0].tolist(), v[1]) for lang, held in runs for key, v in held.items()}
+    expected = {}
+    for text, lang, key in zip(texts, langs, keys.tolist()):
+        alone = plain(quality._spaced((text or "").encode()))[0]
+        words = tokens.mix(alone + np.uint64(quality._lang_hash(lang))).tolist()
+        expected[lang, (key, key + 1)] = words, 100
+    assert got == expected
+
+
+def test_distinct_and_counted_match_numpy():
+    rng = np.random.default_rng(12)
+    for n, top in ((0, 5), (1, 5), (1000, 40), (1000, 1 << 63)):
+        values = rng.integers(0, top, n, dtype=np.uint64)
+        known, at = quality._distinct(values)
+        assert (known == np.unique(values)).all() and (known[at] == values).all()
+        if n:
+            weights = rng.integers(1, 9, n)
+            keys, plain = quality._counted(values)
+            _, summed = quality._counted(values, weights)
+            assert plain.sum() == n
+            assert {int(k): int(w) for k, w in zip(keys, summed)} == {int(k): int(weights[values == k].sum()) for k in keys}

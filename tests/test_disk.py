@@ -11,6 +11,7 @@ from tillroll.operators import cleaning as C
 from tillroll.plans import ingest as I
 from tillroll.session import ensure_checkpoint_dir, path_bytes
 from tillroll.sources import catalog, sales
+from tillroll.sources.cache import cached_table, release
 from tillroll.sources.sinks import write_table
 
 HEAD = ("`Order ID` bigint, `Customer Name` string, `Product Name` string, `Product Category` string, Region string, Quantity double, "
@@ -110,3 +111,14 @@ def test_an_ingest_leaves_next_to_no_shuffle_files(spark, tmp_path):
 def test_a_hash_that_is_shuffled_has_48_bits(spark):
     hashed = spark.range(2_000).toDF("__c0").select(*C._row_hashes(["__c0"]))
     assert hashed.agg(F.min("__h1") >= 0, F.max("__h1") < 1 << 48).first() == (True, True) and hashed.distinct().count() == 2_000
+
+
+def test_a_stored_table_is_not_written_to_local_disk_again(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(10).write.parquet(path)
+    held = cached_table(spark, path)
+    assert held.storageLevel.useMemory and not held.storageLevel.useDisk and held.count() == 10
+    release(spark, path)
+    made = cached_table(spark, path, lambda s, p: s.read.parquet(p).where("id > 2"))
+    assert made.storageLevel.useDisk and made.count() == 7
+    release(spark, path)
